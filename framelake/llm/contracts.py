@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontamination, lines, near_dup, packing, substrings
-from framelake.llm._stage import table
+from framelake.llm import decontamination, language, lines, near_dup, packing, quality, rules, substrings, tokens
+from framelake.llm._stage import fold, table
+
+
+def _held_out(modulus: int, remainder: int):
+    return F.coalesce(fold("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
 
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=85)
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+    return scored.select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs)).select("doc_id", _held_out(5, 0), "lang_pred", "score", "entropy", "rejected")
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -31,13 +46,23 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
 
 
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = rules.fit(docs, table(spark, sf_dir, "labels"))
+    return rules.apply_rules(docs, learned).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
         WITH lined AS (
-          SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS spot
           FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
         ), counted AS (
-          SELECT doc_id, line, at, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS no
+          SELECT doc_id, line, spot, row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS no
           FROM lined WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
         ), windows AS (
           SELECT doc_id, no, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS k, lead(line, 2) OVER w IS NOT NULL AS whole
@@ -47,11 +72,11 @@ ORACLES: dict[str, str] = {
         ), gone AS (
           SELECT DISTINCT doc_id, no + d AS no FROM ranked, (VALUES (0), (1), (2)) AS t(d) WHERE r > 1
         ), marked AS (
-          SELECT l.doc_id, l.line, l.at, c.no IS NOT NULL AS counts, g.no IS NOT NULL AS removed
-          FROM lined l LEFT JOIN counted c USING (doc_id, at) LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.no = c.no
+          SELECT l.doc_id, l.line, l.spot, c.no IS NOT NULL AS counts, g.no IS NOT NULL AS removed
+          FROM lined l LEFT JOIN counted c USING (doc_id, spot) LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.no = c.no
         ), kept AS (
           SELECT doc_id, count(*) FILTER (WHERE counts) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed,
-                 coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT removed), '') AS text
+                 coalesce(string_agg(line, chr(10) ORDER BY spot) FILTER (WHERE NOT removed), '') AS text
           FROM marked GROUP BY doc_id
         )
         SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(text) AS text_sha256 FROM kept

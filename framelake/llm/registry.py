@@ -10,10 +10,14 @@ from framelake.llm import contracts as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": C.near_dedup,
+    "op2_quality_classifier": C.quality_classifier,
+    "op3_language_id": C.language_id,
     "op4_best_fit_packing": C.best_fit_packing,
     "op5_benchmark_decontamination": C.benchmark_decontamination,
     "op7_substring_dedup": C.substring_dedup,
     "op8_line_dedup": C.line_dedup,
+    "op9_token_counts": C.token_counts,
+    "op10_quality_rules": C.quality_rules,
 }
 
 ORACLES: dict[str, str] = C.ORACLES
