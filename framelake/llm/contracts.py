@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontamination, language, lines, near_dup, packing, quality, rules, substrings, tokens
+from framelake.llm import decontamination, language, lines, lm, near_dup, packing, quality, rules, substrings, tokens
 from framelake.llm._stage import fold, table
 
 
@@ -37,6 +37,10 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("text")
 

@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": C.language_id,
     "op4_best_fit_packing": C.best_fit_packing,
     "op5_benchmark_decontamination": C.benchmark_decontamination,
+    "op6_lm_scoring": C.lm_scoring,
     "op7_substring_dedup": C.substring_dedup,
     "op8_line_dedup": C.line_dedup,
     "op9_token_counts": C.token_counts,
