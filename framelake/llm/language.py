@@ -154,43 +154,52 @@ def _get(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, default: float) ->
     return out
 
 
-_lexicons: dict[int, Lexicon] = {}
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _judge(m: Model, texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(language, score, cross-entropy, letters and ends counted, rejected) of each text."""
+    lexicon = m.__dict__.get("_lexicon") or m.__dict__.setdefault("_lexicon", m.lexicon())  # one for each worker's copy of the model
+    w = Words(texts)
+    row, (table,) = lexicon.lookup(w)
+    total = sum_by_text(table[row].astype(np.float64), w.first)
+    n = total[:, -1]
+    some = n > 0
+    name = np.full(len(n), UNKNOWN, object)
+    score, entropy, rejected = np.zeros(len(n)), np.full(len(n), np.nan), np.ones(len(n), bool)
+    if m.langs:
+        h = -total[some, :-1] / n[some, None]
+        best = h.argmin(axis=1)
+        low = h[np.arange(len(best)), best]
+        # Texts longer than 40 characters are no surer than that: characters aren't independent.
+        score[some] = 1 / np.exp(np.minimum((low[:, None] - h) * np.minimum(n[some, None], 40), 0)).sum(axis=1)
+        name[some] = np.array(m.langs, object)[best]
+        entropy[some] = low
+        rejected[some] = low > m.limit[best] + m.spread[best] / np.sqrt(n[some])
+    return name, score, entropy, n, rejected
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all their columns, whose text the model does not reject."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            yield b.filter(pa.array(~_judge(sent.value, b.column(b.schema.get_field_index("text")))[-1]))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, entropy, n_letters, rejected of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        lexicon = _lexicons.get(id(m))
-        if lexicon is None:
-            _lexicons.clear()
-            lexicon = _lexicons[id(m)] = m.lexicon()
-        width = len(m.langs)
         for b in chunks(batches):
-            w = Words(b.column("text"))
-            row, (table,) = lexicon.lookup(w)
-            total = sum_by_text(table[row].astype(np.float64), w.first)
-            n = total[:, -1]
-            some = n > 0
-            name = np.full(len(n), UNKNOWN, object)
-            score, entropy, rejected = np.zeros(len(n)), np.full(len(n), np.nan), np.ones(len(n), bool)
-            if width:
-                h = -total[some, :-1] / n[some, None]
-                best = h.argmin(axis=1)
-                low = h[np.arange(len(best)), best]
-                # Texts longer than 40 characters are no surer than that: characters aren't independent.
-                score[some] = 1 / np.exp((low[:, None] - h) * np.minimum(n[some, None], 40)).sum(axis=1)
-                name[some] = np.array(m.langs, object)[best]
-                entropy[some] = low
-                rejected[some] = low > m.limit[best] + m.spread[best] / np.sqrt(n[some])
+            name, score, entropy, n, rejected = _judge(sent.value, b.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(name, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(entropy, mask=np.isnan(entropy)), pa.array(n.astype(np.int64)), pa.array(rejected)],
+                [b.column("doc_id"), pa.array(name, pa.string()), pa.array(score), pa.array(entropy, mask=np.isnan(entropy)), pa.array(n.astype(np.int64)), pa.array(rejected)],
                 names=["doc_id", "lang_pred", "score", "entropy", "n_letters", "rejected"],
             )
 
