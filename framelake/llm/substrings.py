@@ -138,7 +138,7 @@ def _bloom_of(repeated: DataFrame, bits: int) -> np.ndarray:
 
 
 def repeated_ranges(docs: DataFrame, window: int = 35, anchor: int = 16, filter_bits: int = 1 << 27, heavy: int = 512, group: int = 1 << 20) -> DataFrame:
-    """doc_id, spans: per document with repeated windows, [start, end) word ranges (any order, may overlap), as one array of longs.
+    """doc_id, spans: per document with repeated windows, [start, end) word ranges, as one array of longs, sorted.
 
     filter_bits: size of the Bloom filter, at most (16 MB), made smaller for few prefixes. heavy: a task reports first
     blocks with so many suffixes. group: suffixes with one first block, from which it is split by longer prefixes.
@@ -208,33 +208,66 @@ def repeated_ranges(docs: DataFrame, window: int = 35, anchor: int = 16, filter_
             yield _batch(np.ones(len(k), np.int8), k, s, r)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, refs = [], []
+        """Answers: (doc_id, start, end) of covered ranges, in one blob for each bucket of documents."""
+        keys, refs, answers = [], [], []
         for b in batches:
             for kind, key, blob, ref in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if kind == 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.frombuffer(ref, np.int64)], pa.list_(pa.int64()))], names=["doc_id", "spans"])
+                    span = np.frombuffer(ref, np.int64).reshape(-1, 2)
+                    answers.append(np.column_stack([np.full(len(span), key), span]))
                 else:
                     keys.append(np.frombuffer(blob, np.uint64).reshape(-1, BLOCKS))
                     refs.append(np.frombuffer(ref, np.int64).reshape(-1, 2))
-        if not keys:
-            return
-        key, ref = np.concatenate(keys), np.concatenate(refs)
-        keys = refs = None
-        order = np.lexsort(tuple(key[:, i] for i in range(BLOCKS - 1, -1, -1)))
-        depth = common_depth(key, order)
-        deep = np.zeros(len(order), bool)
-        deep[1:] |= depth == BLOCKS
-        deep[:-1] |= depth == BLOCKS
-        hit = ref[order[deep]]
-        hit = hit[hit[:, 1] >= 0]
-        out = _spans(hit[:, 0], hit[:, 1], window)
-        if out.num_rows:
-            yield pa.RecordBatch.from_arrays([out.column(1), pa.array([np.frombuffer(x, np.int64) for x in out.column(3).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "spans"])
+        if keys:
+            key, ref = np.concatenate(keys), np.concatenate(refs)
+            keys = refs = None
+            order = np.lexsort(tuple(key[:, i] for i in range(BLOCKS - 1, -1, -1)))
+            depth = common_depth(key, order)
+            deep = np.zeros(len(order), bool)
+            deep[1:] |= depth == BLOCKS
+            deep[:-1] |= depth == BLOCKS
+            hit = ref[order[deep]]
+            hit = hit[hit[:, 1] >= 0]
+            answers.append(np.column_stack(merged(hit[:, 0], hit[:, 1], hit[:, 1] + window)))
+        if answers:
+            found = np.concatenate(answers)
+            bucket = (mix(found[:, 0].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            cut, ends = runs(bucket[by])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[by[cut]]), pa.array([found[by[a:e]].tobytes() for a, e in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["bucket", "found"]
+            )
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [np.frombuffer(x, np.int64).reshape(-1, 3) for b in batches for x in b.column(1).to_pylist()]
+        if blobs:
+            who, start, end = merged(*np.concatenate(blobs).T)
+            cut, ends = runs(who)
+            off = np.append(cut, len(who)) * 2
+            flat = np.stack([start, end], axis=1).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(who[cut]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))], names=["doc_id", "spans"])
 
     kind = "kind tinyint, key bigint, suffixes binary, refs binary"
     dealt = rows.mapInArrow(suffixes, kind)
-    found = dealt.repartition(parts, F.when(F.col("kind") == 1, F.col("key")).otherwise(F.xxhash64("key"))).mapInArrow(trees, "doc_id bigint, spans array<bigint>")
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    answered = dealt.repartition(parts, F.when(F.col("kind") == 1, F.col("key")).otherwise(F.xxhash64("key"))).mapInArrow(trees, "bucket bigint, found binary")
+    return answered.repartition(parts, "bucket").mapInArrow(collect, "doc_id bigint, spans array<bigint>")
+
+
+def merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges of each id, sorted, those that meet joined."""
+    order = np.lexsort((start, ids))
+    ids, start, end = ids[order], start[order], end[order]
+    if not len(ids):
+        return ids, start, end
+    lead, _ = runs(ids)
+    # The furthest end so far within an id: ends are lifted by a multiple of the id's number, so one running maximum does.
+    lift = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(ids)))) * (int(end.max()) + 1)
+    far = np.maximum.accumulate(end + lift) - lift
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (start[1:] > far[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ids)) - 1
+    return ids[first], start[first], far[last]
 
 
 def grams_of_rows(keys: np.ndarray) -> np.ndarray:
@@ -252,15 +285,10 @@ def common_depth(key: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def _spans(ids: np.ndarray, pos: np.ndarray, window: int) -> pa.RecordBatch:
     """Window starts by document, joined to [start, end) ranges."""
-    order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (pos[1:] > pos[:-1] + window)
-    lead = np.flatnonzero(new)
-    last = np.append(lead[1:], len(ids)) - 1
-    who, span = ids[lead], np.stack([pos[lead], pos[last] + window], axis=1) if len(lead) else np.zeros((0, 2), np.int64)
+    who, start, end = merged(ids, pos, pos + window)
     cut, ends = runs(who)
-    return _batch(np.zeros(len(cut), np.int8), who[cut].tolist(), [b""] * len(cut), [span[a:e].astype(np.int64).tobytes() for a, e in zip(cut.tolist(), ends.tolist(), strict=True)])
+    span = np.stack([start, end], axis=1).astype(np.int64)
+    return _batch(np.zeros(len(cut), np.int8), who[cut].tolist(), [b""] * len(cut), [span[a:e].tobytes() for a, e in zip(cut.tolist(), ends.tolist(), strict=True)])
 
 
 def _batch(kind, key, suffixes, refs) -> pa.RecordBatch:
