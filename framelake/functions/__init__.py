@@ -1 +1 @@
-
+"""Column expressions: bit vectors, perceptual hashes, signatures, geometry, display."""

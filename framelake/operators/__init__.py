@@ -1 +1 @@
-
+"""Relational operators over ordered frame relations."""
