@@ -134,7 +134,7 @@ def links(rows: DataFrame, heads: DataFrame, size: int, percent: int, tile: int)
                 p, s, n, d, x = zip(*out[a : a + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(d, pa.int64()), pa.array(x, pa.binary())], names=["pivot", "share", "shares", "member", "shingles"])
 
-    texts = rows.join(wanted, "doc_id")
+    texts = rows.join(wanted.hint("merge"), "doc_id")
     sent = texts.mapInArrow(sets, "pivot bigint, share int, shares int, member bigint, shingles binary")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
