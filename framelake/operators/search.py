@@ -61,13 +61,13 @@ def seed_positions(chunks: DataFrame) -> DataFrame:
 
 
 def suppressed(found: DataFrame, distance: int = 50) -> DataFrame:
-    """One candidate for each cluster of a seed's candidates: in order of position, one within `distance` of the cluster's
-    present representative replaces it if better, and moves it."""
+    """One candidate for each cluster of a seed's candidates: in order of position, one nearer than `distance` to the cluster's
+    present representative replaces it if better, and so moves it."""
     row = F.struct("pos", "agree")
     kept = F.aggregate(
         F.array_sort(F.collect_list(row)),
         F.array().cast("array<struct<pos:bigint,agree:int>>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["pos"] - F.get(acc, F.size(acc) - 1)["pos"] > distance), F.concat(acc, F.array(x)))
+        lambda acc, x: F.when((F.size(acc) == 0) | (x["pos"] - F.get(acc, F.size(acc) - 1)["pos"] >= distance), F.concat(acc, F.array(x)))
         .when(x["agree"] > F.get(acc, F.size(acc) - 1)["agree"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x)))
         .otherwise(acc),
     )

@@ -43,8 +43,8 @@ _WITH = f"WITH RECURSIVE {V.CLIP}"
 #: Ordered suppression, one candidate at a time.
 _KEPT = """, numbered AS (SELECT si, pos, agree, row_number() OVER (PARTITION BY si ORDER BY pos) AS n FROM agree WHERE si % 15 = 0 AND agree >= 36),
 walk AS (SELECT si, n, pos, agree, 1 AS cluster FROM numbered WHERE n = 1 UNION ALL
-  SELECT w.si, x.n, CASE WHEN x.pos - w.pos > 50 OR x.agree > w.agree THEN x.pos ELSE w.pos END, CASE WHEN x.pos - w.pos > 50 OR x.agree > w.agree THEN x.agree ELSE w.agree END,
-         CASE WHEN x.pos - w.pos > 50 THEN w.cluster + 1 ELSE w.cluster END
+  SELECT w.si, x.n, CASE WHEN x.pos - w.pos >= 50 OR x.agree > w.agree THEN x.pos ELSE w.pos END, CASE WHEN x.pos - w.pos >= 50 OR x.agree > w.agree THEN x.agree ELSE w.agree END,
+         CASE WHEN x.pos - w.pos >= 50 THEN w.cluster + 1 ELSE w.cluster END
   FROM walk w JOIN numbered x ON x.si = w.si AND x.n = w.n + 1),
 kept AS (SELECT si, arg_max(pos, n) AS pos, CAST(arg_max(agree, n) AS INTEGER) AS agree FROM walk GROUP BY si, cluster)"""
 

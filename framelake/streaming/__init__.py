@@ -1 +1 @@
-
+"""Incremental ingest of fingerprint records."""
