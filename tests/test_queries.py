@@ -7,7 +7,7 @@ from framelake.plans import catalogue
 from helpers import oracle, rows_of
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, sf, name):
     got = rows_of(catalogue.QUERIES[name](spark, sf).toPandas())
     assert got == rows_of(oracle(sf, catalogue.ORACLES[name]))
