@@ -114,7 +114,7 @@ class Model:
             code, depth, part = _spell(some)
             hashes = _gram_hashes(code, self.order)
             p = np.full((len(code), len(self.langs)), 1.0 / _ALPHABET, np.float32)
-            for n in range(1, self.order + 1):
+            for n in range(1, len(self.grams) + 1):
                 place = np.flatnonzero((depth >= n - 1) & (depth > 0))
                 context = hashes[n - 2][place - 1] if n > 1 else np.zeros(len(place), np.uint64)
                 p[place] = _get(self.grams[n - 1], hashes[n - 1][place], 0.0) + _get(self.contexts[n - 1], context, 1.0) * p[place]
