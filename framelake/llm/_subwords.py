@@ -61,9 +61,9 @@ def lexicon(path: str) -> RaggedLexicon:
     return _open[path]
 
 
-def encode(texts: pa.Array, path: str = DEFAULT_VOCABULARY, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, offsets of each text's ids)."""
-    words = Words(texts, lower=lower)
+def encode(texts: pa.Array | Words, path: str = DEFAULT_VOCABULARY, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, offsets of each text's ids); texts may be words already cut."""
+    words = texts if isinstance(texts, Words) else Words(texts, lower=lower)
     ids, length = lexicon(path).spread(words)
     ends = np.concatenate([[0], np.cumsum(length)])
     return ids, ends[words.first]

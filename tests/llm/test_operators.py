@@ -323,7 +323,7 @@ def test_language_of_every_row(spark, empty):
 
 
 def test_language_model_scores(spark, docs, rows, empty):
-    small = dict(frequent=20, epochs=1, heads=64, own=8, shared=4)
+    small = dict(frequent=20, epochs=1, heads=64, own=24, shared=7)
     got = {r["doc_id"]: r for r in lm.score(docs, **small).collect()}
     count = Counter()
     for d, t, *_ in rows:
@@ -347,7 +347,9 @@ def test_attention_is_causal_and_windows_score_each_id_once():
     rng = np.random.default_rng(0)
     vec = lambda *s: rng.standard_normal(s).astype(np.float32)
     ids = rng.integers(0, 30, 40)
-    m = lm.Model(16, np.arange(30), np.arange(30), np.zeros(30), vec(30, 30), vec(30, 8), vec(30, 8), vec(30, 8), vec(32), vec(8, 30), vec(30))
+    m = lm.Model(16, np.arange(32), np.arange(32), np.zeros(32), vec(32, 32), vec(32, 8), vec(32, 8), vec(32, 8), vec(32), vec(8, 32), vec(32), vec(8, 2), vec(2))
+    every = [m.log_prob(np.append(ids[:20], k), np.array([0, 21]))[0] - m.log_prob(ids[:20], np.array([0, 20]))[0] for k in range(32)]
+    assert abs(sum(10.0**x for x in every) - 1) < 1e-5  # the next id's probabilities add up to 1
     whole = m.log_prob(ids, np.array([0, 40]))[0]
     part = m.log_prob(ids[:25], np.array([0, 25]))[0]
     changed = ids.copy()
@@ -361,8 +363,8 @@ def test_training_follows_the_gradient():
     ids = np.tile([28, 1, 2, 3, 4, 5, 6, 29], 40)
     first = np.arange(0, len(ids) + 1, 8)
     vec = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-    m = lm.Model(4, np.arange(30), np.arange(30), np.zeros(30), np.zeros((30, 30), np.float32), vec(30, 8), vec(30, 8), vec(30, 8), np.zeros(8, np.float32), np.zeros((8, 30), np.float32), np.zeros(30, np.float32))
+    zeros = lambda *s: np.zeros(s, np.float32)
+    m = lm.Model(4, np.arange(32), np.arange(32), np.zeros(32), zeros(32, 32), vec(32, 8), vec(32, 8), vec(32, 8), zeros(8), zeros(8, 32), zeros(32), zeros(8, 2), zeros(2))
     before = m.log_prob(ids, first).sum()
-    m._whole = None
     lm.train(m, ids, first, epochs=40, batch=16)
     assert m.log_prob(ids, first).sum() > before * 0.3
