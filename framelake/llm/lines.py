@@ -48,13 +48,14 @@ def repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def remove_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
-    """docs with text replaced, and n_lines and n_removed (lines that count, before; lines removed)."""
-    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    gone = repeated_lines(docs.select("doc_id", "text"), size).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("gone", "_gone")
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc_id"], "left")
+def remove_repeated_lines(docs: DataFrame, size: int = 3, counts: bool = True) -> DataFrame:
+    """docs with text replaced; with counts also n_lines and n_removed (lines that count, before; lines removed), which
+    take the place of columns of these names."""
+    names = [c for c in docs.columns if c != "text" and not (counts and c in ("n_lines", "n_removed"))]
+    gone = repeated_lines(docs.select("doc_id", "text"), size).withColumnRenamed("doc_id", "__framelake_doc_id").withColumnRenamed("gone", "__framelake_gone")
+    joined = docs.join(gone, docs["doc_id"] == gone["__framelake_doc_id"], "left")
     # Window starts mark the lines from start to start + size; as line numbers that is at most size times as many.
-    covered = F.array_distinct(F.flatten(F.transform("_gone", lambda p: F.sequence(p, p + (size - 1)))))
+    covered = F.array_distinct(F.flatten(F.transform("__framelake_gone", lambda p: F.sequence(p, p + (size - 1)))))
     text = F.col("text")
 
     def without(lines: Column) -> Column:
@@ -63,9 +64,17 @@ def remove_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
         kept = let(places, lambda at: F.array_except(every, F.transform(covered, lambda c: F.get(at, c))))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    return joined.select(
+    gone_here = F.col("__framelake_gone")
+    out = joined.select(
         *[F.col(f"`{c}`") for c in names],
-        F.when(F.col("_gone").isNull(), text).otherwise(let(F.split(text, "\n", -1), without)).alias("text"),
-        F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n", -1), _has_word))).cast("bigint").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size(covered)).cast("bigint").alias("n_removed"),
+        F.when(gone_here.isNull(), text).otherwise(let(F.split(text, "\n", -1), without)).alias("text"),
+        *(
+            (
+                F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n", -1), _has_word))).cast("bigint").alias("n_lines"),
+                F.when(gone_here.isNull(), 0).otherwise(F.size(covered)).cast("bigint").alias("n_removed"),
+            )
+            if counts
+            else ()
+        ),
     )
+    return out if counts else out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,8 @@ def test_stages_run_in_order_and_take_effect(spark, sf, tmp_path):
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] and counts[0] == counts[1]
     # Stage 3: of each group of equal texts one is left; stage 4: no ten-word window of an item is left.
     left = spark.read.parquet(str(tmp_path / "2"))
-    assert left.select("text").distinct().count() == left.count()
+    worded = left.filter("trim(text) <> ''")  # texts emptied by the stage before are linked with nothing
+    assert worded.select("text").distinct().count() == worded.count()
     cut = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t)).split()
     windows = set()
     for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall():
