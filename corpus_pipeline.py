@@ -20,10 +20,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without later occurrences of three-line windows; n_chars follows the text."""
-    cut = lines.remove_repeated_lines(docs, size=3).drop("n_lines", "n_removed")
+    cut = lines.remove_repeated_lines(docs, size=3, counts=False)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
