@@ -1,9 +1,11 @@
 """Best-fit packing of tokenised documents into fixed-length sequences, by hierarchical residual packing.
 
-Each task tokenises its documents and packs the pieces best-fit-decreasing, a bounded buffer at a time.
-Bins that are nearly full leave at once. Underfull bins become items themselves: they are dealt to
-fewer tasks, packed again, and so on until one task's share holds them all. Only the pieces of
-underfull bins ever move between tasks.
+Each task tokenises its documents into pieces; nearly full ones are sequences at once. The others (ids, places and
+sizes, no text) are dealt by hash to as many tasks as keep about half a buffer in each, so a task's pieces are a mix
+of the whole corpus whatever order the documents came in, and each task packs its pieces best-fit-decreasing, all at once.
+Best fit leaves at most one bin of up to half the capacity in a task, and fuller ones can't join each other: what can
+still be merged are these small bins, with each other or with one of as many least full others. They go to one
+task, after rounds among themselves where they are more than half a buffer.
 
 Rows: a null or empty text is one piece that holds just the end id. Repeated rows are packed as often
 as they occur; a null doc_id is packed like any other. An empty table gives an empty result. Extra
@@ -59,52 +61,34 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 class _Packer:
     """Takes items (a size and the pieces inside), gives back bins as record batches.
 
-    At most `buffer` items wait at a time. A bin filled to `nearly_full` of the capacity leaves as
-    final; the others stay as items for the next buffer and leave as underfull at the end.
+    A bin filled to `nearly_full` of the capacity is final, in the last round each one is.
     """
 
-    def __init__(self, capacity: int, nearly_full: float, buffer: int, level: int, last: bool):
+    def __init__(self, capacity: int, nearly_full: float, level: int, last: bool):
         from pyspark import TaskContext
 
-        self.capacity, self.enough, self.buffer, self.last = capacity, int(capacity * nearly_full), buffer, last
+        self.capacity, self.enough, self.last = capacity, int(capacity * nearly_full), last
         self.items: list[tuple[int, list[tuple]]] = []
         part = TaskContext.get().partitionId()
         self.next_id = (level << 56) | (part << 32)
         self.out: list[tuple[bool, int, int, list[tuple]]] = []
 
-    def add(self, size: int, pieces: list[tuple]) -> None:
-        self.items.append((size, pieces))
-        if len(self.items) >= self.buffer:
-            self._pack(done=False)
-
-    def _pack(self, done: bool) -> None:
-        keep = []
+    def pack(self) -> Iterator[pa.RecordBatch]:
         for members in best_fit([s for s, _ in self.items], self.capacity):
             used, pieces = 0, []
             for i in members:
                 for p in self.items[i][1]:
                     pieces.append((*p[:5], used))
                     used += p[3]
-            if used >= self.enough or (done and self.last):
-                self._emit(True, used, pieces)
-            elif done:
-                self._emit(False, used, pieces)
-            else:
-                keep.append((used, pieces))
-        if len(keep) * 2 > self.buffer:  # bins that can't help each other: most of them leave, fullest first
-            keep.sort(key=lambda x: x[0])
-            for used, pieces in keep[self.buffer // 2 :]:
-                self._emit(True, used, pieces)
-            keep = keep[: self.buffer // 2]
-        self.items = keep
+            self._emit(self.last or used >= self.enough, used, pieces)
+            yield from self.batches()
+        yield from self.batches(done=True)
 
     def _emit(self, final: bool, used: int, pieces: list[tuple]) -> None:
         self.out.append((final, self.next_id, used, pieces))
         self.next_id += 1
 
     def batches(self, done: bool = False) -> Iterator[pa.RecordBatch]:
-        if done:
-            self._pack(done=True)
         if self.out and (done or len(self.out) > 5000):
             final, ids, used, pieces = zip(*self.out, strict=True)
             names = [f.name for f in _PIECE]
@@ -130,53 +114,53 @@ def pack(
     end_id: int = 0,
     nearly_full: float = 0.995,
     buffer: int = 65536,
-    fan_in: int = 16,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     vocabulary: a tokenizers file, by path or by name among the public ones. buffer: items that a task
-    holds at once, which bounds its memory; beyond it, bins that are over half full leave unpacked
-    further. fan_in: tasks merged into one at each round.
+    holds at most, which bounds its memory; shares are dealt to half of it.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(capacity, nearly_full, buffer, 0, last=False)
+        packer = _Packer(capacity, nearly_full, 0, last=False)
         for b in chunks(batches):
             for p in pieces_of(b, capacity, vocabulary, end_id):
-                if p[3] >= packer.enough:
-                    packer._emit(True, p[3], [p])
-                else:
-                    packer.add(p[3], [p])
+                packer._emit(p[3] >= packer.enough, p[3], [p])
             yield from packer.batches()
         yield from packer.batches(done=True)
 
     def again(level: int, last: bool):
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            packer = _Packer(capacity, nearly_full, buffer, level, last)
+            packer = _Packer(capacity, nearly_full, level, last)
             for b in batches:
                 for used, pieces in zip(b.column("used").to_pylist(), b.column("pieces").to_pylist(), strict=True):
-                    packer.add(used, [tuple(p.values()) for p in pieces])
-                yield from packer.batches()
-            yield from packer.batches(done=True)
+                    packer.items.append((used, [tuple(p.values()) for p in pieces]))
+            yield from packer.pack()
 
         return merge
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bins = staged(rows.mapInArrow(first, _BIN))
-    done, rest, level = [bins.filter("final")], bins.filter("not final"), 0
-    left, parts = rest.count(), None
-    while left:
+    done, small, level = [bins.filter("final")], bins.filter("not final"), 0
+    others = None  # bins over half full that are not final
+    while left := small.count():
         level += 1
-        parts = max(1, min(-(-left // (buffer // 2)), (parts or left) // fan_in))
-        last = parts == 1
-        bins = rest.repartition(parts, F.xxhash64("sequence_id")).mapInArrow(again(level, last), _BIN)
-        if last:
-            done.append(bins)
+        parts = -(-left // max(2, buffer // 2))
+        if parts == 1:  # so many of the least full others can take all that any can
+            if others is not None:
+                edge = others.select("used", "sequence_id").orderBy("used", "sequence_id").limit(left).agg(F.max(F.struct("used", "sequence_id"))).first()[0]
+                if edge is not None:
+                    near = (F.col("used") < edge["used"]) | ((F.col("used") == edge["used"]) & (F.col("sequence_id") <= edge["sequence_id"]))
+                    small, others = small.union(others.filter(near)), others.filter(~near)
+            done.append(small.repartition(1).mapInArrow(again(level, True), _BIN))
             break
-        bins = staged(bins)
+        bins = staged(small.repartition(parts, F.xxhash64("sequence_id")).mapInArrow(again(level, False), _BIN))
         done.append(bins.filter("final"))
-        rest = bins.filter("not final")
-        left = rest.count()
+        half = F.col("used") * 2 <= capacity
+        small, more = bins.filter(~F.col("final") & half), bins.filter(~F.col("final") & ~half)
+        others = more if others is None else others.union(more)
+    if others is not None:
+        done.append(others)
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

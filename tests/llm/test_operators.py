@@ -170,6 +170,23 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_in_any_order(spark):
+    # Long pieces first: far more than a buffer of bins just over half full wait for the short ones.
+    texts = ["a " * 34] * 300 + ["a " * 24] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = packing.pack(docs, capacity=64, buffer=256).collect()
+    used = Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+    assert sorted(r["doc_id"] for r in got) == list(range(600)) and max(used.values()) <= 64
+    assert len(used) <= 330  # 300 are the least
+
+
+def test_packing_nothing_fits(spark):
+    docs = spark.createDataFrame([(i, "a " * 39) for i in range(200)] + [(200, "a " * 19), (201, "a " * 19)], "doc_id bigint, text string").coalesce(1)
+    assert packing.pack(docs, capacity=64, buffer=32).select("sequence_id").distinct().count() == 200
+
+
 def test_best_fit_keeps_sizes():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 65, 500).tolist()
