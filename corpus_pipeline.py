@@ -27,15 +27,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each near-duplicate group at five words and 0.8."""
-    groups = near_dup.near_duplicates(docs, size=5, percent=80)
-    return docs.join(groups.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row, the one with the least doc_id, of each near-duplicate group at five words and 0.8; rows that share a
+    doc_id are compared each by its own text. Rows without a doc_id stay."""
+    row = "__framelake_row"
+    docs_by_row = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    ids = docs_by_row.select("doc_id", row)
+    named = docs_by_row.select(F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id"), F.col("text"))
+    groups = near_dup.near_duplicates(named, size=5, percent=80).filter("component_id is not null").select(F.col("doc_id").alias(row), "component_id")
+    members = staged(groups.join(ids, row))
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component_id", F.col(f"first.{row}").alias("first"))
+    later = members.join(first, "component_id").filter(F.col(row) != F.col("first")).select(row)
+    return docs_by_row.join(later, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten-word window of a benchmark item."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows that hold no ten-word window of a benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,20 +131,50 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 10, bloc
     items: the item ids found, sorted; spans: [start, end) word ranges that are hit, merged.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
     rows = rows.withColumns({"items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast("array<bigint>")})
     blocks = _blocks(bench, block_words)
     block = next(blocks, [])
     while True:
-        known = np.unique(Words(pa.array([r["text"] for r in block], pa.string()), ALNUM, lower=True).hash)
-        counts = _word_counts(rows, known) if len(known) else {}
-        index = spark.sparkContext.broadcast(Index([r["text"] for r in block], [r["item_id"] for r in block], window, counts))
+        index = _index(rows, block, window)
         block = next(blocks, None)
         if block is None:
             return rows.mapInArrow(_scan(index, True), _RESULT)
         rows = staged(rows.mapInArrow(_scan(index, False), _SO_FAR))
 
 
+def clean(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of docs, all their columns, that hold no window: each row by its own text, whatever its doc_id."""
+    blocks = _blocks(bench, block_words)
+    block = next(blocks, [])
+    while True:
+        docs_left = docs.mapInArrow(_without(_index(docs, block, window)), docs.schema)
+        block = next(blocks, None)
+        if block is None:
+            return docs_left
+        docs = staged(docs_left)
+
+
+def _without(sent):
+    """Leaves out the rows that one block's index finds."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            w = Words(b.column(b.schema.get_field_index("text")), ALNUM, lower=True)
+            start, _ = sent.value.hits(w)
+            keep = np.ones(b.num_rows, bool)
+            keep[np.searchsorted(w.first, start, side="right") - 1] = False
+            yield b.filter(pa.array(keep))
+
+    return scan
+
+
+def _index(rows: DataFrame, block: list, window: int):
+    """The broadcast index of a block's items, by the counts of its words in rows."""
+    known = np.unique(Words(pa.array([r["text"] for r in block], pa.string()), ALNUM, lower=True).hash)
+    counts = _word_counts(rows, known) if len(known) else {}
+    return rows.sparkSession.sparkContext.broadcast(Index([r["text"] for r in block], [r["item_id"] for r in block], window, counts))
+
+
 _SO_FAR = "doc_id bigint, text string, items array<string>, spans array<bigint>"
 _RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<bigint>"
 

@@ -228,6 +228,14 @@ def test_contamination(spark, docs, rows, block_words):
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() and r["n_items"] == len(found)
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 20])
+def test_clean_rows_are_those_without_a_hit(spark, docs, rows, block_words):
+    bench = spark.createDataFrame([(k, " ".join(rows[k][1].split()[3:20])) for k in (8, 9, 14, 22)] + [(90, "one"), (91, None)], "item_id bigint, text string")
+    clean = {r["doc_id"] for r in decontamination.find_contamination(docs, bench).filter("not contaminated").collect()}
+    left = decontamination.clean(docs, bench, block_words=block_words)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == clean and 0 < len(clean) < len(rows)
+
+
 def test_no_benchmark_finds_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.find_contamination(docs, none).filter("contaminated").count() == 0

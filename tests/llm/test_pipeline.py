@@ -41,3 +41,15 @@ def test_clashing_columns_pass_through(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, sf)
         assert {"kept", "n_removed", "pos"} <= set(docs.columns)
+
+
+def test_rows_go_by_their_own_text(spark, sf):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    passage = next(t for (t,) in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect() if len(t.split()) > 12)
+    schema = "doc_id bigint, text string"
+    rows = [(None, f"x {passage} y"), (None, words(0)), (5, passage), (5, words(1)), (6, words(2))]
+    left = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, schema), sf).collect()
+    assert {tuple(r) for r in left} == {(None, words(0)), (5, words(1)), (6, words(2))} and len(left) == 3
+    rows = [(9, words(1)), (9, words(3)), (4, words(1)), (7, words(4)), (7, words(4)), (None, words(5)), (8, "")]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(3), sf).collect()
+    assert {tuple(r) for r in left} == {(4, words(1)), (9, words(3)), (7, words(4)), (None, words(5)), (8, "")} and len(left) == 5
