@@ -81,6 +81,16 @@ def context_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.validate_context(V.segments(spark, sf_dir).filter("seg_id % 20 = 3"), "match_id").select("match_id", "seg_id")
 
 
+def dedup_segments_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_segments over every segment; its SQL holds a part of them only."""
+    return ordered.drop_overlaps(V.segments(spark, sf_dir), "match_id").select("match_id", "seg_id", "conf")
+
+
+def context_validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """context_validate over every segment; its SQL holds a part of them only."""
+    return ordered.validate_context(V.segments(spark, sf_dir), "match_id").select("match_id", "seg_id")
+
+
 def confidence_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.segments(spark, sf_dir)
     return s.groupBy(display.confidence_class(F.col("conf"), F.col("approx")).alias("class"), display.timeline_class(F.col("conf")).alias("bar")).agg(F.count("*").alias("segments"))
@@ -161,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scene_cuts, scene_chunks, seed_positions, unmatched_ranges, forced_groups, gap_interpolate, path_statistics, rolling_avg_50, count_windows, contiguous_prefix,
-        merge_segments, dedup_segments, context_validate, confidence_class, speed_report, asof_nearest, local_align, percentile_sample, parity_stats, gt_coverage, coverage_timeline,
+        merge_segments, dedup_segments, context_validate, dedup_segments_all, context_validate_all, confidence_class, speed_report, asof_nearest, local_align, percentile_sample, parity_stats, gt_coverage, coverage_timeline,
     )
 }
 ORACLES = {
