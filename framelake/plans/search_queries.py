@@ -38,6 +38,40 @@ def forced_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy().agg(F.count("*").alias("frames"), F.round(F.avg(F.col("agree") / 64 * 100), 6).alias("mean_best"))
 
 
+def nn_top1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches named _all take every frame whose id is divisible by 100; the SQL of the others has the clip's 60 frames."""
+    return search.nearest(search.scores(V.searches(spark, sf_dir), V.frames(spark, sf_dir), 64, 1, floor=40))
+
+
+def nn_stride5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.nearest(search.scores(V.searches(spark, sf_dir), V.frames(spark, sf_dir).filter("pos % 5 = 0"), 64, 1))
+
+
+def nn_coarse_fine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.coarse_to_fine(V.searches(spark, sf_dir), V.frames(spark, sf_dir), 64, 1)
+
+
+def seed_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds at 0, 25, 50, 75 and 100 % of the searches as one chunk."""
+    q = V.searches(spark, sf_dir)
+    chunk = q.agg(F.min("si").alias("start"), F.max("si").alias("end")).filter("start is not null")
+    seeds = search.seed_positions(chunk).select(F.col("seed").cast("bigint").alias("si"))
+    return search.scores(q.join(seeds, "si", "left_semi"), V.frames(spark, sf_dir), 64, 1, floor=36)
+
+
+def seed_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.suppressed(seed_scores_all(spark, sf_dir))
+
+
+def seed_top8_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top(seed_candidates_all(spark, sf_dir)).select("si", "pos", "agree", "rank")
+
+
+def forced_best_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = search.nearest(search.scores(V.searches(spark, sf_dir), V.frames(spark, sf_dir), 64, 1))
+    return best.groupBy().agg(F.count("*").alias("frames"), F.round(F.avg(F.col("agree") / 64 * 100), 6).alias("mean_best"))
+
+
 _BEST = "SELECT si, arg_max(pos, agree * 1000000 - pos) AS pos, CAST(max(agree) AS INTEGER) AS agree FROM {rows} GROUP BY si"
 _WITH = f"WITH RECURSIVE {V.CLIP}"
 #: Ordered suppression, one candidate at a time.
@@ -56,6 +90,13 @@ QUERIES = {
     "seed_candidates": seed_candidates,
     "seed_top8": seed_top8,
     "forced_best": forced_best,
+    "nn_top1_all": nn_top1_all,
+    "nn_stride5_all": nn_stride5_all,
+    "nn_coarse_fine_all": nn_coarse_fine_all,
+    "seed_scores_all": seed_scores_all,
+    "seed_candidates_all": seed_candidates_all,
+    "seed_top8_all": seed_top8_all,
+    "forced_best_all": forced_best_all,
 }
 ORACLES = {
     "nn_top1": f"{_WITH} " + _BEST.format(rows="agree WHERE agree >= 40"),

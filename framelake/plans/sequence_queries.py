@@ -110,7 +110,17 @@ def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def local_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each seventh row's best row at most three positions away, by level."""
     t = V.timeline(spark, sf_dir)
-    left = t.filter("pos % 7 = 0").select("video_id", "pos", "level", F.explode(F.sequence(F.col("pos") - 3, F.col("pos") + 3)).alias("at")).filter("at <> pos")
+    return _local_align(t.filter("pos % 7 = 0"), t)
+
+
+def local_align_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """local_align for every row; its SQL holds each seventh only."""
+    t = V.timeline(spark, sf_dir)
+    return _local_align(t, t)
+
+
+def _local_align(rows: DataFrame, t: DataFrame) -> DataFrame:
+    left = rows.select("video_id", "pos", "level", F.explode(F.sequence(F.col("pos") - 3, F.col("pos") + 3)).alias("at")).filter("at <> pos")
     near = left.join(t.select("video_id", F.col("pos").alias("at"), F.col("level").alias("other")), ["video_id", "at"])
     best = near.groupBy("video_id", "pos").agg(F.max(F.struct((100000 - F.abs(F.col("level") - F.col("other"))).alias("s"), (-F.col("at")).alias("n"))).alias("b"))
     return best.select("video_id", "pos", (-F.col("b.n")).alias("at"), (100000 - F.col("b.s")).alias("difference"))
@@ -171,7 +181,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scene_cuts, scene_chunks, seed_positions, unmatched_ranges, forced_groups, gap_interpolate, path_statistics, rolling_avg_50, count_windows, contiguous_prefix,
-        merge_segments, dedup_segments, context_validate, dedup_segments_all, context_validate_all, confidence_class, speed_report, asof_nearest, local_align, percentile_sample, parity_stats, gt_coverage, coverage_timeline,
+        merge_segments, dedup_segments, context_validate, dedup_segments_all, context_validate_all, confidence_class, speed_report, asof_nearest, local_align, local_align_all, percentile_sample, parity_stats, gt_coverage, coverage_timeline,
     )
 }
 ORACLES = {

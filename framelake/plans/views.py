@@ -50,6 +50,12 @@ CLIP = (
 )
 
 
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """si, src_pos, q, a, w0: every frame whose id is divisible by 100, as it is; si counts in hundreds."""
+    f = frames(spark, sf_dir).filter("pos % 100 = 0")
+    return f.select(F.floor(F.col("pos") / 100).cast("bigint").alias("si"), F.col("pos").alias("src_pos"), "q", "a", "w0")
+
+
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, colour (48 numbers from 0 to 255), skin (16 shares in quarters), detail (16 numbers)."""
     g = grids(spark, sf_dir)
