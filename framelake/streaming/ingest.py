@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,21 +29,30 @@ def store(stream: DataFrame, path: str, checkpoint: str):
 
 
 def online_cuts(stream: DataFrame, limit: int = 192) -> DataFrame:
-    """video_id, frameIndex of frames whose hash differs from the frame before in more than `limit` bits. State: a video's last hash."""
+    """video_id, frameIndex of frames that differ from the frame before as in align.cuts_of: in more than `limit` bits of the hash, in
+    more than 72 % of the dhash, or by more than 100 in colour. A frame without dhash or colours skips that test. State: a video's last frame."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("frameIndex")
-        last = int(state.get[0], 2) if state.exists else None
-        cut, value = [], None
+        last = state.get if state.exists else None
+        cut = []
         for r in rows.itertuples(index=False):
-            value = r.hash
-            now = int(value, 2)
-            if last is not None and (now ^ last).bit_count() > limit:
+            now = (r.hash, r.dhash or "", [float(x) for x in r.colour] if r.colour is not None and len(r.colour) == 48 else [])
+            if last is not None and _changed(last, now, limit):
                 cut.append(r.frameIndex)
             last = now
-        if value is not None:
-            state.update((value,))
+        if len(rows):
+            state.update(tuple(last))
         yield pd.DataFrame({"video_id": [key[0]] * len(cut), "frameIndex": cut})
 
-    hashes = stream.select("video_id", "frameIndex", F.col("variants")["full"]["hash"].alias("hash")).filter("hash is not null")
-    return hashes.groupBy("video_id").applyInPandasWithState(step, "video_id string, frameIndex int", "hash string", "append", GroupStateTimeout.NoTimeout)
+    full = F.col("variants")["full"]
+    frames = stream.select("video_id", "frameIndex", full["hash"].alias("hash"), full["dhash"].alias("dhash"), F.col("signature.colorGrid").alias("colour")).filter("hash is not null")
+    return frames.groupBy("video_id").applyInPandasWithState(step, "video_id string, frameIndex int", "hash string, dhash string, colour array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _changed(last: tuple, now: tuple, limit: int) -> bool:
+    if (int(now[0], 2) ^ int(last[0], 2)).bit_count() > limit:
+        return True
+    if now[1] and len(now[1]) == len(last[1]) and (1 - (int(now[1], 2) ^ int(last[1], 2)).bit_count() / len(now[1])) * 100 < 28:
+        return True
+    return bool(len(now[2]) and len(last[2])) and math.dist(now[2], last[2]) > 100

@@ -27,6 +27,29 @@ def test_ingest_stores_each_frame_once_and_finds_cuts(spark, tmp_path):
     assert [r["frameIndex"] for r in spark.table("cuts").collect()] == [8]
 
 
+def test_online_cuts_by_dhash_and_colour(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def frame(k, dhash, colour):
+        grids = {"colorGrid": [colour] * 48, "skinScoreGrid": [0.0] * 16, "detailGrid": [0.0] * 16}
+        v = {"hash": "0" * 256, "dhash": dhash * 480, "fhash": "0" * 256, "fdhash": "0" * 480}
+        return json.dumps({"video_id": "v", "frameIndex": k, "timestamp": k / 25, "variants": {"full": v}, "signature": grids})
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text("\n".join(frame(k, "1" if k > 2 else "0", 9.0) for k in range(1, 5)))
+    cuts = lambda name: ingest.online_cuts(ingest.records(spark, str(src))).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    cuts("by_dhash").awaitTermination()
+    assert [r["frameIndex"] for r in spark.table("by_dhash").collect()] == [3]
+    # Over the restart the state has the colours: 14 in each of 48 cells is 97, 15 is 104.
+    (src / "b.json").write_text("\n".join(frame(k, "1", 9.0 + (14 if k == 5 else 29)) for k in range(5, 8)))
+    query = ingest.online_cuts(ingest.records(spark, str(src)))
+    found = []
+    q = query.writeStream.foreachBatch(lambda b, _: found.extend(r["frameIndex"] for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert found == [6]
+
+
 def test_readers_take_lines_and_arrays(spark, tmp_path):
     lines, array = tmp_path / "l.json", tmp_path / "a.json"
     rows = [json.loads(record("v", k, "0")) for k in range(3)]
