@@ -55,7 +55,7 @@ def lexicon(path: str) -> RaggedLexicon:
                 for i, x in odd.items():
                     pieces[i] = np.array(x, np.uint32)
                 length, flat = np.array([len(x) for x in pieces]), np.concatenate(pieces)
-            return [np.cumsum(length) - length, length, flat]
+            return [(np.cumsum(length) - length).astype(np.int32), length.astype(np.int32), flat]
 
         _open[path] = RaggedLexicon(encode)
     return _open[path]

@@ -6,6 +6,8 @@ a few nanoseconds a byte and no Python object is made for a word unless it is ne
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass handles; temporaries take about 30 times as much.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes that a worker's lexicon holds before it is emptied.
+LEXICON_BYTES = 24 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,6 +45,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Free memory of finished work goes back to the system: workers stay for later tasks, and their allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """scan, for mapInArrow, whose worker keeps no memory of it when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        give_back()
+
+    return run
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most `limit` bytes of text (one row at least)."""
     for b in batches:
@@ -54,6 +75,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             stop = max(stop, at + 1)
             yield b.slice(at, stop - at)
             at = stop
+        del b, size, ends
+        give_back()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,40 +194,49 @@ def sum_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Lexicon:
     """What a worker has found out about words so far: word hash -> a row of `values`.
 
-    A word is computed when first met. The store is emptied once it holds `limit` words, so its
+    A word is computed when first met. The store is emptied once it takes `limit` bytes, so its
     memory is bounded whatever the corpus holds; results never depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], list[np.ndarray]], limit: int = 2_000_000):
+    def __init__(self, compute: Callable[[list[bytes]], list[np.ndarray]], limit: int = LEXICON_BYTES):
         self.compute, self.limit = compute, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.parts: list[np.ndarray] | None = None
         self.count = 0
 
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.rows.nbytes + sum(p.nbytes for p in self.parts or [])
+
     def lookup(self, words: Words) -> tuple[np.ndarray, list[np.ndarray]]:
         """(row of each word of the chunk, columns by row)."""
-        if self.count > self.limit:
-            self._clear()
         code, first = distinct(words.hash)
-        unique = words.hash[first]
+        row, parts = self.rows_of(words, first)
+        return row[code], parts
+
+    def rows_of(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(row of each of these words, all different; columns by row)."""
+        if self.nbytes > self.limit:
+            self._clear()
+        unique = words.hash[which]
         at = np.searchsorted(self.keys, unique)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == unique[known]
-        row = np.empty(len(unique), np.int64)
+        row = np.empty(len(unique), np.int32)
         row[known] = self.rows[at[known]]
         new = np.flatnonzero(~known)
         if len(new) or self.parts is None:
-            got = self.compute(words.word_list(first[new]))
+            got = self.compute(words.word_list(which[new]))
             row[new] = self.count + np.arange(len(new))
             self.parts = got if self.parts is None else self.merge(self.parts, got)
             self.count += len(new)
-            keys, rows = np.concatenate([self.keys, unique[new]]), np.concatenate([self.rows, row[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.rows = keys[order], rows[order]
-        return row[code], self.parts
+            new = new[np.argsort(unique[new])]
+            at = np.searchsorted(self.keys, unique[new])
+            self.keys, self.rows = np.insert(self.keys, at, unique[new]), np.insert(self.rows, at, row[new])
+        return row, self.parts
 
     def merge(self, a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
         return [np.concatenate([x, y]) for x, y in zip(a, b, strict=True)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._stage import staged
-from framelake.llm._words import ALNUM, Words, chunks, grams, runs
+from framelake.llm._words import ALNUM, Words, chunks, grams, lean, runs
 
 
 class Index:
@@ -108,7 +108,7 @@ def _word_counts(rows: DataFrame, known: np.ndarray) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(sent.value[some].view(np.int64)), pa.array(total[some])], names=["h", "n"])
 
-    got = rows.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    got = rows.select("text").mapInArrow(lean(count), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     return {r["h"]: r["n"] for r in got.toLocalIterator()}
 
 
@@ -138,8 +138,8 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 10, bloc
         index = _index(rows, block, window)
         block = next(blocks, None)
         if block is None:
-            return rows.mapInArrow(_scan(index, True), _RESULT)
-        rows = staged(rows.mapInArrow(_scan(index, False), _SO_FAR))
+            return rows.mapInArrow(lean(_scan(index, True)), _RESULT)
+        rows = staged(rows.mapInArrow(lean(_scan(index, False)), _SO_FAR))
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
@@ -147,7 +147,7 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int
     blocks = _blocks(bench, block_words)
     block = next(blocks, [])
     while True:
-        docs_left = docs.mapInArrow(_without(_index(docs, block, window)), docs.schema)
+        docs_left = docs.mapInArrow(lean(_without(_index(docs, block, window))), docs.schema)
         block = next(blocks, None)
         if block is None:
             return docs_left

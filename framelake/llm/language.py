@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._stage import fold
-from framelake.llm._words import Lexicon, Words, chunks, mix, sum_by_text
+from framelake.llm._words import Lexicon, Words, chunks, lean, mix, sum_by_text
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = 1, 2
@@ -134,7 +134,7 @@ class Model:
             np.add.at(table, owner, np.column_stack([score, n]))
             return [table.astype(np.float32)]
 
-        return Lexicon(compute, limit=1_000_000)
+        return Lexicon(compute)
 
 
 def _rows(found: dict[int, tuple[np.ndarray, np.ndarray]], width: int, default: float) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for b in chunks(batches):
             yield b.filter(pa.array(~_judge(sent.value, b.column(b.schema.get_field_index("text")))[-1]))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(lean(scan), docs.schema)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -203,17 +203,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "lang_pred", "score", "entropy", "n_letters", "rejected"],
             )
 
-    return _texts(docs).mapInArrow(scan, "doc_id bigint, lang_pred string, score double, entropy double, n_letters bigint, rejected boolean")
+    return _texts(docs).mapInArrow(lean(scan), "doc_id bigint, lang_pred string, score double, entropy double, n_letters bigint, rejected boolean")
 
 
-def fit(docs: DataFrame, order: int = 4, sample_bytes: int = 3_000_000, longest: int = 200_000) -> Model:
+def fit(docs: DataFrame, order: int = 4, sample_bytes: int = 3_000_000) -> Model:
     """Models of the languages of docs' rows with a lang, but those of the fold held out.
 
-    sample_bytes: about how much text a language teaches (rows are drawn by a hash of their id, whole); rows of more
-    than `longest` bytes aren't drawn.
+    sample_bytes: about how much text a language teaches (rows are drawn by a hash of their id, whole, whatever their length).
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
-    rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= longest)
+    rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
     if not sizes:
         return Model([], order)
@@ -222,7 +221,7 @@ def fit(docs: DataFrame, order: int = 4, sample_bytes: int = 3_000_000, longest:
     sample = rows.filter(draw < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chunks(batches):
             found: dict[str, Counter] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found.setdefault(lang, Counter()).update(segments(text.encode()))
@@ -231,7 +230,7 @@ def fit(docs: DataFrame, order: int = 4, sample_bytes: int = 3_000_000, longest:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(s, pa.string()), pa.array(n, pa.int64())], names=["lang", "part", "n"])
 
     counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    for r in sample.select("lang", "text").mapInArrow(count, "lang string, part string, n bigint").groupBy("lang", "part").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in sample.select("lang", "text").mapInArrow(lean(count), "lang string, part string, n bigint").groupBy("lang", "part").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["lang"]][r["part"]] = r["n"]
     counts = {lang: c for lang, c in counts.items() if c}
     if not counts:

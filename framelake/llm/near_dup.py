@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._stage import slots, staged
-from framelake.llm._words import Words, chunks, grams, mix
+from framelake.llm._words import Words, chunks, grams, lean, mix
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def signatures(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFra
                 names=["doc_id", "n_shingles", "s1", "s2", "bands"],
             )
 
-    return rows.mapInArrow(scan, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return rows.mapInArrow(lean(scan), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
 def links(rows: DataFrame, heads: DataFrame, size: int, percent: int, tile: int) -> DataFrame:
@@ -135,7 +135,7 @@ def links(rows: DataFrame, heads: DataFrame, size: int, percent: int, tile: int)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(d, pa.int64()), pa.array(x, pa.binary())], names=["pivot", "share", "shares", "member", "shingles"])
 
     texts = rows.join(wanted.hint("merge"), "doc_id")
-    sent = texts.mapInArrow(sets, "pivot bigint, share int, shares int, member bigint, shingles binary")
+    sent = texts.mapInArrow(lean(sets), "pivot bigint, share int, shares int, member bigint, shingles binary")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (pivot, share, shares), group in _groups(batches, ("pivot", "share", "shares")):
@@ -152,7 +152,7 @@ def links(rows: DataFrame, heads: DataFrame, size: int, percent: int, tile: int)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(s, pa.int32()), pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.bool_()), pa.array(x, pa.binary())], names=["pivot", "shares", "member", "n", "linked", "diff"])
 
     parts = slots(spark)
-    stars = staged(sent.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share").mapInArrow(star, "pivot bigint, shares int, member bigint, n bigint, linked boolean, diff binary"))
+    stars = staged(sent.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share").mapInArrow(lean(star), "pivot bigint, shares int, member bigint, n bigint, linked boolean, diff binary"))
     found = stars.filter("linked and pivot != member").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
     # Groups with a member that its pivot doesn't link. A tile is a pair of shares, of which the first may hold open members.
     open_ = stars.filter("not linked").select("pivot").distinct()
@@ -165,7 +165,7 @@ def links(rows: DataFrame, heads: DataFrame, size: int, percent: int, tile: int)
             a, b = _tile_links(group, i, j, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    more = rest.repartition(parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(cross, "a bigint, b bigint")
+    more = rest.repartition(parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(lean(cross), "a bigint, b bigint")
     return found.union(more)
 
 

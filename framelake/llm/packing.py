@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm import _subwords
 from framelake.llm._stage import staged
-from framelake.llm._words import chunks
+from framelake.llm._words import chunks, lean
 
 _BIN = "final boolean, sequence_id bigint, used int, pieces array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
@@ -140,7 +140,7 @@ def pack(
         return merge
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bins = staged(rows.mapInArrow(first, _BIN))
+    bins = staged(rows.mapInArrow(lean(first), _BIN))
     done, small, level = [bins.filter("final")], bins.filter("not final"), 0
     others = None  # bins over half full that are not final
     while left := small.count():
@@ -152,9 +152,9 @@ def pack(
                 if edge is not None:
                     near = (F.col("used") < edge["used"]) | ((F.col("used") == edge["used"]) & (F.col("sequence_id") <= edge["sequence_id"]))
                     small, others = small.union(others.filter(near)), others.filter(~near)
-            done.append(small.repartition(1).mapInArrow(again(level, True), _BIN))
+            done.append(small.repartition(1).mapInArrow(lean(again(level, True)), _BIN))
             break
-        bins = staged(small.repartition(parts, F.xxhash64("sequence_id")).mapInArrow(again(level, False), _BIN))
+        bins = staged(small.repartition(parts, F.xxhash64("sequence_id")).mapInArrow(lean(again(level, False)), _BIN))
         done.append(bins.filter("final"))
         half = F.col("used") * 2 <= capacity
         small, more = bins.filter(~F.col("final") & half), bins.filter(~F.col("final") & ~half)

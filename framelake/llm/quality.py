@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._stage import fold
-from framelake.llm._words import Words, chunks, distinct, grams, mix, sum_by_text
+from framelake.llm._words import Words, chunks, distinct, grams, lean, mix, sum_by_text
 
 # Classes of bytes: 0 lower case, 1 upper case, 2 digit, 3 blank, 4 newline, 5 full stop and comma, 6 ! and ?,
 # 7 symbols, 8 quotes and brackets, 9 other ASCII, 10 control, 11 beyond ASCII.
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees:
         for b in chunks(batches):
             yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(list(features(b.column("text"))), pa.list_(pa.float64()))], names=["quality", "x"])
 
-    got = rows.mapInArrow(scan, "quality int, x array<double>").collect()
+    got = rows.mapInArrow(lean(scan), "quality int, x array<double>").collect()
     x = np.array([r["x"] for r in got]) if got else np.zeros((0, 1))
     return boost(x, np.array([r["quality"] for r in got], float))
 
@@ -166,4 +166,4 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id bigint, score double, predicted int")
+    return rows.mapInArrow(lean(scan), "doc_id bigint, score double, predicted int")

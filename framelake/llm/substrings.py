@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._stage import slots, staged
-from framelake.llm._words import Words, chunks, grams, mix, runs
+from framelake.llm._words import Words, chunks, grams, lean, mix, runs
 
 BLOCKS = 5
 
@@ -103,7 +103,7 @@ def _repeated_prefixes(rows: DataFrame, window: int, anchor: int, heavy: int) ->
                 names=["h", "n", "kind"],
             )
 
-    return rows.select("text").mapInArrow(scan, "h bigint, n bigint, kind tinyint").groupBy("h", "kind").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(lean(scan), "h bigint, n bigint, kind tinyint").groupBy("h", "kind").agg(F.sum("n").alias("n"))
 
 
 def _bloom_of(repeated: DataFrame, bits: int) -> np.ndarray:
@@ -129,7 +129,7 @@ def _bloom_of(repeated: DataFrame, bits: int) -> np.ndarray:
 
     spark = repeated.sparkSession
     kind = "at bigint, bits binary"
-    merged = repeated.select("h").coalesce(slots(spark)).mapInArrow(build, kind).repartition(min(slots(spark), bits >> 19), "at").mapInArrow(merge, kind)
+    merged = repeated.select("h").coalesce(slots(spark)).mapInArrow(lean(build), kind).repartition(min(slots(spark), bits >> 19), "at").mapInArrow(lean(merge), kind)
     out = np.zeros(bits // 8, np.uint8)
     for r in merged.toLocalIterator():
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -248,9 +248,9 @@ def repeated_ranges(docs: DataFrame, window: int = 35, anchor: int = 16, filter_
             yield pa.RecordBatch.from_arrays([pa.array(who[cut]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))], names=["doc_id", "spans"])
 
     kind = "kind tinyint, key bigint, suffixes binary, refs binary"
-    dealt = rows.mapInArrow(suffixes, kind)
-    answered = dealt.repartition(parts, F.when(F.col("kind") == 1, F.col("key")).otherwise(F.xxhash64("key"))).mapInArrow(trees, "bucket bigint, found binary")
-    return answered.repartition(parts, "bucket").mapInArrow(collect, "doc_id bigint, spans array<bigint>")
+    dealt = rows.mapInArrow(lean(suffixes), kind)
+    answered = dealt.repartition(parts, F.when(F.col("kind") == 1, F.col("key")).otherwise(F.xxhash64("key"))).mapInArrow(lean(trees), "bucket bigint, found binary")
+    return answered.repartition(parts, "bucket").mapInArrow(lean(collect), "doc_id bigint, spans array<bigint>")
 
 
 def merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, **options) -> DataFrame:
     """doc_id, text (the kept words joined by one space), n_words, n_removed, kept_sha256 of each document."""
     spans = repeated_ranges(docs, window, **options)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(spans, "doc_id", "left").mapInArrow(_cut, "doc_id bigint, text string, n_words bigint, n_removed bigint, kept_sha256 string")
+    return rows.join(spans, "doc_id", "left").mapInArrow(lean(_cut), "doc_id bigint, text string, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

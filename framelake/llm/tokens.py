@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._subwords import vocabulary_path
-from framelake.llm._words import Lexicon, Words, chunks, sum_by_text
+from framelake.llm._words import Lexicon, Words, chunks, lean, sum_by_text
 
 MARK = "▁"
 #: Unicode white space beyond ASCII's, at which words are split too.
@@ -97,4 +97,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> Da
             row, (count,) = _lexicon(vocabulary).lookup(w)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array(sum_by_text(count[row], w.first))], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id bigint, n_words bigint, n_tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(scan), "doc_id bigint, n_words bigint, n_tokens bigint")
