@@ -132,7 +132,7 @@ def test_repeated_windows_go(docs, rows, empty, window):
         w = split(t)
         count.update(tuple(w[i : i + window]) for i in range(len(w) - window + 1))
     anchor = 3 if window == 5 else 16
-    for heavy in ({}, {"heavy": 1, "group": 1}):
+    for heavy in ({}, {"group": 1}):
         for r in substrings.remove_repeats(docs, window=window, anchor=anchor, **heavy).collect():
             w = split(rows[r["doc_id"]][1])
             gone = [False] * len(w)
@@ -144,6 +144,26 @@ def test_repeated_windows_go(docs, rows, empty, window):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, words(0, 200)), (1, "short text here"), (2, words(0, 200)), (1, words(1, 200)), (None, words(2, 60)), (None, words(3, 60) + " " + words(2, 40)), (None, None), (-1, words(4, 50)), (7, words(5, 40)), (7, words(5, 40))]
+    got = substrings.remove_repeats(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, h string, spans int").repartition(3))
+    want = [(1, "", 200), (1, "short text here", 0), (2, "", 200), (1, words(1, 200), 0), (None, " ".join(words(2, 60).split()[40:]), 40), (None, words(3, 60), 40), (None, "", 0), (-1, words(4, 50), 0), (7, "", 40), (7, "", 40)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_tree_nodes_give_every_shared_window():
+    rng = np.random.default_rng(0)
+    text = rng.integers(1, 4, 400).astype(str)
+    w = Words(pa.array([" ".join(text[:200]), " ".join(text[150:])]))
+    s = substrings.Suffixes(w, 8, 3)
+    which, before = substrings.repeats(s.records(), s.left)
+    got = set((s.at[which] - before).tolist())
+    count = Counter(tuple(w.hash[i : i + 8]) for i in np.flatnonzero(w.full(8)))
+    assert got == {i for i in np.flatnonzero(w.full(8)).tolist() if count[tuple(w.hash[i : i + 8])] > 1} and got
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
