@@ -368,7 +368,7 @@ def test_language_of_every_row(spark, empty):
 
 
 def test_language_model_scores(spark, docs, rows, empty):
-    small = dict(frequent=20, epochs=1, heads=64, own=24, shared=7)
+    small = dict(frequent=20, rounds=2, heads=64, own=24, shared=7, per_task=20)
     got = {r["doc_id"]: r for r in lm.score(docs, **small).collect()}
     count = Counter()
     for d, t, *_ in rows:
@@ -383,16 +383,47 @@ def test_language_model_scores(spark, docs, rows, empty):
     assert lm.score(empty, **small).count() == 0
 
 
+def small_model(rng, block, scale=1.0):
+    vec = lambda *s: (rng.standard_normal(s) * scale).astype(np.float32)
+    return lm.Model(block, np.arange(32), np.arange(32), np.zeros(32), vec(32, 32), vec(32, 8), vec(32, 8), vec(32, 8), vec(2 * block), vec(8, 32), vec(32), vec(8, 2), vec(2))
+
+
+def naive_log_prob(m, ids):
+    """One id at a time: softmax over the positions it may look at, then over all classes."""
+    total = 0.0
+    for t in range(1, len(ids)):
+        ask = t - 1
+        low = max(0, ask // m.block * m.block - m.block)
+        at = np.arange(low, ask + 1)
+        s = m.k[ids[at]] @ m.q[ids[ask]] + m.near[ask - at]
+        p = np.exp(s - s.max())
+        mixed = (p / p.sum()) @ m.v[ids[at]]
+        g = np.log(np.exp(m.table[ids[ask]].reshape(2, 16)).sum(axis=1)) + mixed @ m.group_out + m.group_bias
+        c = (m.table[ids[ask]] + mixed @ m.out + m.bias).reshape(2, 16)
+        k = ids[t]
+        total += g[k // 16] - np.log(np.exp(g).sum()) + c[k // 16, k % 16] - np.log(np.exp(c[k // 16]).sum()) + m.in_class[k]
+    return total / np.log(10)
+
+
+def test_batched_windows_score_as_one_id_at_a_time():
+    rng = np.random.default_rng(4)
+    m = small_model(rng, 4)
+    m.in_class = -rng.random(32)
+    lengths = [2, 3, 5, 9, 17, 40]
+    ids, first = rng.integers(0, 32, sum(lengths)), np.cumsum([0, *lengths])
+    want = [naive_log_prob(m, ids[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert np.allclose(m.log_prob(ids, first), want, rtol=1e-4, atol=1e-4)
+
+
 def test_attention_is_causal_and_windows_score_each_id_once():
     first = np.array([0, 40, 41 + 2, 80])
-    place, valid, target = lm.windows(first, 16)
+    place, valid, target = lm.window_places(first, *lm.windows(first, 16), 16)
     asked = target[target >= 0]
     assert sorted(asked.tolist()) == [k for a, b in zip(first[:-1], first[1:], strict=True) for k in range(a + 1, b)]
     assert (place[valid] < 80).all()
     rng = np.random.default_rng(0)
-    vec = lambda *s: rng.standard_normal(s).astype(np.float32)
     ids = rng.integers(0, 30, 40)
-    m = lm.Model(16, np.arange(32), np.arange(32), np.zeros(32), vec(32, 32), vec(32, 8), vec(32, 8), vec(32, 8), vec(32), vec(8, 32), vec(32), vec(8, 2), vec(2))
+    m = small_model(rng, 16)
     every = [m.log_prob(np.append(ids[:20], k), np.array([0, 21]))[0] - m.log_prob(ids[:20], np.array([0, 20]))[0] for k in range(32)]
     assert abs(sum(10.0**x for x in every) - 1) < 1e-5  # the next id's probabilities add up to 1
     whole = m.log_prob(ids, np.array([0, 40]))[0]
@@ -403,13 +434,42 @@ def test_attention_is_causal_and_windows_score_each_id_once():
     assert part == again and whole < part
 
 
+def codes_of(m, ids, first):
+    place, valid, target = lm.window_places(first, *lm.windows(first, m.block), m.block)
+    return np.where(valid, m.code_of[ids[place]], len(m.table)), np.where(target >= 0, m.class_of[ids[np.maximum(target, 0)]], -1)
+
+
 def test_training_follows_the_gradient():
     rng = np.random.default_rng(0)
     ids = np.tile([28, 1, 2, 3, 4, 5, 6, 29], 40)
     first = np.arange(0, len(ids) + 1, 8)
-    vec = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-    zeros = lambda *s: np.zeros(s, np.float32)
-    m = lm.Model(4, np.arange(32), np.arange(32), np.zeros(32), zeros(32, 32), vec(32, 8), vec(32, 8), vec(32, 8), zeros(8), zeros(8, 32), zeros(32), zeros(8, 2), zeros(2))
-    before = m.log_prob(ids, first).sum()
-    lm.train(m, ids, first, epochs=40, batch=16)
+    m = lm.Model.start(4, 8, np.arange(32), np.arange(32), np.zeros(32), np.zeros((32, 32), np.float32))
+    before, moment = m.log_prob(ids, first).sum(), None
+    for _ in range(40):
+        moment = lm.train(m, *codes_of(m, ids, first), 0.03, batch=16, moment=moment)
     assert m.log_prob(ids, first).sum() > before * 0.3
+    # A first step of Adam moves each weight by about the rate against the sign of its gradient: as measured.
+    m = small_model(rng, 4, 0.3)
+    code, goal = codes_of(m, ids, first)
+    for name, at in (("q", (3, 1)), ("k", (2, 5)), ("v", (5, 0)), ("near", (2,)), ("out", (1, 4)), ("group_out", (3, 0)), ("bias", (6,))):
+        one, loss = small_model(np.random.default_rng(0), 4, 0.3), []
+        for step in (0.02, -0.02):
+            w = getattr(m, name).copy()
+            kept = w.copy()
+            w[at] += step
+            setattr(m, name, w)
+            loss.append(-m.log_prob(ids, first).sum())
+            setattr(m, name, kept)
+        for f in lm.WEIGHTS:
+            setattr(one, f, getattr(m, f).copy())
+        lm.train(one, code, goal, 0.001, batch=len(code))
+        moved = float(getattr(one, name)[at] - getattr(m, name)[at])
+        assert abs(loss[0] - loss[1]) < 1e-3 or (moved > 0) == (loss[0] < loss[1]), name
+
+
+def test_ids_are_grouped_by_what_they_follow():
+    profile = np.zeros((12, lm.BUCKETS), np.int64)
+    profile[0, 0], profile[1, 1] = 1000, 900
+    profile[2:6, 3], profile[6:10, 40] = 20, 10
+    got = lm.classes_of(profile, own=2, shared=2)
+    assert got[:2].tolist() == [0, 1] and len(set(got[2:6])) == len(set(got[6:10])) == 1 and got[2] != got[6] and set(got[10:]) == {4}
