@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 #: Bytes of text that one numpy pass handles; temporaries take about 30 times as much.
 CHUNK_BYTES = 1 << 20
 #: Bytes that a worker's lexicon holds before it is emptied.
-LEXICON_BYTES = 24 << 20
+LEXICON_BYTES = 40 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
