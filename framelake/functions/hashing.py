@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row: a lambda evaluates what it captures for every element, unless that is another lambda's variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0).cast("double"), lambda s, x: s + x)
 
@@ -20,48 +25,47 @@ def _bits(tests: Column) -> Column:
 
 def average_hash(grid: Column, size: int, reference: Column | None = None) -> Column:
     """A bit for each cell: at least the mean of `reference` (the grid itself if none)."""
-    mean_of = total(grid if reference is None else reference)
-    return _bits(F.transform(grid, lambda x: x * size >= mean_of))
+
+    def bits(g: Column) -> Column:
+        return let(total(g if reference is None else reference), lambda mean_of: _bits(F.transform(g, lambda x: x * size >= mean_of)))
+
+    return let(grid, bits)
 
 
 def difference_hash(grid: Column, width: int, height: int) -> Column:
     """Bits for right > left, row by row, then for below > above."""
-    right = F.transform(F.sequence(F.lit(0), F.lit((width - 1) * height - 1)), lambda k: F.get(grid, F.floor(k / (width - 1)).cast("int") * width + k % (width - 1) + 1) > F.get(grid, F.floor(k / (width - 1)).cast("int") * width + k % (width - 1)))
-    below = F.transform(F.sequence(F.lit(0), F.lit(width * (height - 1) - 1)), lambda k: F.get(grid, k + width) > F.get(grid, k))
-    return F.concat(_bits(right), _bits(below))
+    places = [(y * width + x, y * width + x + 1) for y in range(height) for x in range(width - 1)]
+    places += [(k, k + width) for k in range(width * (height - 1))]
+    at = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in places])
+    return let(grid, lambda g: _bits(F.transform(at, lambda p: F.get(g, p["b"]) > F.get(g, p["a"]))))
 
 
 def mirror(grid: Column, width: int, height: int, values: int = 1) -> Column:
     """Columns in opposite order; each cell holds `values` numbers."""
-
-    def source(k: Column) -> Column:
-        cell, part = F.floor(k / values), k % values
-        row, col = F.floor(cell / width), cell % width
-        return ((row * width + (width - 1) - col) * values + part).cast("int")
-
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height * values - 1)), lambda k: F.get(grid, source(k)))
+    source = [(row * width + width - 1 - col) * values + part for row in range(height) for col in range(width) for part in range(values)]
+    return let(grid, lambda g: F.transform(F.array(*[F.lit(k) for k in source]), lambda k: F.get(g, k)))
 
 
 def box_blur(grid: Column, width: int, height: int) -> Column:
     """Mean of the 3 x 3 neighbourhood, cut at the edges."""
 
-    def mean(k: Column) -> Column:
+    def mean(g: Column, k: Column) -> Column:
         row, col = F.floor(k / width).cast("int"), (k % width).cast("int")
         sum_, n = F.lit(0.0), F.lit(0)
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
                 inside = (row + dy).between(0, height - 1) & (col + dx).between(0, width - 1)
-                sum_ = sum_ + F.when(inside, F.get(grid, (row + dy) * width + col + dx)).otherwise(0.0)
+                sum_ = sum_ + F.when(inside, F.get(g, (row + dy) * width + col + dx)).otherwise(0.0)
                 n = n + inside.cast("int")
         return sum_ / n
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), mean)
+    return let(grid, lambda g: F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda k: mean(g, k)))
 
 
 def is_flat(grid: Column, size: int) -> Column:
     """Population variance below 1: such a frame's hashes are all zeros."""
-    mean = total(grid) / size
-    return total(F.transform(grid, lambda x: (x - mean) * (x - mean))) / size < 1
+    of = lambda g: let(total(g) / size, lambda mean: total(F.transform(g, lambda x: (x - mean) * (x - mean))) / size < 1)
+    return let(grid, of)
 
 
 def guarded(grid: Column, size: int, bits: Column, n_bits: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framelake.functions.hashing import mirror, total
+from framelake.functions.hashing import let, mirror, total
 
 
 def is_skin(r: Column, g: Column, b: Column) -> Column:
@@ -15,14 +15,16 @@ def is_skin(r: Column, g: Column, b: Column) -> Column:
 def normalised_colours(grid: Column) -> Column:
     """Each RGB channel's z-scores over the 16 cells; a population deviation under 8 counts as 8."""
 
-    def channel(c: int) -> tuple[Column, Column]:
-        own = F.filter(grid, lambda _, i: i % 3 == c)
-        mean = total(own) / 16
-        return mean, F.greatest(F.sqrt(total(F.transform(own, lambda x: (x - mean) * (x - mean))) / 16), F.lit(8.0))
+    def statistics(g: Column, c: int) -> Column:
+        own = F.filter(g, lambda _, i: i % 3 == c)
+        deviation = lambda mean: F.greatest(F.sqrt(total(F.transform(own, lambda x: (x - mean) * (x - mean))) / 16), F.lit(8.0))
+        return let(total(own) / 16, lambda mean: F.struct(mean.alias("mean"), deviation(mean).alias("deviation")))
 
-    stats = [channel(c) for c in range(3)]
-    pick = lambda i, k: F.when(i % 3 == 0, stats[0][k]).when(i % 3 == 1, stats[1][k]).otherwise(stats[2][k])
-    return F.transform(grid, lambda x, i: (x - pick(i, 0)) / pick(i, 1))
+    def scores(g: Column) -> Column:
+        channels = F.array(*[statistics(g, c) for c in range(3)])
+        return let(channels, lambda s: F.transform(g, lambda x, i: (x - F.get(s, i % 3)["mean"]) / F.get(s, i % 3)["deviation"]))
+
+    return let(grid, scores)
 
 
 def mean_difference(a: Column, b: Column) -> Column:
@@ -54,10 +56,14 @@ def signature_similarity(colour_a: Column, skin_a: Column, detail_a: Column, col
     return F.greatest(raw(colour_b, skin_b, detail_b), raw(mirror(colour_b, 4, 4, 3), mirror(skin_b, 4, 4), mirror(detail_b, 4, 4)))
 
 
-def temporal_similarity(delta_a: Column, mag_a: Column, delta_b: Column, mag_b: Column) -> Column:
-    """Percent, of two frames' changes of colour: 78 if both hardly change, 38 if one does, else from their cosine."""
+def temporal_similarity(delta_a: Column, mag_a: Column, delta_b: Column, mag_b: Column, pos_a: Column | None = None, pos_b: Column | None = None) -> Column:
+    """Percent, of two frames' changes of colour: 78 if both hardly change, 38 if one does, else from their cosine. -1, for
+    saying nothing, where either frame is a video's first (position 0)."""
     dot = total(F.zip_with(delta_a, delta_b, lambda x, y: x * y))
-    return F.when((mag_a < 6) & (mag_b < 6), 78.0).when((mag_a < 6) | (mag_b < 6), 38.0).otherwise((dot / (mag_a * mag_b) + 1) / 2 * 100)
+    first = F.lit(False)
+    for pos in (pos_a, pos_b):
+        first = first if pos is None else first | (pos == 0)
+    return F.when(first, -1.0).when((mag_a < 6) & (mag_b < 6), 78.0).when((mag_a < 6) | (mag_b < 6), 38.0).otherwise((dot / (mag_a * mag_b) + 1) / 2 * 100)
 
 
 def frame_similarity(structure: Column, signature: Column, temporal: Column) -> Column:

@@ -1,7 +1,8 @@
 """Alignment of clips with reference videos: which stretches of a clip come from where.
 
 Matches are independent and run side by side, one task for each clip and reference; within a task all scoring
-is vectorised, and memory is one reference's packed hashes (about 2.5 KB a frame). Segments of a match, a few
+is vectorised. A task holds its reference's frames, as records (about 19 KB a frame with 13 variants) until they are packed
+(about 2.5 KB). Frames without variants are left out; a match without a segment has no rows. Segments of a match, a few
 each, are then merged, de-duplicated and validated by the ordered operators.
 """
 
@@ -17,17 +18,19 @@ from pyspark.sql import functions as F
 from framelake.functions.display import match_parameters
 from framelake.operators import ordered
 
-# Fixed values of the matching rules.
+# Fixed values of the matching rules (survey P1-P8, A2-A9, W2).
 LOOK_AHEAD, LOOK_AHEAD_MAX, MAX_MISSES = 7, 18, 12
 WALK_MIN, WALK_FLOOR, WALK_STEP = 50, 40, 25
 SLOPE_MIN, SLOPE_MAX = 0.1, 8.0
 SEED_SEPARATION, SEED_CANDIDATES = 50, 8
 FORCED_FRAMES, FORCED_MEAN, FORCED_JUMP = 10, 65, 50
 
+DETAIL = "struct<cropRegion: string, structureSim: double, colorSim: double, skinSim: double, detailSim: double, movieHash: string, shortHash: string>"
 SEGMENT = (
     "match_id string, emit_seq int, shortStart double, shortEnd double, movieStart double, movieEnd double, confidence double, frameCount int, isApproximate boolean, gapCount int, "
-    "speedRatio double, matchSequence array<struct<shortTime: double, movieTime: double, similarity: double>>, structureSim double, signatureSim double, cropRegion string"
+    f"speedRatio double, matchSequence array<struct<shortTime: double, movieTime: double, similarity: double>>, bestFrameDetail {DETAIL}"
 )
+_COLUMNS = ["match_id", "emit_seq", "shortStart", "shortEnd", "movieStart", "movieEnd", "confidence", "frameCount", "isApproximate", "gapCount", "speedRatio", "matchSequence", "bestFrameDetail"]
 
 
 def _round(x):
@@ -64,30 +67,35 @@ class Video:
     detail: np.ndarray | None = None
     delta: np.ndarray | None = None
     mag: np.ndarray | None = None
+    full: list[str] = field(default_factory=list)
 
     @staticmethod
-    def pack(rows: pd.DataFrame) -> Video:
-        rows = rows.sort_values("frameIndex", kind="stable")
+    def pack(rows: pd.DataFrame) -> Video | None:
+        """None if no frame has a hash; frames without variants are left out."""
+        some = [v is not None and any(_field(x, "hash") for x in dict(v).values() if x is not None) for v in rows["variants"]]
+        rows = rows[np.array(some, bool)].sort_values("frameIndex", kind="stable")
+        if not len(rows):
+            return None
         variants = [dict(v) for v in rows["variants"]]
-        names = list(variants[0])
+        names = sorted(variants[0], key=lambda n: (n != "full", n))  # maps keep no order; ties go to the first
         n, k = len(rows), len(names)
 
         def table(key: str) -> tuple[np.ndarray | None, int]:
-            first = variants[0][names[0]]
-            sample = _field(first, key)
+            sample = next((x for v in variants[:1] for n in names if v[n] is not None and (x := _field(v[n], key))), None)
             if not sample:
                 return None, 0
             blank = "0" * len(sample)
             flat = []
             for v in variants:
                 for name in names:
-                    got = _field(v[name], key) if name in v else None
+                    got = _field(v[name], key) if v.get(name) is not None else None
                     flat.append(got if got and len(got) == len(sample) else blank)  # a missing hash is all zeros
             return _words(flat).reshape(n, k, -1), len(sample)
 
         a, a_bits = table("hash")
         d, d_bits = table("dhash")
         out = Video(rows["timestamp"].to_numpy(float), names, a, a_bits, table("fhash")[0], d, d_bits, table("fdhash")[0])
+        out.full = [_field(v.get("full") or v.get(names[0]) or {}, "hash") or "" for v in variants]
         signatures = list(rows["signature"])
         ok = np.array([s is not None and _length(_field(s, "colorGrid")) == 48 for s in signatures])
         out.has_signature = ok
@@ -121,9 +129,11 @@ class Scores:
         self.use_d = clip.d is not None and movie.d is not None and clip.d_bits == movie.d_bits
         self.use_flip = movie.fa is not None and clip.a_bits == movie.a_bits
 
-    def structure(self, si: int, mi: np.ndarray, every: bool) -> np.ndarray:
-        """The best pair of variants: the clip's first against all, or all against all; normal or mirrored."""
-        own = slice(None) if every else slice(0, 1)
+    def pairs(self, si: int, mi: np.ndarray, every: bool) -> np.ndarray:
+        """(positions, clip variants, movie variants): each pair of variants, the better of normal and mirrored. Clip variants: all, or the one
+        named full (the first, without one)."""
+        full = self.s.names.index("full") if "full" in self.s.names else 0
+        own = slice(None) if every else slice(full, full + 1)
 
         def share(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
             x = a[si, own][None, :, None, :] ^ b[mi][:, None, :, :]
@@ -136,7 +146,11 @@ class Scores:
         best = pair(self.m.a, self.m.d)
         if self.use_flip:
             best = np.maximum(best, pair(self.m.fa, self.m.fd))
-        return best.reshape(len(mi), -1).max(axis=1) * 100
+        return best
+
+    def structure(self, si: int, mi: np.ndarray, every: bool) -> np.ndarray:
+        """Percent: the best pair of variants."""
+        return self.pairs(si, mi, every).reshape(len(mi), -1).max(axis=1) * 100
 
     def fast(self, si: int) -> np.ndarray:
         n = len(self.m)
@@ -318,8 +332,6 @@ def _segment(score: Scores, path: list[tuple], approximate: bool) -> dict:
     end = first[1] + int(_round(ratio * (last[0] - first[0])))
     end = min(max(end, 0), len(movie) - 1) if abs(end - last[1]) > 1 else last[1]
     top = max(path, key=lambda p: p[2])
-    place = np.array([top[1]])
-    crop = int(np.argmax([_variant(score, top, k) for k in range(len(movie.names))]))
     return {
         "shortStart": clip.time[first[0]],
         "shortEnd": clip.time[last[0]],
@@ -331,15 +343,33 @@ def _segment(score: Scores, path: list[tuple], approximate: bool) -> dict:
         "gapCount": last[0] - first[0] + 1 - len({p[0] for p in path}),
         "speedRatio": ratio,
         "matchSequence": [{"shortTime": clip.time[s], "movieTime": movie.time[m], "similarity": float(v)} for s, m, v in path],
-        "structureSim": float(score.structure(top[0], place, True)[0]),
-        "signatureSim": float(score.signature(top[0], place)[0]) if clip.has_signature[top[0]] and movie.has_signature[top[1]] else 50.0,
-        "cropRegion": movie.names[crop],
+        "bestFrameDetail": _detail(score, top[0], top[1]),
     }
 
 
-def _variant(score: Scores, hit: tuple, k: int) -> float:
-    x = score.s.a[hit[0]] ^ score.m.a[hit[1], k][None, :]
-    return float((1 - np.bitwise_count(x).sum(axis=1, dtype=np.int64) / score.s.a_bits).max())
+def _detail(score: Scores, si: int, mi: int) -> dict:
+    """Similarities of one pair of frames by channel (50 where a frame has no signature), and the crop of the reference that fits best."""
+    s, m, place = score.s, score.m, np.array([mi])
+    pairs = score.pairs(si, place, every=True)[0]
+    name = m.names[int(pairs.argmax()) % pairs.shape[1]] if pairs.max() > 0 else "full"
+    colour = skin = detail = 50.0
+    if s.has_signature[si] and m.has_signature[mi]:
+        gap = lambda a, b: float(np.abs(a - b).mean())
+        top = max(1.0, float(s.detail[si].max()), float(m.detail[mi].max()))
+        colour, skin, detail = (100 * min(1.0, max(0.0, 1 - x)) for x in (gap(s.colour[si], m.colour[mi]) / 2, gap(s.skin[si], m.skin[mi]), gap(s.detail[si], m.detail[mi]) / top))
+    return {
+        "cropRegion": crop_name(name), "structureSim": float(pairs.max()) * 100, "colorSim": colour, "skinSim": skin, "detailSim": detail, "movieHash": m.full[mi], "shortHash": s.full[si],
+    }
+
+
+def crop_name(name: str) -> str:
+    """What people read for a variant's name."""
+    kind, *rest = name.split("_")
+    if kind == "crop" and len(rest) == 3:
+        return f"{rest[0]}:{rest[1]} Crop {int(rest[2]) + 1}"
+    if kind == "zoom" and len(rest) == 3:
+        return f"Zoom {rest[0]}.{rest[1]}x {rest[2].capitalize()}"
+    return "Full Frame" if name == "full" else name
 
 
 def find_segments(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82, min_frames: int = 9, drift: int = 3) -> DataFrame:
@@ -351,12 +381,11 @@ def find_segments(pairs: DataFrame, frames: DataFrame, min_similarity: float = 8
         return of.select(*[F.col(c).alias(c) for c in ("match_id", "frameIndex", "timestamp", "variants", "signature")])
 
     def run(clip: pd.DataFrame, movie: pd.DataFrame) -> pd.DataFrame:
-        if not len(clip) or not len(movie):
-            return pd.DataFrame(columns=[c.split()[0] for c in SEGMENT.split(", ") if ":" not in c or "matchSequence" in c])
-        rows = align(Video.pack(clip), Video.pack(movie), *limits)
-        out = pd.DataFrame(rows)
-        out.insert(0, "emit_seq", np.arange(len(rows)))
-        out.insert(0, "match_id", clip["match_id"].iloc[0])
+        videos = Video.pack(clip), Video.pack(movie)
+        rows = [] if None in videos else align(*videos, *limits)
+        out = pd.DataFrame(rows, columns=_COLUMNS)
+        out["emit_seq"] = np.arange(len(rows))
+        out["match_id"] = clip["match_id"].iloc[0] if len(rows) else None
         return out
 
     return side("clip_id").groupBy("match_id").cogroup(side("movie_id").groupBy("match_id")).applyInPandas(run, SEGMENT)
@@ -368,7 +397,7 @@ def match_videos(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82
     ms = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("bigint")
     base = raw.select(
         "match_id", F.col("emit_seq").cast("bigint").alias("seg_id"), ms("shortStart").alias("ss"), ms("shortEnd").alias("se"), ms("movieStart").alias("ms"), ms("movieEnd").alias("me"),
-        F.col("confidence").alias("conf"), F.col("frameCount").cast("bigint").alias("frames"), F.col("gapCount").cast("bigint").alias("gaps"), F.col("speedRatio").alias("ratio"), F.col("isApproximate").alias("approx"),
+        F.col("confidence").alias("conf"), F.col("frameCount").cast("bigint").alias("frames"), F.col("gapCount").cast("bigint").alias("gaps"), F.col("speedRatio").alias("ratio"), F.col("isApproximate").alias("approx"), "matchSequence", "bestFrameDetail",
     )
     merged = ordered.merge_adjacent(base, "match_id").withColumn("seg_id", F.col("group").cast("bigint"))
     final = ordered.validate_context(ordered.drop_overlaps(merged, "match_id"), "match_id")
@@ -383,12 +412,12 @@ def match_videos(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82
         F.col("approx").alias("isApproximate"),
         F.col("gaps").alias("gapCount"),
         F.col("ratio").alias("speedRatio"),
+        "matchSequence",
+        "bestFrameDetail",
     )
-    # A clip frame is used if a surviving segment's sequence holds its time, to four digits.
-    stays = final.select("match_id", F.col("ss").alias("a"), F.col("se").alias("b"))
+    # A clip frame is used if a final segment's sequence holds its time, to four digits.
     key = lambda c: F.format_string("%.4f", c)
-    times = raw.select("match_id", F.explode("matchSequence").alias("q")).select("match_id", F.col("q.shortTime").alias("t"))
-    used = times.join(stays, "match_id").filter((F.col("t") * 1000 + 0.5 >= F.col("a")) & (F.col("t") * 1000 - 0.5 <= F.col("b"))).select("match_id", key(F.col("t")).alias("k")).distinct()
+    used = final.select("match_id", F.explode("matchSequence").alias("q")).select("match_id", key(F.col("q.shortTime")).alias("k")).distinct()
     clip = pairs.select("match_id", F.col("clip_id").alias("video_id")).join(frames.select("video_id", "frameIndex", "timestamp"), "video_id")
     clip = ordered.with_position(clip, "match_id", "frameIndex").withColumn("k", key(F.col("timestamp")))
     rest = ordered.runs_of(clip.join(used, ["match_id", "k"], "left_anti"), "match_id", "timestamp")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +84,30 @@ def rolling_average(df: DataFrame, key: str, value: str, rows: int = 50) -> Data
 
 def merge_adjacent(segments: DataFrame, match: str) -> DataFrame:
     """Segments in milliseconds (ss, se, ms, me, conf, frames, gaps, ratio, approx), neighbours joined: clip gap from -40 to 520 and
-    movie gap from -80 to five clip gaps and 2500."""
+    movie gap from -80 to five clip gaps and 2500. Each join adds the clip gap's frames (25 a second) to gaps. matchSequence, where there is one, is joined up in
+    order, and bestFrameDetail is that of the surer side at each join, the earlier on ties."""
     w = Window.partitionBy(match).orderBy("ss", "se", "ms", "me", "seg_id")
     gap, movie = F.col("ss") - F.lag("se").over(w), F.col("ms") - F.lag("me").over(w)
     joins = gap.between(-40, 520) & (movie >= -80) & (movie <= 5 * gap + 2500)
     grouped = segments.withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("group", F.sum("_new").over(w))
+    grouped = grouped.withColumn("_between", F.when(F.col("_new") == 0, F.floor(gap * 25 / 1000 + 0.5)).otherwise(0).cast("bigint"))
     ordered = F.struct("ss", "se", "ms", "me", "seg_id")
     frames = F.col("frames")
+    carried = []
+    if "matchSequence" in segments.columns:
+        parts = F.array_sort(F.collect_list(F.struct("ss", "se", "ms", "me", "seg_id", "matchSequence")))
+        carried.append(F.flatten(F.transform(parts, lambda p: p["matchSequence"])).alias("matchSequence"))
+    if "bestFrameDetail" in segments.columns:
+        parts = F.array_sort(F.collect_list(F.struct("ss", "se", "ms", "me", "seg_id", F.col("conf").cast("double").alias("conf"), F.col("frames").cast("double").alias("frames"), F.col("bestFrameDetail").alias("d"))))
+        first = F.get(parts, F.lit(0))
+        start = F.struct(first["conf"].alias("conf"), first["frames"].alias("frames"), first["d"].alias("d"))
+
+        def join(acc: Column, x: Column) -> Column:
+            n = acc["frames"] + x["frames"]
+            d = F.when(acc["d"].isNull() | (x["d"].isNotNull() & (acc["conf"] < x["conf"])), x["d"]).otherwise(acc["d"])
+            return F.struct(((acc["conf"] * acc["frames"] + x["conf"] * x["frames"]) / n).alias("conf"), n.alias("frames"), d.alias("d"))
+
+        carried.append(F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, join)["d"].alias("bestFrameDetail"))
     return grouped.groupBy(match, "group").agg(
         F.min("ss").alias("ss"),
         F.max_by("se", ordered).alias("se"),
@@ -95,38 +116,68 @@ def merge_adjacent(segments: DataFrame, match: str) -> DataFrame:
         (F.sum(F.col("conf") * frames) / F.sum(frames)).alias("conf"),
         (F.sum(F.col("ratio") * frames) / F.sum(frames)).alias("ratio"),
         F.sum(frames).alias("frames"),
-        F.sum("gaps").alias("gaps"),
+        (F.sum("gaps") + F.sum("_between")).alias("gaps"),
         F.bool_or("approx").alias("approx"),
         F.count("*").alias("parts"),
+        *carried,
     )
 
 
+def _kept(segments: DataFrame, match: str, keep: Callable[[pd.DataFrame], np.ndarray], columns: list[str]) -> DataFrame:
+    """The segments whose seg_id keep() returns for their match: one fold over a match's segments, which are as many as its clip has scenes."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = keep(rows)
+        return pd.DataFrame({match: [rows[match].iloc[0]] * len(ids), "seg_id": ids})
+
+    kinds = {c: segments.schema[c].dataType.simpleString() for c in (match, "seg_id")}
+    kept = segments.select(match, "seg_id", *columns).groupBy(match).applyInPandas(fold, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return segments.join(kept, [match, "seg_id"])
+
+
 def drop_overlaps(segments: DataFrame, match: str, most: int = 150) -> DataFrame:
     """Greedy, by confidence (ties: earlier start, then seg_id): a segment goes if it shares more than `most` ms with one kept."""
-    row = F.struct((-F.col("conf")).alias("o"), "ss", "seg_id", "se")
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(row)),
-        F.array().cast("array<struct<o:double,ss:bigint,seg_id:bigint,se:bigint>>"),
-        lambda acc, x: F.when(F.exists(acc, lambda k: F.least(k["se"], x["se"]) - F.greatest(k["ss"], x["ss"]) > most), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    kept = segments.groupBy(match).agg(kept.alias("k")).select(match, F.explode("k").alias("k")).select(match, F.col("k.seg_id").alias("seg_id"))
-    return segments.join(kept, [match, "seg_id"])
+
+    def keep(rows: pd.DataFrame) -> np.ndarray:
+        rows = rows.assign(o=-rows["conf"]).sort_values(["o", "ss", "seg_id"])
+        starts, ends, n, out = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64), 0, []
+        for seg, a, e in zip(rows["seg_id"], rows["ss"].to_numpy(), rows["se"].to_numpy(), strict=True):
+            if not (np.minimum(ends[:n], e) - np.maximum(starts[:n], a) > most).any():
+                starts[n], ends[n] = a, e
+                n += 1
+                out.append(seg)
+        return np.array(out)
+
+    return _kept(segments, match, keep, ["conf", "ss", "se"])
 
 
 def validate_context(segments: DataFrame, match: str) -> DataFrame:
     """Approximate, weak and short segments stay only beside a sure one: the last kept or the next, at 85 or more, with a movie gap of -1 to 10 s."""
-    w = Window.partitionBy(match).orderBy("ss", "seg_id")
-    near = lambda gap: gap.between(-1000, 10000)
-    sure = (~F.col("approx")) | (F.col("conf") >= 80) | (F.col("frames") >= 20) | (F.count("*").over(Window.partitionBy(match)) <= 1)
-    after = F.coalesce((F.lead("conf").over(w) >= 85) & near(F.lead("ms").over(w) - F.col("me")), F.lit(False))
-    row = F.struct("ss", "seg_id", "ms", "me", F.col("conf").cast("double").alias("conf"), (sure | after).alias("stays"))
-    marked = segments.withColumn("_row", row).groupBy(match).agg(F.array_sort(F.collect_list("_row")).alias("rows"))
-    empty = F.array().cast("array<struct<ss:bigint,seg_id:bigint,ms:bigint,me:bigint,conf:double,stays:boolean>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        before = F.coalesce((last["conf"] >= 85) & near(x["ms"] - last["me"]), F.lit(False))
-        return F.when(x["stays"] | before, F.concat(acc, F.array(x))).otherwise(acc)
-
-    kept = marked.select(match, F.explode(F.aggregate("rows", empty, step)).alias("k")).select(match, F.col("k.seg_id").alias("seg_id"))
-    return segments.join(kept, [match, "seg_id"])
+
+    def keep(rows: pd.DataFrame) -> np.ndarray:
+        rows = rows.sort_values(["ss", "seg_id"])
+        conf, ms, me = (rows[c].to_numpy() for c in ("conf", "ms", "me"))
+        near = lambda gap: (gap >= -1000) & (gap <= 10000)
+        stays = ~rows["approx"].to_numpy(bool) | (conf >= 80) | (rows["frames"].to_numpy() >= 20) | (len(rows) <= 1)
+        stays[:-1] |= (conf[1:] >= 85) & near(ms[1:] - me[:-1])
+        last = -1
+        for k in range(len(rows)):
+            stays[k] |= last >= 0 and conf[last] >= 85 and bool(near(ms[k] - me[last]))
+            last = k if stays[k] else last
+        return rows["seg_id"].to_numpy()[stays]
+
+    return _kept(segments, match, keep, ["conf", "frames", "approx", "ss", "ms", "me"])
+
+
+def picture_cuts(df: DataFrame, key: str, a: list[str], a_bits: int, d: list[str], d_bits: int, magnitude: str) -> DataFrame:
+    """is_cut of frames with packed hashes a, d (columns of longs) and a change of colour: under 25 % of a or under 28 % of d in common with the
+    frame before, or a change over 100; a null says nothing."""
+    w = _in(key)
+
+    def alike(words: list[str], size: int) -> Column:
+        off = sum((F.bit_count(F.col(c).bitwiseXOR(F.lag(c).over(w))) for c in words), F.lit(0))
+        return (1 - off / size) * 100
+
+    no = F.lit(False)
+    tests = F.coalesce(alike(a, a_bits) < 25, no) | F.coalesce(alike(d, d_bits) < 28, no) | F.coalesce(F.col(magnitude) > 100, no)
+    return scene_cuts(df, key, tests)

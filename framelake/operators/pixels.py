@@ -56,44 +56,68 @@ def inpaint(rgb: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.where((source >= 0)[:, :, None], picked, rgb)
 
 
+class Sums:
+    """A picture's running sums down its columns, made once; area averages of its rectangles follow from them exactly."""
+
+    def __init__(self, rgb: np.ndarray):
+        self.down = np.zeros((len(rgb) + 1, rgb.shape[1], rgb.shape[2]))
+        np.cumsum(rgb, axis=0, out=self.down[1:])
+
+    def shrink(self, x: float, y: float, w: float, h: float, out_w: int = SIDE, out_h: int = SIDE) -> np.ndarray:
+        """Area average of a rectangle, (out_h, out_w, channels)."""
+
+        def at(edges: np.ndarray, t: np.ndarray) -> np.ndarray:
+            low = np.minimum(edges.astype(int), len(t) - 2)
+            part = (edges - low).reshape(-1, *[1] * (t.ndim - 1))
+            return t[low] * (1 - part) + t[low + 1] * part
+
+        rows = np.diff(at(y + h * np.arange(out_h + 1) / out_h, self.down), axis=0)
+        across = np.zeros((rows.shape[1] + 1, out_h, rows.shape[2]))
+        np.cumsum(rows.swapaxes(0, 1), axis=0, out=across[1:])
+        cells = np.diff(at(x + w * np.arange(out_w + 1) / out_w, across), axis=0)
+        return cells.swapaxes(0, 1) / ((w / out_w) * (h / out_h))
+
+
 def shrink(rgb: np.ndarray, x: float, y: float, w: float, h: float, out_w: int = SIDE, out_h: int = SIDE) -> np.ndarray:
-    """Area average of a rectangle: exact, from sums over the picture."""
-    total = np.zeros((len(rgb) + 1, rgb.shape[1] + 1, rgb.shape[2]))
-    total[1:, 1:] = rgb.cumsum(axis=0).cumsum(axis=1)
+    """Area average of one rectangle of a picture."""
+    return Sums(rgb).shrink(x, y, w, h, out_w, out_h)
 
-    def at(edges: np.ndarray, axis: int, t: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(int), t.shape[axis] - 2)
-        part = (edges - low).reshape([-1 if k == axis else 1 for k in range(t.ndim)])
-        return np.take(t, low, axis) * (1 - part) + np.take(t, low + 1, axis) * part
 
-    t = at(y + h * np.arange(out_h + 1) / out_h, 0, total)
-    t = at(x + w * np.arange(out_w + 1) / out_w, 1, t)
-    return np.diff(np.diff(t, axis=0), axis=1) / ((w / out_w) * (h / out_h))
+def _strings(bits: np.ndarray) -> list[str]:
+    flat = (bits.reshape(len(bits), -1).astype(np.uint8) + 48).tobytes().decode()
+    n = len(flat) // max(1, len(bits))
+    return [flat[k * n : (k + 1) * n] for k in range(len(bits))]
 
 
-def _bits(x: np.ndarray) -> str:
-    return (x.ravel().astype(np.uint8) + 48).tobytes().decode()
+def _differences(g: np.ndarray) -> list[str]:
+    n = len(g)
+    return _strings(np.hstack([(g[:, :, 1:] > g[:, :, :-1]).reshape(n, -1), (g[:, 1:] > g[:, :-1]).reshape(n, -1)]))
 
 
-def _differences(g: np.ndarray) -> str:
-    return _bits(g[:, 1:] > g[:, :-1]) + _bits(g[1:] > g[:-1])
+_SIZES = np.pad(np.ones((SIDE, SIDE)), 1)
 
 
-def hashes(small: np.ndarray) -> dict[str, str]:
-    """Average and difference hashes of a 16 x 16 picture, and of its mirror image."""
-    gray = (0.299 * small[:, :, 0] + 0.587 * small[:, :, 1] + 0.114 * small[:, :, 2]).astype(np.float64)
-    n_d = 2 * SIDE * (SIDE - 1)
-    if gray.var() < 1:
-        return {"hash": "0" * SIDE**2, "dhash": "0" * n_d, "fhash": "0" * SIDE**2, "fdhash": "0" * n_d}
+def _box(g: np.ndarray) -> np.ndarray:
+    """Sums of 3 x 3 neighbourhoods of padded pictures, rows first."""
+    rows = g[..., :-2, :] + g[..., 1:-1, :] + g[..., 2:, :]
+    return rows[..., :-2] + rows[..., 1:-1] + rows[..., 2:]
+
+
+def hashes_of(small: np.ndarray) -> list[dict[str, str]]:
+    """Average and difference hashes of 16 x 16 pictures (n, 16, 16, channels), and of their mirror images; all zeros for flat ones."""
+    gray = 0.299 * small[..., 0] + 0.587 * small[..., 1] + 0.114 * small[..., 2]
+    flat = gray.var(axis=(1, 2)) < 1
     blurred = gray.astype(np.float32)
     for _ in range(3):
-        p = np.pad(blurred.astype(np.float64), 1)
-        ones = np.pad(np.ones_like(gray), 1)
-        add = lambda q: sum(q[i : i + SIDE, j : j + SIDE] for i in range(3) for j in range(3))
-        blurred = (add(p) / add(ones)).astype(np.float32)
-    mirrored = blurred[:, ::-1]
-    mean = gray.mean()
-    return {"hash": _bits(blurred >= mean), "dhash": _differences(blurred), "fhash": _bits(mirrored >= mean), "fdhash": _differences(mirrored)}
+        blurred = (_box(np.pad(blurred.astype(np.float64), ((0, 0), (1, 1), (1, 1)))) / _box(_SIZES)).astype(np.float32)
+    mean, mirrored = gray.mean(axis=(1, 2), keepdims=True), blurred[:, :, ::-1]
+    columns = (_strings(blurred >= mean), _differences(blurred), _strings(mirrored >= mean), _differences(mirrored))
+    return [{name: "0" * len(x) if zero else x for name, x in zip(("hash", "dhash", "fhash", "fdhash"), row, strict=True)} for *row, zero in zip(*columns, flat.tolist(), strict=True)]
+
+
+def hashes(small: np.ndarray) -> dict[str, str]:
+    """Those of one picture."""
+    return hashes_of(small[None])[0]
 
 
 def signature(small: np.ndarray) -> dict[str, list[float]]:
@@ -106,13 +130,15 @@ def signature(small: np.ndarray) -> dict[str, list[float]]:
 
 def fingerprint(rgba: bytes, w: int, h: int) -> tuple[dict, dict]:
     """(variants, signature) of one frame. Subtitles are looked for at 120 lines; if some are removed, crops come from that picture."""
-    rgb = np.frombuffer(rgba, np.uint8).reshape(h, w, -1)[:, :, :3].astype(float)
+    rgb = np.frombuffer(rgba, np.uint8).reshape(h, w, -1)[:, :, :3]
     low_w = int(np.floor(w * SMALL_HEIGHT / h + 0.5))
-    low = shrink(rgb, 0, 0, w, h, low_w, SMALL_HEIGHT)
+    sums = Sums(rgb)
+    low = sums.shrink(0, 0, w, h, low_w, SMALL_HEIGHT)
     mask = subtitle_mask(low)
-    picture, fx, fy = (rgb, 1.0, 1.0) if mask is None else (inpaint(low, mask), low_w / w, SMALL_HEIGHT / h)
-    small = {name: shrink(picture, x * fx, y * fy, cw * fx, ch * fy) for name, x, y, cw, ch in crops(w, h)}
-    return {name: hashes(s) for name, s in small.items()}, signature(small["full"])
+    sums, fx, fy = (sums, 1.0, 1.0) if mask is None else (Sums(inpaint(low, mask)), low_w / w, SMALL_HEIGHT / h)
+    places = crops(w, h)
+    small = np.stack([sums.shrink(x * fx, y * fy, cw * fx, ch * fy) for _, x, y, cw, ch in places])
+    return dict(zip([p[0] for p in places], hashes_of(small), strict=True)), signature(small[0])
 
 
 def fingerprints(frames: DataFrame, fps: float = 25.0) -> DataFrame:
@@ -133,8 +159,9 @@ def fingerprints(frames: DataFrame, fps: float = 25.0) -> DataFrame:
 
 def synthetic(f: int, w: int = 320, h: int = 240) -> bytes:
     """A frame of whole-number formulas, for tests."""
-    x, y = np.arange(w)[None, :], np.arange(h)[:, None]
-    r = (x * (f + 1) * 31 + y * 97) ^ (f * 53)
-    g = (y * (f + 1) * 67 + x * 41) ^ (f * 29)
-    b = (x * y * 7 + f * 113) ^ 128
-    return np.stack([r & 255, g & 255, b & 255, np.full((h, w), 255)], axis=2).astype(np.uint8).tobytes()
+    x, y = np.arange(w, dtype=np.uint32)[None, :], np.arange(h, dtype=np.uint32)[:, None]
+    out = np.full((h, w, 4), 255, np.uint8)  # only the lowest eight bits count
+    out[..., 0] = (x * np.uint32((f + 1) * 31) + y * np.uint32(97)) ^ np.uint32(f * 53)
+    out[..., 1] = (y * np.uint32((f + 1) * 67) + x * np.uint32(41)) ^ np.uint32(f * 29)
+    out[..., 2] = (x * y * np.uint32(7) + np.uint32(f * 113)) ^ np.uint32(128)
+    return out.tobytes()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,16 +64,19 @@ def seed_positions(chunks: DataFrame) -> DataFrame:
 def suppressed(found: DataFrame, distance: int = 50) -> DataFrame:
     """One candidate for each cluster of a seed's candidates: in order of position, one nearer than `distance` to the cluster's
     present representative replaces it if better, and so moves it."""
-    row = F.struct("pos", "agree")
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(row)),
-        F.array().cast("array<struct<pos:bigint,agree:int>>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["pos"] - F.get(acc, F.size(acc) - 1)["pos"] >= distance), F.concat(acc, F.array(x)))
-        .when(x["agree"] > F.get(acc, F.size(acc) - 1)["agree"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x)))
-        .otherwise(acc),
-    )
-    typed = found.select("si", F.col("pos").cast("bigint").alias("pos"), F.col("agree").cast("int").alias("agree"))
-    return typed.groupBy("si").agg(kept.alias("k")).select("si", F.inline("k"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        pos, agree, kept = rows["pos"].to_numpy(), rows["agree"].to_numpy(), []
+        for k in range(len(rows)):
+            if not kept or pos[k] - pos[kept[-1]] >= distance:
+                kept.append(k)
+            elif agree[k] > agree[kept[-1]]:
+                kept[-1] = k
+        return rows.iloc[kept]
+
+    typed = found.select(F.col("si").cast("bigint").alias("si"), F.col("pos").cast("bigint").alias("pos"), F.col("agree").cast("int").alias("agree"))
+    return typed.groupBy("si").applyInPandas(fold, "si bigint, pos bigint, agree int")
 
 
 def top(found: DataFrame, n: int = 8) -> DataFrame:

@@ -29,7 +29,10 @@ def hash_flat_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = V.grids(spark, sf_dir).withColumn("b", hashing.box_blur(F.col("q").cast("array<double>"), 8, 8))
+    """The mean of the neighbourhood, three times over."""
+    g = V.grids(spark, sf_dir).withColumn("b", F.col("q").cast("array<double>"))
+    for _ in range(3):
+        g = g.withColumn("b", hashing.box_blur(F.col("b"), 8, 8))
     return g.select("pos", F.posexplode("b").alias("cell", "v")).select("pos", "cell", F.round("v", 6).alias("v"))
 
 
@@ -117,7 +120,7 @@ def signature_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def temporal_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _signature_pairs(spark, sf_dir)
     c = F.col
-    t = signatures.temporal_similarity(c("delta"), c("mag"), c("o_delta"), c("o_mag"))
+    t = signatures.temporal_similarity(c("delta"), c("mag"), c("o_delta"), c("o_mag"), c("pos") % 1000, (c("pos") + 1) % 1000)
     return p.select("pos", F.round("mag", 6).alias("mag"), F.round(t, 6).alias("temporal"))
 
 
@@ -128,6 +131,15 @@ def frame_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("pos", F.round(signatures.frame_similarity(F.col("sim"), sig, t), 5).alias("frame_sim"))
 
 
+def picture_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of every thousand frames as a video: by the hashes and by the change of colour."""
+    f = V.frames(spark, sf_dir).withColumn("d", hashing.difference_hash(F.col("q"), 8, 8))
+    f = f.select("pos", "w0", *[c.alias(f"d{k}") for k, c in enumerate(bits.pack(F.col("d"), 112))])
+    s = V.signatures(spark, sf_dir).withColumn("video", F.floor(F.col("pos") / 1000))
+    s = ordered.deltas(s, "video", "colour").select("pos", "video", "mag").join(f, "pos").withColumns({"at": F.col("pos"), "pos": F.col("pos") % 1000})
+    return ordered.picture_cuts(s, "video", ["w0"], 64, ["d0", "d1"], 112, "mag").select(F.col("at").alias("pos"), "is_cut")
+
+
 def integrity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.segments(spark, sf_dir)
     score = display.integrity(F.col("conf"), F.col("frames") * 3, F.col("frames") * 2, F.col("conf") / 2)
@@ -170,13 +182,19 @@ def _raw_sim(y: str) -> str:
     return f"({_colour_sim(y)} + (1 - {_mean_diff('x.skin', y + '.skin')}) + {_detail_sim(y)}) / 3 * 100"
 
 
+def _blurs(times: int) -> str:
+    """b1 to b<times> from b0 (pos, cell, v)."""
+    near = "JOIN b{0} b ON a.pos = b.pos AND abs(a.cell // 8 - b.cell // 8) <= 1 AND abs(a.cell % 8 - b.cell % 8) <= 1"
+    return ", ".join(f"b{k + 1} AS (SELECT a.pos, a.cell, avg(b.v) AS v FROM b{k} a {near.format(k)} GROUP BY 1, 2)" for k in range(times))
+
+
 _DELTA = (
     V.SIGNATURES
     + """, lagged AS (SELECT pos, colour, lag(colour) OVER (PARTITION BY pos // 1000 ORDER BY pos) AS before FROM signatures),
 delta AS (SELECT pos, CASE WHEN before IS NULL THEN list_transform(colour, lambda v: v * 0.0) ELSE list_transform(list_zip(colour, before), lambda p: p[1] - p[2]) END AS d FROM lagged),
 mags AS (SELECT pos, d, sqrt(list_sum(list_transform(d, lambda v: v * v))) AS mag FROM delta)"""
 )
-_TEMPORAL = """CASE WHEN x.mag < 6 AND y.mag < 6 THEN 78.0 WHEN x.mag < 6 OR y.mag < 6 THEN 38.0
+_TEMPORAL = """CASE WHEN x.pos % 1000 = 0 OR y.pos % 1000 = 0 THEN -1.0 WHEN x.mag < 6 AND y.mag < 6 THEN 78.0 WHEN x.mag < 6 OR y.mag < 6 THEN 38.0
   ELSE (list_sum(list_transform(list_zip(x.d, y.d), lambda p: p[1] * p[2])) / (x.mag * y.mag) + 1) / 2 * 100 END"""
 _RECTS = """sizes(w, h) AS (VALUES (1920, 1080), (1080, 1920), (1000, 1000), (320, 240), (641, 359)),
 tall AS (SELECT w, h, CAST(floor(floor(h * 9 / 16 + 0.5) / 2) * 2 AS INTEGER) AS t FROM sizes),
@@ -195,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hash_ahash, hash_dhash, hash_flip, hash_flat_guard, hash_blur, crop_rects, crop_label, subtitle_mask, subtitle_dilate, subtitle_inpaint, signature_grid,
-        hamming_pairs, pair_similarity, color_zscore, grid_mirror, signature_similarity, temporal_similarity, frame_similarity, integrity_score,
+        hamming_pairs, pair_similarity, color_zscore, grid_mirror, signature_similarity, temporal_similarity, frame_similarity, picture_cuts, integrity_score,
     )
 }
 ORACLES = {
@@ -204,8 +222,11 @@ ORACLES = {
     "hash_flip": f"WITH {_HASHED} SELECT pos, fa, fd FROM hashed",
     "hash_flat_guard": f"WITH {V.GRIDS}, g AS (SELECT pos, CASE WHEN pos % 5 = 0 THEN list_transform(q, lambda x: x % 2) ELSE q END AS q FROM grids)"
     f" SELECT pos, CASE WHEN list_var_pop(q) < 1 THEN repeat('0', 64) ELSE {V._HASH.format(q='q')} END AS a FROM g",
-    "hash_blur": f"WITH {V.GRIDS}, c AS (SELECT pos, unnest(range(64)) AS cell, unnest(q) AS v FROM grids)"
-    " SELECT a.pos, CAST(a.cell AS INTEGER) AS cell, round(avg(b.v), 6) AS v FROM c a JOIN c b ON a.pos = b.pos AND abs(a.cell // 8 - b.cell // 8) <= 1 AND abs(a.cell % 8 - b.cell % 8) <= 1 GROUP BY 1, 2",
+    "hash_blur": f"""WITH {V.GRIDS}, b0 AS (SELECT pos, unnest(range(64)) AS cell, CAST(unnest(q) AS DOUBLE) AS v FROM grids), {_blurs(3)}
+        SELECT pos, CAST(cell AS INTEGER) AS cell, round(v, 6) AS v FROM b3""",
+    "picture_cuts": f"""WITH {_HASHED}, {_DELTA.removeprefix(V.GRIDS + ', ')}, x AS (SELECT h.pos, hamming(h.a, lag(h.a) OVER w) AS da, hamming(h.d, lag(h.d) OVER w) AS dd, m.mag, h.pos % 1000 AS place
+        FROM hashed h JOIN mags m USING (pos) WINDOW w AS (PARTITION BY h.pos // 1000 ORDER BY h.pos))
+        SELECT pos, coalesce((1 - da / 64.0) * 100 < 25, false) OR coalesce((1 - dd / 112.0) * 100 < 28, false) OR mag > 100 AS is_cut FROM x WHERE place > 0 UNION ALL SELECT pos, false FROM x WHERE place = 0""",
     "crop_rects": f"WITH {_RECTS} SELECT w, h, name, CAST(sx AS INTEGER) AS sx, CAST(sy AS INTEGER) AS sy, CAST(sw AS INTEGER) AS sw, CAST(sh AS INTEGER) AS sh FROM rects",
     "crop_label": f"""WITH {_RECTS} SELECT DISTINCT name, CASE WHEN name = 'full' THEN 'Full Frame' WHEN name LIKE 'crop%' THEN '9:16 Crop ' || (CAST(right(name, 1) AS INTEGER) + 1)
         ELSE 'Zoom ' || split_part(name, '_', 2) || '.' || split_part(name, '_', 3) || 'x ' || upper(split_part(name, '_', 4)[1]) || split_part(name, '_', 4)[2:] END AS label FROM rects""",

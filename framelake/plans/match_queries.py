@@ -53,8 +53,10 @@ def extract_fingerprints(spark: SparkSession, sf_dir: str, frames: int = 24, wid
         import pandas as pd
 
         for b in batches:
-            for k in b["id"].tolist():
-                yield pd.DataFrame({"video_id": ["synthetic"], "frameIndex": [k + 1], "width": [width], "height": [height], "rgba": [pixels.synthetic(k, width, height)]})
+            ids = b["id"].tolist()
+            for a in range(0, len(ids), 8):
+                some = ids[a : a + 8]
+                yield pd.DataFrame({"video_id": "synthetic", "frameIndex": [k + 1 for k in some], "width": width, "height": height, "rgba": [pixels.synthetic(k, width, height) for k in some]})
 
     raw = spark.range(0, frames, 1, min(frames, 64)).mapInPandas(make, "video_id string, frameIndex int, width int, height int, rgba binary")
     return pixels.fingerprints(raw).select("video_id", "frameIndex", "timestamp", F.col("variants")["full"]["hash"].alias("hash"), F.size("variants").alias("variants"))

@@ -74,20 +74,10 @@ def merge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.drop_overlaps(V.segments(spark, sf_dir).filter("seg_id % 40 = 1"), "match_id").select("match_id", "seg_id", "conf")
-
-
-def context_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.validate_context(V.segments(spark, sf_dir).filter("seg_id % 20 = 3"), "match_id").select("match_id", "seg_id")
-
-
-def dedup_segments_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dedup_segments over every segment; its SQL holds a part of them only."""
     return ordered.drop_overlaps(V.segments(spark, sf_dir), "match_id").select("match_id", "seg_id", "conf")
 
 
-def context_validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """context_validate over every segment; its SQL holds a part of them only."""
+def context_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.validate_context(V.segments(spark, sf_dir), "match_id").select("match_id", "seg_id")
 
 
@@ -108,19 +98,9 @@ def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each seventh row's best row at most three positions away, by level."""
+    """Each row's best row at most three positions away, by level."""
     t = V.timeline(spark, sf_dir)
-    return _local_align(t.filter("pos % 7 = 0"), t)
-
-
-def local_align_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """local_align for every row; its SQL holds each seventh only."""
-    t = V.timeline(spark, sf_dir)
-    return _local_align(t, t)
-
-
-def _local_align(rows: DataFrame, t: DataFrame) -> DataFrame:
-    left = rows.select("video_id", "pos", "level", F.explode(F.sequence(F.col("pos") - 3, F.col("pos") + 3)).alias("at")).filter("at <> pos")
+    left = t.select("video_id", "pos", "level", F.explode(F.sequence(F.col("pos") - 3, F.col("pos") + 3)).alias("at")).filter("at <> pos")
     near = left.join(t.select("video_id", F.col("pos").alias("at"), F.col("level").alias("other")), ["video_id", "at"])
     best = near.groupBy("video_id", "pos").agg(F.max(F.struct((100000 - F.abs(F.col("level") - F.col("other"))).alias("s"), (-F.col("at")).alias("n"))).alias("b"))
     return best.select("video_id", "pos", (-F.col("b.n")).alias("at"), (100000 - F.col("b.s")).alias("difference"))
@@ -181,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scene_cuts, scene_chunks, seed_positions, unmatched_ranges, forced_groups, gap_interpolate, path_statistics, rolling_avg_50, count_windows, contiguous_prefix,
-        merge_segments, dedup_segments, context_validate, dedup_segments_all, context_validate_all, confidence_class, speed_report, asof_nearest, local_align, local_align_all, percentile_sample, parity_stats, gt_coverage, coverage_timeline,
+        merge_segments, dedup_segments, context_validate, confidence_class, speed_report, asof_nearest, local_align, percentile_sample, parity_stats, gt_coverage, coverage_timeline,
     )
 }
 ORACLES = {
@@ -205,14 +185,15 @@ ORACLES = {
     "merge_segments": f"""WITH {V.SEGMENTS}, g AS (SELECT *, ss - lag(se) OVER w AS gap, ms - lag(me) OVER w AS movie, row_number() OVER w AS n FROM segments WINDOW w AS (PARTITION BY match_id ORDER BY ss, se, ms, me, seg_id)),
         k AS (SELECT *, sum(CASE WHEN gap BETWEEN -40 AND 520 AND movie >= -80 AND movie <= 5 * gap + 2500 THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY n) AS grp FROM g)
         SELECT match_id, min(ss) AS ss, arg_max(se, n) AS se, arg_min(ms, n) AS ms, arg_max(me, n) AS me, round(sum(conf * frames) / sum(frames), 6) AS conf, round(sum(ratio * frames) / sum(frames), 6) AS ratio,
-        CAST(sum(frames) AS BIGINT) AS frames, CAST(sum(gaps) AS BIGINT) AS gaps, bool_or(approx) AS approx, count(*) AS parts FROM k GROUP BY match_id, grp""",
-    "dedup_segments": f"""WITH RECURSIVE {V.SEGMENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY conf DESC, ss, seg_id) AS n FROM segments WHERE seg_id % 40 = 1),
+        CAST(sum(frames) AS BIGINT) AS frames,
+        CAST(sum(gaps + CASE WHEN gap BETWEEN -40 AND 520 AND movie >= -80 AND movie <= 5 * gap + 2500 THEN floor(gap * 25 / 1000.0 + 0.5) ELSE 0 END) AS BIGINT) AS gaps, bool_or(approx) AS approx, count(*) AS parts FROM k GROUP BY match_id, grp""",
+    "dedup_segments": f"""WITH RECURSIVE {V.SEGMENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY conf DESC, ss, seg_id) AS n FROM segments),
         w AS (SELECT match_id, n, [struct_pack(ss := ss, se := se)] AS kept, true AS keep FROM s WHERE n = 1 UNION ALL
           SELECT w.match_id, s.n, CASE WHEN k THEN list_append(w.kept, struct_pack(ss := s.ss, se := s.se)) ELSE w.kept END, k
           FROM w JOIN s ON s.match_id = w.match_id AND s.n = w.n + 1, LATERAL (SELECT len(list_filter(w.kept, lambda x: least(x.se, s.se) - greatest(x.ss, s.ss) > 150)) = 0 AS k))
         SELECT s.match_id, s.seg_id, s.conf FROM w JOIN s USING (match_id, n) WHERE keep""",
     "context_validate": f"""WITH RECURSIVE {V.SEGMENTS}, s AS (SELECT *, row_number() OVER o AS n, count(*) OVER (PARTITION BY match_id) AS c, lead(conf) OVER o AS nconf, lead(ms) OVER o AS nms
-          FROM segments WHERE seg_id % 20 = 3 WINDOW o AS (PARTITION BY match_id ORDER BY ss, seg_id)),
+          FROM segments WINDOW o AS (PARTITION BY match_id ORDER BY ss, seg_id)),
         t AS (SELECT *, NOT approx OR conf >= 80 OR frames >= 20 OR c <= 1 OR coalesce(nconf >= 85 AND nms - me BETWEEN -1000 AND 10000, false) AS stays FROM s),
         w AS (SELECT match_id, n, stays AS keep, CASE WHEN stays THEN conf END AS lconf, CASE WHEN stays THEN me END AS lme FROM t WHERE n = 1 UNION ALL
           SELECT w.match_id, t.n, k, CASE WHEN k THEN t.conf ELSE w.lconf END, CASE WHEN k THEN t.me ELSE w.lme END
@@ -226,7 +207,7 @@ ORACLES = {
         j AS (SELECT l.video_id, l.pos, r.pos AS match_pos, abs(l.t - r.t) AS distance, row_number() OVER (PARTITION BY l.video_id, l.pos ORDER BY abs(l.t - r.t), r.pos) AS n FROM l LEFT JOIN r USING (video_id))
         SELECT video_id, pos, match_pos, distance FROM j WHERE n = 1""",
     "local_align": f"""WITH {V.TIMELINE}, j AS (SELECT a.video_id, a.pos, b.pos AS at_, abs(a.level - b.level) AS difference,
-          row_number() OVER (PARTITION BY a.video_id, a.pos ORDER BY abs(a.level - b.level), b.pos) AS n FROM timeline a JOIN timeline b ON a.video_id = b.video_id AND b.pos BETWEEN a.pos - 3 AND a.pos + 3 AND b.pos <> a.pos WHERE a.pos % 7 = 0)
+          row_number() OVER (PARTITION BY a.video_id, a.pos ORDER BY abs(a.level - b.level), b.pos) AS n FROM timeline a JOIN timeline b ON a.video_id = b.video_id AND b.pos BETWEEN a.pos - 3 AND a.pos + 3 AND b.pos <> a.pos)
         SELECT video_id, pos, at_ AS "at", difference FROM j WHERE n = 1""",
     "percentile_sample": f"""WITH {V.TIMELINE}, n AS (SELECT video_id, count(*) AS n FROM timeline GROUP BY 1),
         s AS (SELECT DISTINCT video_id, CAST(floor(p * (n - 1) / 100) AS BIGINT) AS pos FROM n, (VALUES (0), (10), (25), (50), (75), (90)) AS v(p))

@@ -56,6 +56,13 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.floor(F.col("pos") / 100).cast("bigint").alias("si"), F.col("pos").alias("src_pos"), "q", "a", "w0")
 
 
+SEARCHES = (
+    FRAMES
+    + ", searches AS (SELECT pos // 100 AS si, a FROM frames WHERE pos % 100 = 0)"
+    + ", agree AS (SELECT c.si, f.pos, 64 - hamming(c.a, f.a) AS agree FROM searches c, frames f)"
+)
+
+
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, colour (48 numbers from 0 to 255), skin (16 shares in quarters), detail (16 numbers)."""
     g = grids(spark, sf_dir)

@@ -22,8 +22,10 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType = FI
 
 
 def parse_records(df: DataFrame, column: str, schema: str) -> DataFrame:
-    """A JSON column as a struct; malformed records go."""
-    return df.withColumn(column, F.from_json(column, schema, {"mode": "PERMISSIVE"})).filter(F.col(column).isNotNull())
+    """A JSON column as a struct; malformed records and nulls go."""
+    broken = "_framelake_broken"
+    parsed = F.from_json(column, f"{schema}, {broken} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken})
+    return df.withColumn(column, parsed).filter(F.col(column).isNotNull() & F.col(f"{column}.{broken}").isNull()).withColumn(column, F.col(column).dropFields(broken))
 
 
 def frame_range(df: DataFrame, first: int, last: int) -> DataFrame:

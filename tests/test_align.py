@@ -67,3 +67,53 @@ def test_gap_of_two_is_filled_and_three_is_not():
 def test_slopes_are_held_to_their_range():
     assert align.regression_slope([(0, 0, 1), (1, 100, 1), (2, 200, 1)]) == 8.0
     assert align.regression_slope([(4, 1, 1)]) == 1.0
+
+
+FRAME = "video_id STRING, frameIndex INT, timestamp DOUBLE, variants MAP<STRING, STRUCT<hash: STRING, dhash: STRING, fhash: STRING, fdhash: STRING>>, signature STRUCT<colorGrid: ARRAY<DOUBLE>, skinScoreGrid: ARRAY<DOUBLE>, detailGrid: ARRAY<DOUBLE>>"
+
+
+def test_matches_without_segments_or_hashes_have_no_rows(spark):
+    rng = np.random.default_rng(1)
+    movie = make_video(rng, 80)
+    rows = [("movie", *r) for r in movie] + [("two", k, k / 25, r[2], r[3]) for k, r in enumerate(movie[10:12])] + [("blank", k, k / 25, None, None) for k in range(12)]
+    rows += [("part", k, k / 25, None if k % 5 == 4 else r[2], r[3]) for k, r in enumerate(movie[22:38])]
+    frames = spark.createDataFrame(rows, FRAME)
+    pairs = spark.createDataFrame([(m, m, "movie") for m in ("two", "blank", "part")] + [("gone", "none", "movie")], "match_id STRING, clip_id STRING, movie_id STRING")
+    segments, rest = (x.collect() for x in align.match_videos(pairs, frames))
+    assert {r["match_id"] for r in segments} == {"part"} and {r["match_id"] for r in rest} >= {"two", "blank"}
+    assert align.match_videos(pairs.filter("match_id = 'two'"), frames)[0].collect() == []
+
+
+def test_segments_carry_their_sequence_and_detail(planted):
+    segments, rest = (x.collect() for x in planted)
+    used = set()
+    for s in segments:
+        q, d = s["matchSequence"], s["bestFrameDetail"]
+        assert len(q) == s["frameCount"] and q[0]["shortTime"] == s["shortStart"] and q[-1]["shortTime"] == s["shortEnd"]
+        assert d["cropRegion"] == "Full Frame" and len(d["movieHash"]) == len(d["shortHash"]) == 256 and 0 <= d["detailSim"] <= 100
+        used |= {round(x["shortTime"] * 25) for x in q}
+    free = {k for r in rest for k in range(round(r["shortStart"] * 25), round(r["shortEnd"] * 25) + 1)}
+    assert used | free == set(range(130)) and not used & free  # a frame is in a final segment's sequence or unmatched
+
+
+def test_names_of_crops():
+    assert [align.crop_name(n) for n in ("full", "crop_9_16_0", "zoom_1_25_left", "zoom_2_0_center", "other")] == ["Full Frame", "9:16 Crop 1", "Zoom 1.25x Left", "Zoom 2.0x Center", "other"]
+
+
+def test_joins_add_gap_frames_and_keep_the_surer_detail(spark):
+    from framelake.operators import ordered
+
+    seq = lambda t: [(t, t, 90.0)]
+    det = lambda n: (n,)
+    rows = [
+        ("m", 1, 0, 1000, 0, 1000, 80.0, 10, 1, 1.0, False, seq(0.0), det("a")),
+        ("m", 2, 1200, 2000, 1200, 2000, 90.0, 30, 0, 2.0, True, seq(1.2), det("b")),
+        ("m", 3, 2040, 3000, 2040, 3000, 85.0, 5, 2, 1.0, False, seq(2.04), det("c")),
+        ("m", 4, 9000, 9500, 100, 600, 70.0, 5, 0, 1.0, False, seq(9.0), det("d")),
+    ]
+    schema = "match_id string, seg_id bigint, ss bigint, se bigint, ms bigint, me bigint, conf double, frames bigint, gaps bigint, ratio double, approx boolean, matchSequence array<struct<shortTime: double, movieTime: double, similarity: double>>, bestFrameDetail struct<name: string>"
+    got = sorted(ordered.merge_adjacent(spark.createDataFrame(rows, schema).repartition(3), "match_id").collect(), key=lambda r: r["ss"])
+    first = got[0]
+    assert (first["ss"], first["se"], first["me"], first["frames"], first["gaps"], first["parts"]) == (0, 3000, 3000, 45, 1 + 0 + 2 + 5 + 1, 3)
+    assert [q["shortTime"] for q in first["matchSequence"]] == [0.0, 1.2, 2.04] and first["bestFrameDetail"]["name"] == "b" and first["approx"]
+    assert got[1]["gaps"] == 0 and got[1]["bestFrameDetail"]["name"] == "d"

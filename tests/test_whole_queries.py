@@ -1,4 +1,4 @@
-"""Queries over whole tables, which have no SQL, against brute force."""
+"""Queries over whole tables against brute force, beside their SQL."""
 
 from collections import defaultdict
 
@@ -21,7 +21,7 @@ def test_every_segment_is_deduplicated(spark, sf):
             if all(min(k["se"], r["se"]) - max(k["ss"], r["ss"]) <= 150 for k in kept):
                 kept.append(r)
         want |= {(match, r["seg_id"], r["conf"]) for r in kept}
-    got = [tuple(r) for r in catalogue.QUERIES["dedup_segments_all"](spark, sf).collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["dedup_segments"](spark, sf).collect()]
     assert set(got) == want and len(got) == len(want)
 
 
@@ -38,7 +38,7 @@ def test_every_segment_meets_its_context(spark, sf):
             if sure or beside or behind:
                 want.add((match, r["seg_id"]))
                 last = r
-    got = [tuple(r) for r in catalogue.QUERIES["context_validate_all"](spark, sf).collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["context_validate"](spark, sf).collect()]
     assert set(got) == want and len(got) == len(want) < sum(map(len, _by_match(spark, sf).values()))
 
 
@@ -51,24 +51,24 @@ def test_searches_take_every_hundredth_frame(spark, sf):
     best = lambda s, of: max(((s[r], -r) for r in of if s[r] > 0), default=None)
     rows = lambda name: sorted((r["si"], r["pos"], r["agree"]) for r in run(name).collect())
     found = lambda of: sorted((i, -b[1], b[0]) for i, s in agree.items() if (b := best(s, of(s))))
-    assert rows("nn_top1_all") == found(lambda s: [r for r in s if s[r] >= 40])
-    assert rows("nn_stride5_all") == found(lambda s: [r for r in s if r % 5 == 0])
+    assert rows("nn_top1") == found(lambda s: [r for r in s if s[r] >= 40])
+    assert rows("nn_stride5") == found(lambda s: [r for r in s if r % 5 == 0])
     centre = {i: -best(s, [r for r in s if r % 10 == 0])[1] for i, s in agree.items()}
-    assert rows("nn_coarse_fine_all") == sorted((i, -b[1], b[0]) for i, s in agree.items() if (b := best(s, [r for r in s if abs(r - centre[i]) <= 30])))
+    assert rows("nn_coarse_fine") == sorted((i, -b[1], b[0]) for i, s in agree.items() if (b := best(s, [r for r in s if abs(r - centre[i]) <= 30])))
     lo, hi = min(agree), max(agree)
     seeds = {int(lo + k * (hi - lo) / 4 + 0.5) for k in range(5)}
     scored = sorted((i, r, n) for i in seeds for r, n in agree[i].items() if n >= 36)
-    assert rows("seed_scores_all") == scored
+    assert rows("seed_scores") == scored
     kept = []
     for i, r, n in scored:
         if not kept or kept[-1][0] != i or r - kept[-1][1] >= 50:
             kept.append((i, r, n))
         elif n > kept[-1][2]:
             kept[-1] = (i, r, n)
-    assert rows("seed_candidates_all") == kept
-    assert rows("seed_top8_all") == sorted(x for i in seeds for x in sorted((k for k in kept if k[0] == i), key=lambda k: (-k[2], k[1]))[:8])
+    assert rows("seed_candidates") == kept
+    assert rows("seed_top8") == sorted(x for i in seeds for x in sorted((k for k in kept if k[0] == i), key=lambda k: (-k[2], k[1]))[:8])
     mean = sum(max(s.values()) for s in agree.values()) / len(agree) / 64 * 100
-    assert [tuple(r) for r in run("forced_best_all").collect()] == [(len(asked), round(mean, 6))]
+    assert [tuple(r) for r in run("forced_best").collect()] == [(len(asked), round(mean, 6))]
 
 
 def test_every_row_is_aligned(spark, sf):
@@ -78,5 +78,5 @@ def test_every_row_is_aligned(spark, sf):
         near = [(abs(level - levels[video, q]), q) for q in range(pos - 3, pos + 4) if q != pos and (video, q) in levels]
         if near:
             want[video, pos] = min(near)
-    got = catalogue.QUERIES["local_align_all"](spark, sf).collect()
+    got = catalogue.QUERIES["local_align"](spark, sf).collect()
     assert {(r["video_id"], r["pos"]): (r["difference"], r["at"]) for r in got} == want and len(got) == len(want)
