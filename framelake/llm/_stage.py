@@ -14,9 +14,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set and all runs in this process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

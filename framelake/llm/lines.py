@@ -9,7 +9,8 @@ Rows: a null or empty text has no lines and comes back as it is; so does a text
 lines. Rows that share a doc_id are one document for the order: a window at the same position of each
 counts as one occurrence. Rows with a null doc_id come back unchanged and are no one's first
 occurrence. Extra columns pass through. Built-in functions only: a window's 128-bit hash is grouped with
-map-side sums, so a hot window is one row for each task; the lines themselves never leave their row.
+map-side minima, so a hot window is one row for each task there. Its occurrences (a document and a position each) then meet its first
+in a join that adaptive execution splits where one key is large; the lines themselves never leave their row.
 """
 
 from __future__ import annotations

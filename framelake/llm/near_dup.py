@@ -12,8 +12,8 @@
 4. What a star leaves open: two members of a bucket that aren't both linked to the pivot. Each member is
    held as its difference from the pivot's set, D. As |a ^ b| = |D_a ^ D_b|, the exact similarity
    of two members follows from their short differences alone, and members linked to the pivot with
-   |D_a| + |D_b| small need no look at all. A pivot's members are dealt into tiles of at
-   most `tile` members a side, so no task holds a whole group.
+   |D_a| + |D_b| small need no look at all. Open members, those not linked to the pivot, meet all
+   others in tiles of about `tile` members a side, so no task holds a whole group and linked members aren't copied about.
 5. Connected components of the links by hooking and pointer jumping, written out each round.
 
 Rows: a null text, or one without words, has an empty set and is linked with nothing. A null doc_id is
@@ -154,19 +154,22 @@ def links(rows: DataFrame, heads: DataFrame, size: int, percent: int, tile: int)
     parts = slots(spark)
     stars = staged(sent.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share").mapInArrow(lean(star), "pivot bigint, shares int, member bigint, n bigint, linked boolean, diff binary"))
     found = stars.filter("linked and pivot != member").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-    # Groups with a member that its pivot doesn't link. A tile is a pair of shares, of which the first may hold open members.
-    open_ = stars.filter("not linked").select("pivot").distinct()
-    rest = stars.join(open_, "pivot").withColumn("own", F.pmod(F.xxhash64("member", F.lit(1)), F.col("shares")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    rest = rest.select("pivot", "member", "n", "linked", "diff", "own", F.explode(tiles).alias("t")).select("pivot", "t.i", "t.j", "own", "member", "n", "linked", "diff")
+    # Groups with open members, those that their pivot doesn't link. An open member meets all shares of its group's members; the linked ones
+    # stay in their share, once for each `tile` open members of the group.
+    opened = stars.filter("not linked").groupBy("pivot").agg(F.ceil(F.count("*") / tile).cast("int").alias("open_shares"))
+    rest = stars.join(opened, "pivot")
+    deal = lambda salt, shares: F.pmod(F.xxhash64("member", F.lit(salt)), F.col(shares)).cast("int")
+    every = lambda shares: F.explode(F.sequence(F.lit(0), F.col(shares) - 1))
+    asked = rest.select("pivot", every("open_shares").alias("i"), deal(1, "shares").alias("j"), F.lit(False).alias("asks"), "member", "n", "diff")
+    asking = rest.filter("not linked").select("pivot", deal(2, "open_shares").alias("i"), every("shares").alias("j"), F.lit(True).alias("asks"), "member", "n", "diff")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), group in _groups(batches, ("pivot", "i", "j"), ("own", "member", "n", "linked", "diff")):
-            a, b = _tile_links(group, i, j, percent)
+        for _, group in _groups(batches, ("pivot", "i", "j"), ("asks", "member", "n", "diff")):
+            a, b = _tile_links(group, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    more = rest.repartition(parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(lean(cross), "a bigint, b bigint")
-    return found.union(more)
+    tiles = asked.union(asking).repartition(parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    return found.union(tiles.mapInArrow(lean(cross), "a bigint, b bigint"))
 
 
 def _linked(total: int, differing: int, percent: int) -> bool:
@@ -190,33 +193,29 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple, values: tuple = ("me
         yield now, group
 
 
-def _tile_links(group: list[tuple], i: int, j: int, percent: int) -> tuple[list[int], list[int]]:
-    """Links between members of a tile of which one at least isn't linked to the pivot, from their differences."""
-    left = [r for r in group if r[0] == i]
-    right = left if i == j else [r for r in group if r[0] == j]
+def _tile_links(group: list[tuple], percent: int) -> tuple[list[int], list[int]]:
+    """Links of a tile's open members (asks) with its other side, from their differences."""
+    opens, other = ([r[1:] for r in group if r[0] == asks] for asks in (True, False))
     out_a, out_b = [], []
-    for one, other in ((left, right),) if i == j else ((left, right), (right, left)):
-        opens = [r for r in one if not r[3]]
-        if not opens or not other:
-            continue
-        # An inverted list of the other side's differences: shared shingles of one open member with all at once.
-        sizes = np.array([len(r[4]) // 8 for r in other])
-        element = np.frombuffer(b"".join(r[4] for r in other), np.uint64)
-        order = np.argsort(element, kind="stable")
-        holder = np.repeat(np.arange(len(other)), sizes)[order]
-        element = element[order]
-        n = np.array([r[2] for r in other])
-        ids = np.array([r[1] for r in other])
-        for r in opens:
-            d = np.frombuffer(r[4], np.uint64)
-            lo, hi = np.searchsorted(element, d), np.searchsorted(element, d, side="right")
-            m = hi - lo
-            at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-            shared = np.bincount(holder[at], minlength=len(other))
-            differing, total = len(d) + sizes - 2 * shared, n + r[2]
-            hit = (100 * (total - differing) >= percent * (total + differing)) & (ids != r[1])
-            out_a += [r[1]] * int(hit.sum())
-            out_b += ids[hit].tolist()
+    if not opens or not other:
+        return out_a, out_b
+    # An inverted list of the other side's differences: shared shingles of one open member with all at once.
+    sizes = np.array([len(r[2]) // 8 for r in other])
+    element = np.frombuffer(b"".join(r[2] for r in other), np.uint64)
+    order = np.argsort(element, kind="stable")
+    holder = np.repeat(np.arange(len(other)), sizes)[order]
+    element = element[order]
+    ids, n = np.array([r[0] for r in other]), np.array([r[1] for r in other])
+    for member, size, diff in opens:
+        d = np.frombuffer(diff, np.uint64)
+        lo, hi = np.searchsorted(element, d), np.searchsorted(element, d, side="right")
+        m = hi - lo
+        at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        shared = np.bincount(holder[at], minlength=len(other))
+        differing, total = len(d) + sizes - 2 * shared, n + size
+        hit = (100 * (total - differing) >= percent * (total + differing)) & (ids != member)
+        out_a += [member] * int(hit.sum())
+        out_b += ids[hit].tolist()
     return out_a, out_b
 
 
