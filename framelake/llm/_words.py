@@ -176,6 +176,22 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
+def minimisers(h: np.ndarray, span: int) -> np.ndarray:
+    """For each i, the position of the least of h[i:i + span], the first on ties; by doubling."""
+    n = len(h)
+    if n < span:
+        return np.zeros(0, np.int64)
+    best, at, size = h.copy(), np.arange(n), 1
+    while size < span:
+        step = min(size, span - size)
+        m = n - step
+        less = best[step:] < best[:m]
+        best[:m] = np.where(less, best[step:], best[:m])
+        at[:m] = np.where(less, at[step:], at[:m])
+        size += step
+    return at[: n - span + 1]
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code of each value, position of each code's first occurrence), by hashing rather than sorting."""
     d = pa.array(h).dictionary_encode()

@@ -33,29 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._stage import slots, staged
-from framelake.llm._words import Words, chunks, grams, lean, mix, runs
+from framelake.llm._words import Words, chunks, grams, lean, minimisers, mix, runs
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of suffixes that a task takes.
 TASK_BYTES = 64 << 20
 
 
-def minimisers(h: np.ndarray, span: int) -> np.ndarray:
-    """For each i, the position of the least of h[i:i + span], the first on ties; by doubling."""
-    n = len(h)
-    if n < span:
-        return np.zeros(0, np.int64)
-    best, at, size = h.copy(), np.arange(n), 1
-    while size < span:
-        step = min(size, span - size)
-        m = n - step
-        less = best[step:] < best[:m]
-        best[:m] = np.where(less, best[step:], best[:m])
-        at[:m] = np.where(less, at[step:], at[:m])
-        size += step
-    return at[: n - span + 1]
-
-
 class Suffixes:
     """The sampled suffixes of a chunk: at: word positions; low, high: first and last start of a window anchored there."""
 

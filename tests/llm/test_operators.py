@@ -256,6 +256,15 @@ def test_clean_rows_are_those_without_a_hit(spark, docs, rows, block_words):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == clean and 0 < len(clean) < len(rows)
 
 
+def test_hot_words_and_clashing_columns(spark):
+    # Every window of every item has the same words but for one; documents hold them over and over.
+    items = [(k, " ".join(["a"] * 12 + [f"k{k % 7}"] + ["a"] * 12)) for k in range(40)]
+    rows = [(1, "a " * 5000, [1], "x"), (2, "a " * 30 + "k3 " + "a " * 30, None, None), (3, "b", None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, items array<int>, spans string")
+    got = {r["doc_id"]: r for r in decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert got[1]["n_hit"] == 5000 and got[1]["n_items"] == 40 and got[2]["n_hit"] == 61 and got[2]["n_items"] == 40 and got[3]["n_hit"] == got[None]["n_words"] == 0
+
+
 def test_no_benchmark_finds_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.find_contamination(docs, none).filter("contaminated").count() == 0
