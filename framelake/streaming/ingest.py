@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from framelake.sources.readers import FINGERPRINT, FRAMES_PER_BATCH
+from framelake.sources.readers import FINGERPRINT, write_frames
 
 
 def records(spark: SparkSession, path: str, schema: str = "video_id STRING, " + FINGERPRINT, files_per_trigger: int = 64) -> DataFrame:
@@ -19,11 +21,15 @@ def records(spark: SparkSession, path: str, schema: str = "video_id STRING, " +
 
 
 def store(stream: DataFrame, path: str, checkpoint: str):
-    """Frames into Parquet by video and batch. Each micro-batch writes its own folder's partitions anew, so a batch that is run again replaces itself."""
+    """Frames into Parquet by video and batch, each once, however often it is sent: the first that came stays. A micro-batch that is run again,
+    or whose frames an earlier one had, adds nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch.dropDuplicates(["video_id", "frameIndex"]).withColumn("batch_index", F.floor((F.col("frameIndex") - 1) / FRAMES_PER_BATCH).cast("int"))
-        out.sortWithinPartitions("video_id", "frameIndex").write.mode("overwrite").parquet(f"{path}/ingest={batch_id}")
+        new = batch.filter("video_id is not null and frameIndex is not null").dropDuplicates(["video_id", "frameIndex"]).withColumn("pos", F.col("frameIndex") - 1)
+        with contextlib.suppress(AnalysisException):  # nothing is stored yet
+            stored = batch.sparkSession.read.parquet(path).select("video_id", "frameIndex")
+            new = new.join(stored, ["video_id", "frameIndex"], "left_anti")
+        write_frames(new, path, mode="append")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

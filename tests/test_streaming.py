@@ -19,7 +19,10 @@ def test_ingest_stores_each_frame_once_and_finds_cuts(spark, tmp_path):
     q.awaitTermination()
     (src / "b.json").write_text("\n".join(record("v", k, "1" if k > 7 else "0") for k in range(6, 10)))
     ingest.store(ingest.records(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).filter("frameIndex is not null")
+    (src / "c.json").write_text("\n".join(record("v", k, "0") for k in range(3, 8)))  # sent again
+    ingest.store(ingest.records(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    (src / "c.json").unlink()
+    got = readers.read_batch(spark, str(tmp_path / "out"), "v", 0)
     assert sorted(r["frameIndex"] for r in got.collect()) == list(range(1, 10))
     cuts = ingest.online_cuts(ingest.records(spark, str(src), files_per_trigger=1))
     q = cuts.writeStream.format("memory").queryName("cuts").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
@@ -59,6 +62,13 @@ def test_readers_take_lines_and_arrays(spark, tmp_path):
         assert readers.read_records(spark, str(path)).filter("frameIndex is not null").count() == 3
 
 
+def test_malformed_records_go(spark):
+    df = spark.createDataFrame([(1, '{"k": 5}'), (2, "{broken"), (3, "nonsense"), (4, None), (5, '{"k": null}'), (6, '{"k": "x"}')], "id int, r string")
+    got = readers.parse_records(df, "r", "k BIGINT")
+    assert sorted((r["id"], r["r"]["k"]) for r in got.collect() if r["r"]["k"] is not None) == [(1, 5)] and {r["id"] for r in got.collect()} == {1, 5}
+    assert got.schema["r"].dataType.names == ["k"]
+
+
 def test_frames_are_written_by_batch(spark, tmp_path):
     df = spark.range(700).selectExpr("'v' as video_id", "id as pos", "id / 25 as timestamp")
     readers.write_frames(df, str(tmp_path / "f"))
