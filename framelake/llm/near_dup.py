@@ -147,17 +147,18 @@ def links(rows: DataFrame, heads: DataFrame, size: int, percent: int, tile: int)
                 a = np.frombuffer(x, np.uint64)
                 diff = np.setxor1d(own, a, assume_unique=True)
                 linked = _linked(len(own) + len(a), len(diff), percent)
-                out.append((pivot, shares, d, len(a), linked, diff.tobytes()))
-            p, s, d, n, k, x = zip(*out, strict=True) if out else ([],) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(s, pa.int32()), pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.bool_()), pa.array(x, pa.binary())], names=["pivot", "shares", "member", "n", "linked", "diff"])
+                out.append((pivot, share, shares, d, len(a), linked, diff.tobytes()))
+            p, own_share, s, d, n, k, x = zip(*out, strict=True) if out else ([],) * 7
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(own_share, pa.int32()), pa.array(s, pa.int32()), pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.bool_()), pa.array(x, pa.binary())], names=["pivot", "share", "shares", "member", "n", "linked", "diff"])
 
     parts = slots(spark)
-    stars = staged(sent.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share").mapInArrow(lean(star), "pivot bigint, shares int, member bigint, n bigint, linked boolean, diff binary"))
+    stars = staged(sent.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share").mapInArrow(lean(star), "pivot bigint, share int, shares int, member bigint, n bigint, linked boolean, diff binary"))
     found = stars.filter("linked and pivot != member").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
     # Groups with open members, those that their pivot doesn't link. An open member meets all shares of its group's members; the linked ones
     # stay in their share, once for each `tile` open members of the group.
-    opened = stars.filter("not linked").groupBy("pivot").agg(F.ceil(F.count("*") / tile).cast("int").alias("open_shares"))
-    rest = stars.join(opened, "pivot")
+    opened = stars.filter("not linked").groupBy("pivot").agg(F.ceil(F.count("*") / tile).cast("int").alias("open_shares"), F.max("shares").alias("shares"))
+    opened = opened.select("pivot", "open_shares", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    rest = stars.join(opened, ["pivot", "share"])  # a large group meets the number in as many places as it has shares
     deal = lambda salt, shares: F.pmod(F.xxhash64("member", F.lit(salt)), F.col(shares)).cast("int")
     every = lambda shares: F.explode(F.sequence(F.lit(0), F.col(shares) - 1))
     asked = rest.select("pivot", every("open_shares").alias("i"), deal(1, "shares").alias("j"), F.lit(False).alias("asks"), "member", "n", "diff")
