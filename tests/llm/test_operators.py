@@ -482,3 +482,48 @@ def test_ids_are_grouped_by_what_they_follow():
     profile[2:6, 3], profile[6:10, 40] = 20, 10
     got = lm.classes_of(profile, own=2, shared=2)
     assert got[:2].tolist() == [0, 1] and len(set(got[2:6])) == len(set(got[6:10])) == 1 and got[2] != got[6] and set(got[10:]) == {4}
+
+
+def test_empty_tables_give_no_rows(spark, empty):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert language.predict(empty, language.fit(empty)).count() == 0
+    assert quality.score(empty, quality.fit(empty, labels)).count() == 0
+    assert tokens.count_tokens(empty).count() == 0
+    assert rules.apply_rules(empty, rules.fit(empty, labels)).count() == 0
+
+
+def naive_kneser_ney(counts, order, part):
+    """Interpolated Kneser-Ney, gram by gram, with the model's conventions: counts at the highest order and at the start mark, else kinds before."""
+    texts = {f"\x01{p}\x02": n for p, n in counts.items()}
+    grams = [Counter() for _ in range(order + 1)]
+    for t, n in texts.items():
+        for size in range(1, order + 1):
+            for i in range(len(t) - size + 1):
+                if i + size > 1:
+                    grams[size][t[i : i + size]] += n
+    value = [None] * (order + 1)
+    for size in range(1, order + 1):
+        value[size] = {g: n if size == order or g[0] == "\x01" else max(1, len({h[0] for h in grams[size + 1] if h[1:] == g})) for g, n in grams[size].items()}
+    total = 0.0
+    t = f"\x01{part}\x02"
+    for i in range(1, len(t)):
+        p = 1 / (1 << 17)
+        for size in range(1, min(order, i + 1) + 1):
+            g = t[i - size + 1 : i + 1]
+            v = value[size]
+            n1, n2 = (sum(x == k for x in v.values()) for k in (1, 2))
+            off = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            beside = [x for h, x in v.items() if h[:-1] == g[:-1]]
+            if beside:
+                p = max(v.get(g, 0) - off, 0) / sum(beside) + off * len(beside) / sum(beside) * p
+        total += np.log(p)
+    return total
+
+
+def test_language_model_equals_kneser_ney_by_hand():
+    counts = Counter({"abab": 3, "ba": 1, "aab": 2, "cab": 1, "abc": 1})
+    m = language.Model.fit({"x": counts}, 3)
+    parts = ["ab", "abab", "cba", "b", "zab"]
+    got, n = m.log_prob(parts)
+    assert n.tolist() == [len(p) + 1 for p in parts]
+    assert np.allclose(got[:, 0], [naive_kneser_ney(counts, 3, p) for p in parts], rtol=1e-4)

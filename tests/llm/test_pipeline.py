@@ -53,3 +53,41 @@ def test_rows_go_by_their_own_text(spark, sf):
     rows = [(9, words(1)), (9, words(3)), (4, words(1)), (7, words(4)), (7, words(4)), (None, words(5)), (8, "")]
     left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(3), sf).collect()
     assert {tuple(r) for r in left} == {(4, words(1)), (9, words(3)), (7, words(4)), (None, words(5)), (8, "")} and len(left) == 5
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def odd_rows():
+    words = lambda k, n: " ".join(f"wort{'abcdefgh'[(i * k) % 8]}{'xyz'[i % 3]}" for i in range(n))
+    rows = [(k, words(k, 60), "de", "s", 1) for k in range(1, 9)]
+    rows += [(20, None, None, None, None), (21, "", "de", "s", 0), (22, " \n\t", None, "s", 3), (None, words(3, 40), "de", None, 1), (None, None, None, None, None)]
+    long = " ".join("wort" + "".join("abcdefghij"[int(c)] for c in str(i)) for i in range(30_000))
+    rows += [(30, long, "de", "s", 1), (1, words(1, 60), "de", "s", 1), (1, words(2, 60), "de", "s", 1), (40, "123 !?", "de", "s", 6)]
+    return rows
+
+
+def test_odd_rows_go_through_every_stage(spark, sf, tmp_path):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).repartition(3)
+    before = docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        out.write.parquet(str(tmp_path / str(k)))
+        seen = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert seen.columns == docs.columns and seen.count() <= before, name
+            docs, before = seen, seen.count()
+        if k == 0:
+            left = [r["text"] for r in seen.collect()]
+            assert None not in left and "" not in left and "123 !?" not in left and len(left) == 12  # no letters, no language
+        if k == 2:
+            texts = [r["text"] for r in seen.filter("doc_id is not null").collect()]
+            assert len(texts) == len(set(texts))
+    assert seen.filter("doc_id = 30").count() >= 1
+
+
+def test_empty_table_goes_through_every_stage(spark, sf):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf) if docs.columns[0] == "doc_id" else docs
+    assert docs.count() == 0
