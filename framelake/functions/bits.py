@@ -23,6 +23,12 @@ def similarity_percentage(a: list[Column], b: list[Column], size: int) -> Column
     return (1 - hamming(a, b) / size) * 100
 
 
+def char_hamming(a: Column, b: Column) -> Column:
+    """Characters of a that b does not have at their place; where b is shorter, all beyond it."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+    return F.when(F.length(a) == 0, 0).otherwise(F.length(a) - F.aggregate(same, F.lit(0), lambda s, x: s + x))
+
+
 def char_compare(a: Column, b: Column) -> Column:
     """Share of equal characters in percent; 0 for empty strings or different lengths."""
     same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)

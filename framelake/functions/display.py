@@ -63,3 +63,23 @@ def match_parameters(min_similarity: float | None, min_frames: int | None, drift
 
 def frames_of_seconds(seconds: float) -> int:
     return max(5, int(seconds * 25 + 0.5))
+
+
+def hash_grid(bits: Column, side: int = 16) -> Column:
+    """The first side x side bits as rows of a square; null if there are fewer."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: F.substr(bits, k * side + 1, F.lit(side)))
+    return F.when(F.length(bits) >= side * side, rows)
+
+
+def hash_prefix(bits: Column) -> Column:
+    return F.when(F.coalesce(F.length(bits), F.lit(0)) == 0, "—").otherwise(F.concat(F.substring(bits, 1, 48), F.lit("…")))
+
+
+def sequence_average(sequence: Column) -> Column:
+    """Mean similarity of a segment's matched frames; null without any."""
+    return F.when(F.size(sequence) > 0, F.aggregate(sequence, F.lit(0.0), lambda s, x: s + x["similarity"]) / F.size(sequence))
+
+
+def packed_bytes(frames: Column, variants: Column, a_words: Column, d_words: Column) -> Column:
+    """Estimated memory of a packed video: hashes and mirrored hashes in words of 4 bytes, 48 changes of colour and their length, and 1,400 bytes a frame."""
+    return frames * variants * (a_words + d_words) * 8 + frames * (48 * 4 + 4 + 1400)

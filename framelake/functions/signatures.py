@@ -56,6 +56,18 @@ def signature_similarity(colour_a: Column, skin_a: Column, detail_a: Column, col
     return F.greatest(raw(colour_b, skin_b, detail_b), raw(mirror(colour_b, 4, 4, 3), mirror(skin_b, 4, 4), mirror(detail_b, 4, 4)))
 
 
+def raw_signature_similarity(colour_a: Column, skin_a: Column, detail_a: Column, colour_b: Column, skin_b: Column, detail_b: Column) -> Column:
+    """Percent: the mean of the channels that both frames have in one size, 50 without any. Colours of 48 numbers are normalised, others
+    are taken as they are."""
+    both = lambda a, b: (F.size(a) > 0) & (F.size(a) == F.size(b))
+    z = colour_similarity(normalised_colours(colour_a), normalised_colours(colour_b))
+    colour = F.when((F.size(colour_a) == 48) & (F.size(colour_b) == 48), z).when(both(colour_a, colour_b), 1 - mean_difference(colour_a, colour_b) / 255)
+    skin = F.when(both(skin_a, skin_b), skin_similarity(skin_a, skin_b))
+    detail = F.when(both(detail_a, detail_b), detail_similarity(detail_a, detail_b))
+    present = F.filter(F.array(colour, skin, detail), lambda x: x.isNotNull())
+    return let(present, lambda c: F.when(F.size(c) == 0, 50.0).otherwise(total(c) / F.size(c) * 100))
+
+
 def temporal_similarity(delta_a: Column, mag_a: Column, delta_b: Column, mag_b: Column, pos_a: Column | None = None, pos_b: Column | None = None) -> Column:
     """Percent, of two frames' changes of colour: 78 if both hardly change, 38 if one does, else from their cosine. -1, for
     saying nothing, where either frame is a video's first (position 0)."""

@@ -181,3 +181,13 @@ def picture_cuts(df: DataFrame, key: str, a: list[str], a_bits: int, d: list[str
     no = F.lit(False)
     tests = F.coalesce(alike(a, a_bits) < 25, no) | F.coalesce(alike(d, d_bits) < 28, no) | F.coalesce(F.col(magnitude) > 100, no)
     return scene_cuts(df, key, tests)
+
+
+def contiguous_prefix(df: DataFrame, key: str, at: str = "pos") -> DataFrame:
+    """The rows of each key from position 0 on that have no hole before them: what an ordered writer may put out."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(at)) - 1).filter(F.col(at) == F.col("_n")).drop("_n")
+
+
+def pass_counts(segments: DataFrame, key: str, approximate: str = "approx") -> DataFrame:
+    """key, sure, approximate: segments by the pass that found them."""
+    return segments.groupBy(key).agg(F.count_if(~F.col(approximate)).alias("sure"), F.count_if(approximate).alias("approximate"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.bits import hamming
+from framelake.functions.variants import compare_fingerprints
 
 #: Query rows that go to every task at once; more go in as many passes as it takes.
 BLOCK_ROWS = 100_000
@@ -46,13 +47,47 @@ def nearest(found: DataFrame) -> DataFrame:
 def coarse_to_fine(queries: DataFrame, reference: DataFrame, size: int, words: int, step: int = 10, reach: int = 30) -> DataFrame:
     """Nearest among every step-th position, then nearest within reach of it."""
     coarse = nearest(scores(queries, reference.filter(F.col("pos") % step == 0), size, words)).select("si", F.col("pos").alias("centre"))
-    q = queries.select("si", *[F.col(f"w{k}").alias(f"q{k}") for k in range(words)]).join(coarse, "si")
-    # A band join by buckets of `reach` positions: each query meets three buckets, not the reference.
-    q = q.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("centre") - reach) / reach), F.floor((F.col("centre") + reach) / reach))))
+    return nearest(around(queries.join(coarse, "si"), reference, size, words, reach))
+
+
+def within(centres: DataFrame, reference: DataFrame, reach: int) -> DataFrame:
+    """Each row of centres (a position `centre` among its columns) with the reference rows at most `reach` from it: a band join by buckets of
+    `reach` positions, in which a centre meets three buckets, not the reference."""
+    q = centres.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("centre") - reach) / reach), F.floor((F.col("centre") + reach) / reach))))
     r = reference.withColumn("bucket", F.floor(F.col("pos") / reach))
+    return q.join(r, "bucket").filter(F.abs(F.col("pos") - F.col("centre")) <= reach).drop("bucket")
+
+
+def around(queries: DataFrame, reference: DataFrame, size: int, words: int, reach: int) -> DataFrame:
+    """si, pos, agree as in scores, for reference frames at most `reach` from each query's `centre`. With the words of many variants side by
+    side, and all their bits as size, agree is the mean over the variants times size."""
+    q = queries.select("si", "centre", *[F.col(f"w{k}").alias(f"q{k}") for k in range(words)])
+    r = reference.select("pos", *[f"w{k}" for k in range(words)])
     agree = size - hamming([F.col(f"q{k}") for k in range(words)], [F.col(f"w{k}") for k in range(words)])
-    near = q.join(r, "bucket").filter(F.abs(F.col("pos") - F.col("centre")) <= reach)
-    return nearest(near.select("si", "pos", agree.alias("agree")))
+    return within(q, r, reach).select("si", "pos", agree.alias("agree"))
+
+
+def rough_match(clip: DataFrame, reference: DataFrame, size: int = 256, step: int = 5) -> DataFrame:
+    """One row: where a clip's first frame fits best among every step-th reference frame, by its variants' first hashes, and the reference
+    frame as many frames later as the clip has (the last, if that is past the end). Both: pos, timestamp, variants (packed, in order).
+    What fits with 0 fits nowhere: the reference's first frame."""
+    ends = lambda df, n: df.agg(F.min_by("timestamp", "pos").alias(f"{n}Start"), F.max_by("timestamp", "pos").alias(f"{n}End"), F.count("*").alias(f"{n}Count"), F.max("pos").alias(f"{n}Last"))
+    first = clip.orderBy("pos").limit(1).select(F.col("variants").alias("own"))
+    sim = compare_fingerprints(F.col("own"), F.col("variants"), size)
+    scored = reference.filter(F.col("pos") % step == 0).join(F.broadcast(first)).select("pos", "timestamp", sim.alias("sim"))
+    best = scored.filter("sim > 0").agg(F.max_by(F.struct("pos", "timestamp", "sim"), F.struct("sim", -F.col("pos"))).alias("b"))
+    one = best.join(F.broadcast(ends(clip, "short"))).join(F.broadcast(ends(reference, "movie")))
+    at = F.least(F.col("movieLast"), F.coalesce("b.pos", F.lit(0)) + F.col("shortCount"))
+    end = one.withColumn("at", at).join(reference.select(F.col("pos").alias("at"), F.col("timestamp").alias("movieAt")), "at", "left")
+    return end.select(
+        "shortStart", "shortEnd", F.coalesce("b.timestamp", "movieStart").alias("movieStart"), F.col("movieAt").alias("movieEnd"),
+        F.coalesce("b.sim", F.lit(0.0)).alias("confidence"), F.col("shortCount").alias("frameCount"),
+    )
+
+
+def forced_gate(best: DataFrame, key: str, frames: int = 10, mean: float = 65.0) -> DataFrame:
+    """key, frames, mean_best of the groups of best scores (sim in percent) that count: at least so many, and good enough on average."""
+    return best.groupBy(key).agg(F.count("*").alias("frames"), F.avg("sim").alias("mean_best")).filter((F.col("frames") >= frames) & (F.col("mean_best") >= mean))
 
 
 def seed_positions(chunks: DataFrame) -> DataFrame:

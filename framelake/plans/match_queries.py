@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions import hashing
 from framelake.operators import align, pixels
 from framelake.plans import views as V
 
@@ -13,22 +12,13 @@ from framelake.plans import views as V
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clip and the reference as fingerprint records: one variant of 64 and 112 bits, 25 frames a second."""
 
-    def hashes(grid):
-        flipped = hashing.mirror(grid, 8, 8)
-        return F.struct(
-            hashing.average_hash(grid, 64).alias("hash"),
-            hashing.difference_hash(grid, 8, 8).alias("dhash"),
-            hashing.average_hash(flipped, 64).alias("fhash"),
-            hashing.difference_hash(flipped, 8, 8).alias("fdhash"),
-        )
-
     movie = V.grids(spark, sf_dir).select(F.lit("movie").alias("video_id"), F.col("pos").alias("k"), "q")
     clip = V.clip(spark, sf_dir).select(F.lit("clip").alias("video_id"), F.col("si").alias("k"), "q")
     return movie.union(clip).select(
         "video_id",
         F.col("k").cast("int").alias("frameIndex"),
         (F.col("k") / 25).alias("timestamp"),
-        F.create_map(F.lit("full"), hashes(F.col("q"))).alias("variants"),
+        F.create_map(F.lit("full"), V.hashes(F.col("q"))).alias("variants"),
         F.lit(None).cast("struct<colorGrid: array<double>, skinScoreGrid: array<double>, detailGrid: array<double>>").alias("signature"),
     )
 

@@ -61,11 +61,9 @@ def count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contiguous_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each video's used rows go without a hole from position 0."""
-    from pyspark.sql import Window
-
     p = V.path(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("video_id").orderBy("si")) - 1
-    return p.withColumn("whole", F.col("si") == n).groupBy("video_id").agg(F.count_if("whole").alias("flushed"))
+    whole = ordered.contiguous_prefix(p, "video_id", "si").groupBy("video_id").agg(F.count("*").alias("flushed"))
+    return p.select("video_id").distinct().join(whole, "video_id", "left").select("video_id", F.coalesce("flushed", F.lit(0)).alias("flushed"))
 
 
 def merge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import bits, hashing
@@ -80,6 +80,27 @@ SIGNATURES = (
 )
 
 
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos, variants: hashes of the whole grid, of its left half stretched to twice the width, and of its centre at twice the size."""
+    k = F.sequence(F.lit(0), F.lit(63))
+    cut = lambda place: hashing.let(F.col("q"), lambda q: F.transform(k, lambda i: F.get(q, place(i).cast("int"))))
+    row, col = (lambda i: F.floor(i / 8)), (lambda i: i % 8)
+    g = grids(spark, sf_dir).select(
+        "pos", F.col("q").alias("full"), cut(lambda i: row(i) * 8 + F.floor(col(i) / 2)).alias("left"), cut(lambda i: (F.floor(i / 16) + 2) * 8 + F.floor(col(i) / 2) + 2).alias("centre")
+    )
+    names = {"full": "full", "crop_9_16_0": "left", "zoom_2_0_center": "centre"}
+    return g.select("pos", F.create_map(*[x for name, c in names.items() for x in (F.lit(name), hashes(F.col(c)))]).alias("variants"))
+
+
+def hashes(grid) -> Column:
+    """A grid's variant: 64 and 112 bits, and those of its mirror image."""
+    flipped = hashing.mirror(grid, 8, 8)
+    return F.struct(
+        hashing.average_hash(grid, 64).alias("hash"), hashing.difference_hash(grid, 8, 8).alias("dhash"),
+        hashing.average_hash(flipped, 64).alias("fhash"), hashing.difference_hash(flipped, 8, 8).alias("fdhash"),
+    )
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, pos, t (µs), level (whole number), value: a user's events in order."""
     e = table(spark, sf_dir, "events").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,15 @@ def progress(jobs: DataFrame) -> DataFrame:
     """percent, fps and seconds left of jobs (total, processed, elapsed seconds)."""
     fps = F.col("processed") / F.greatest(F.col("elapsed"), F.lit(0.001))
     return jobs.select("*", F.least(F.lit(100.0), 100 * F.col("processed") / F.greatest(F.col("total"), F.lit(1))).alias("percent"), fps.alias("fps"), ((F.col("total") - F.col("processed")) / F.greatest(fps, F.lit(0.001))).alias("eta"))
+
+
+def new_id() -> Column:
+    """A fresh id of word characters and hyphens for each row."""
+    return F.concat(F.unix_millis(F.current_timestamp()).cast("string"), F.lit("-"), F.substring(F.replace(F.expr("uuid()"), F.lit("-")), 1, 7))
+
+
+def same_hashes(first: DataFrame, second: DataFrame, key: str, size: int = 256) -> DataFrame:
+    """key, hash_ok, same, prefix: whether two extractions of the same frames agree (columns key and hash). A frame without a partner differs."""
+    other = second.select(key, F.col("hash").alias("_hash"))
+    j = first.select(key, "hash").join(other, key, "full_outer")
+    return j.select(key, (F.coalesce(F.length("hash"), F.lit(0)) == size).alias("hash_ok"), (F.col("hash").eqNullSafe(F.col("_hash"))).alias("same"), F.substring("hash", 1, 48).alias("prefix"))
