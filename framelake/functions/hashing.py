@@ -36,14 +36,14 @@ def difference_hash(grid: Column, width: int, height: int) -> Column:
     """Bits for right > left, row by row, then for below > above."""
     places = [(y * width + x, y * width + x + 1) for y in range(height) for x in range(width - 1)]
     places += [(k, k + width) for k in range(width * (height - 1))]
-    at = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in places])
+    at = F.expr("array(" + ", ".join(f"named_struct('a', {a}, 'b', {b})" for a, b in places) + ")")
     return let(grid, lambda g: _bits(F.transform(at, lambda p: F.get(g, p["b"]) > F.get(g, p["a"]))))
 
 
 def mirror(grid: Column, width: int, height: int, values: int = 1) -> Column:
     """Columns in opposite order; each cell holds `values` numbers."""
     source = [(row * width + width - 1 - col) * values + part for row in range(height) for col in range(width) for part in range(values)]
-    return let(grid, lambda g: F.transform(F.array(*[F.lit(k) for k in source]), lambda k: F.get(g, k)))
+    return let(grid, lambda g: F.transform(F.expr(f"array({', '.join(map(str, source))})"), lambda k: F.get(g, k)))
 
 
 def box_blur(grid: Column, width: int, height: int) -> Column:

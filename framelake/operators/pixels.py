@@ -32,13 +32,13 @@ def crops(w: int, h: int) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def subtitle_mask(rgb: np.ndarray) -> np.ndarray | None:
-    """Bright pixels of the lowest quarter, widened by two; none if under 8 or over a quarter of it."""
+def subtitle_mask(rgb: np.ndarray, force: bool = False) -> np.ndarray | None:
+    """Bright pixels of the lowest quarter, widened by two; none if under 8 or over a quarter of it, unless forced."""
     low = int(0.75 * len(rgb))
     bright = np.zeros(rgb.shape[:2], bool)
     bright[low:] = (rgb[low:, :, 0] > 180) & (rgb[low:, :, 1] > 180)
     n = int(bright.sum())
-    if n < 8 or n > 0.25 * bright[low:].size:
+    if not force and (n < 8 or n > 0.25 * bright[low:].size):
         return None
     out = bright.copy()
     for dy in range(-2, 3):
@@ -56,6 +56,13 @@ def inpaint(rgb: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.where((source >= 0)[:, :, None], picked, rgb)
 
 
+def process_subtitles(rgb: np.ndarray, force: bool = False) -> tuple[np.ndarray, bool]:
+    """(picture without subtitles, whether it was gone over). Where too few or too many pixels are bright the picture stays as it is, unless
+    forced: then whatever is bright goes."""
+    mask = subtitle_mask(rgb, force)
+    return (rgb, False) if mask is None else (inpaint(rgb, mask), True)
+
+
 class Sums:
     """A picture's running sums down its columns, made once; area averages of its rectangles follow from them exactly."""
 
@@ -142,7 +149,9 @@ def fingerprint(rgba: bytes, w: int, h: int) -> tuple[dict, dict]:
 
 
 def fingerprints(frames: DataFrame, fps: float = 25.0) -> DataFrame:
-    """Fingerprints of frames (video_id, frameIndex from 1, width, height, rgba); frames that can't be read are left out."""
+    """Fingerprints of frames (video_id, frameIndex from 1, width, height, rgba); frames that can't be read are left out. A column
+    `timestamp` (a decoder's own times, in seconds) is kept where it has a value; else times follow from the index."""
+    timed = "timestamp" in frames.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -151,7 +160,8 @@ def fingerprints(frames: DataFrame, fps: float = 25.0) -> DataFrame:
                 if r.rgba is None or len(r.rgba) != r.width * r.height * 4:
                     continue
                 variants, sig = fingerprint(r.rgba, r.width, r.height)
-                rows.append((r.video_id, r.frameIndex, (r.frameIndex - 1) / fps, variants, sig))
+                given = timed and not pd.isna(r.timestamp)
+                rows.append((r.video_id, r.frameIndex, float(r.timestamp) if given else (r.frameIndex - 1) / fps, variants, sig))
             yield pd.DataFrame(rows, columns=["video_id", "frameIndex", "timestamp", "variants", "signature"])
 
     return frames.mapInPandas(run, FINGERPRINT)

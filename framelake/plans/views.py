@@ -88,8 +88,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grids(spark, sf_dir).select(
         "pos", F.col("q").alias("full"), cut(lambda i: row(i) * 8 + F.floor(col(i) / 2)).alias("left"), cut(lambda i: (F.floor(i / 16) + 2) * 8 + F.floor(col(i) / 2) + 2).alias("centre")
     )
-    names = {"full": "full", "crop_9_16_0": "left", "zoom_2_0_center": "centre"}
-    return g.select("pos", F.create_map(*[x for name, c in names.items() for x in (F.lit(name), hashes(F.col(c)))]).alias("variants"))
+    named = F.array(*[F.struct(F.lit(name).alias("key"), F.col(c).alias("grid")) for name, c in (("full", "full"), ("crop_9_16_0", "left"), ("zoom_2_0_center", "centre"))])
+    return g.select("pos", F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"], hashes(e["grid"])))).alias("variants"))
 
 
 def hashes(grid) -> Column:

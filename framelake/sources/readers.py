@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.operators.ordered import contiguous_prefix
+
 FINGERPRINT = (
     "frameIndex INT, timestamp DOUBLE, variants MAP<STRING, STRUCT<hash: STRING, dhash: STRING, fhash: STRING, fdhash: STRING>>, "
     "signature STRUCT<colorGrid: ARRAY<DOUBLE>, skinScoreGrid: ARRAY<DOUBLE>, detailGrid: ARRAY<DOUBLE>>"
@@ -52,16 +56,45 @@ def read_video(spark: SparkSession, path: str, video_id: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("video_id") == video_id).orderBy("pos")
 
 
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, lines of a file or folder. A last line counts whether or not it is ended."""
+    return spark.read.option("lineSep", "\n").text(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("lines"))
+
+
+def delete_video(spark: SparkSession, path: str, video_id: str) -> bool:
+    """Removes a video's frames from a store written by write_frames: its own folder, nothing is rewritten. False if there was none, and for
+    ids other than word characters and hyphens."""
+    if not re.fullmatch(r"[\w-]+", video_id, re.ASCII):
+        return False
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"video_id={video_id}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored_videos(spark: SparkSession, path: str) -> DataFrame:
+    """video_id, frames, first, last of a store, from row group statistics where Spark can."""
+    return spark.read.parquet(path).groupBy("video_id").agg(F.count("*").alias("frames"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+def write_prefix(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Stores each video's frames up to the first hole; what comes after it waits for the next call."""
+    write_frames(contiguous_prefix(df, "video_id"), path, mode)
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """Ordered JSON lines."""
     df.sort("pos").drop("pos").write.mode("overwrite").json(path)
 
 
 def export_match(segments: DataFrame, unmatched: DataFrame, parameters: dict) -> DataFrame:
-    """One JSON document a match: segments, unmatched ranges, parameters."""
-    s = segments.groupBy("match_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("shortStart", "shortEnd", "movieStart", "movieEnd", "confidence", "frameCount")))).alias("s"))
-    u = unmatched.groupBy("match_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("shortStart", "shortEnd")))).alias("u"))
-    both = s.join(u, "match_id", "full_outer")
-    given = F.to_json(F.create_map(*[F.lit(str(x)) for kv in parameters.items() for x in kv]))
-    text = F.concat(F.lit('{"segments":'), F.coalesce("s", F.lit("[]")), F.lit(',"unmatched":'), F.coalesce("u", F.lit("[]")), F.lit(',"parameters":'), given, F.lit("}"))
-    return both.select("match_id", text.alias("json"))
+    """One JSON document a match: all of its segments, with their sequences and details, its unmatched ranges, counts and the parameters."""
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        fields = sorted((c for c in df.columns if c != "match_id"), key=lambda c: c != "shortStart")
+        return df.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+    both = listed(segments, "segments").join(listed(unmatched, "unmatched"), "match_id", "full_outer")
+    full = lambda c: F.coalesce(F.col(c), F.array().cast(both.schema[c].dataType)).alias(c)
+    given = F.create_map(*[F.lit(str(x)) for kv in parameters.items() for x in kv]) if parameters else F.create_map().cast("map<string,string>")
+    sure = F.filter(F.coalesce("segments", F.array().cast(both.schema["segments"].dataType)), lambda s: ~s["isApproximate"])
+    stats = F.struct(F.size(full("segments")).alias("segments"), F.size(sure).alias("sure"), F.size(full("unmatched")).alias("unmatched"))
+    return both.select("match_id", F.to_json(F.struct(full("segments"), full("unmatched"), stats.alias("matchStats"), given.alias("parameters"))).alias("json"))

@@ -10,14 +10,38 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelake.sources.readers import FINGERPRINT, write_frames
 
 
-def records(spark: SparkSession, path: str, schema: str = "video_id STRING, " + FINGERPRINT, files_per_trigger: int = 64) -> DataFrame:
-    """New JSON-lines files of a folder; files_per_trigger bounds a micro-batch."""
-    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_trigger).json(path)
+def records(spark: SparkSession, path: str, schema: str = "video_id STRING, " + FINGERPRINT, files_per_trigger: int = 64, bytes_per_trigger: int | None = None) -> DataFrame:
+    """New JSON-lines files of a folder. A micro-batch is bounded by files_per_trigger, or by bytes_per_trigger instead."""
+    reader = spark.readStream.schema(schema).option("mode", "DROPMALFORMED")
+    bound = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
+    return reader.option(*bound).json(path)
+
+
+class Progress(StreamingQueryListener):
+    """Calls report(query name, rows so far, rows a second) after each micro-batch: spark.streams.addListener(Progress(print))."""
+
+    def __init__(self, report):
+        self.report, self.rows = report, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[event.runId] = 0
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows[p.runId] = self.rows.get(p.runId, 0) + p.numInputRows
+        self.report(p.name, self.rows[p.runId], p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.rows.pop(event.runId, None)
 
 
 def store(stream: DataFrame, path: str, checkpoint: str):
