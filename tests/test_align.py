@@ -117,3 +117,22 @@ def test_joins_add_gap_frames_and_keep_the_surer_detail(spark):
     assert (first["ss"], first["se"], first["me"], first["frames"], first["gaps"], first["parts"]) == (0, 3000, 3000, 45, 1 + 0 + 2 + 5 + 1, 3)
     assert [q["shortTime"] for q in first["matchSequence"]] == [0.0, 1.2, 2.04] and first["bestFrameDetail"]["name"] == "b" and first["approx"]
     assert got[1]["gaps"] == 0 and got[1]["bestFrameDetail"]["name"] == "d"
+
+
+def test_odd_frames_are_packed_by_the_first(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(map(str, rng.integers(0, 2, n)))
+    v = lambda n=100: {"hash": text(n), "dhash": text(70), "fhash": text(n), "fdhash": None}
+    frames = [(2, {"zoom": v(), "full": v()}), (1, {"full": v(), "zoom": v()}), (3, {"full": v(64)}), (4, {"new": v(), "zoom": v()}), (5, {}), (6, None), (7, {"full": None, "zoom": v()})]
+    schema = "video_id string, frameIndex int, timestamp double, variants map<string, struct<hash: string, dhash: string, fhash: string, fdhash: string>>, signature struct<colorGrid: array<double>, skinScoreGrid: array<double>, detailGrid: array<double>>"
+    df = spark.createDataFrame([("x", k, float(k), w, None) for k, w in frames], schema)
+    got = align.Video.of(align.packed(df).toPandas())
+    assert got.time.tolist() == [1, 2, 3, 4, 7] and got.names == ["full", "zoom"] and (got.a_bits, got.d_bits) == (100, 70) and got.fd is None
+    by = {k: w for k, w in frames if w}
+    for row, k in enumerate((1, 2, 3, 4, 7)):
+        for col, name in enumerate(got.names):
+            for table, key, size in ((got.a, "hash", 100), (got.fa, "fhash", 100), (got.d, "dhash", 70)):
+                own = (by[k].get(name) or {}).get(key) or ""
+                bits = "".join(map(str, np.unpackbits(table[row, col].view(np.uint8))[:size]))
+                assert bits == (own if len(own) == size else "0" * size)
+    assert got.hash_of(0) == by[1]["full"]["hash"] and align.Video.of(align.packed(df.filter("frameIndex > 4 and frameIndex < 7")).toPandas()) is None
