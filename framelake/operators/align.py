@@ -41,8 +41,7 @@ def _round(x):
 
 _KINDS = ("hash", "dhash", "fhash", "fdhash")
 PACKED = (
-    "video_id string, frameIndex int, timestamp double, layout string, words binary, "
-    "signature struct<colorGrid: array<double>, skinScoreGrid: array<double>, detailGrid: array<double>>"
+    "video_id string, frameIndex int, timestamp double, layout string, words binary, colour array<double>, skin array<double>, detail array<double>"
 )
 
 
@@ -66,12 +65,12 @@ def packed(frames: DataFrame) -> DataFrame:
         for b in batches:
             got = [_pack_frame(v) for v in b["variants"]]
             some = np.array([g is not None for g in got], bool)
-            out = b.loc[some, ["video_id", "frameIndex", "timestamp"]].copy()
-            out["layout"], out["words"] = [g[0] for g in got if g], [g[1] for g in got if g]
-            out["signature"] = b.loc[some, "signature"]
-            yield out
+            if some.any():
+                out = b.loc[some].drop(columns="variants").astype({"video_id": object})
+                yield out.assign(layout=[g[0] for g in got if g], words=[g[1] for g in got if g])
 
-    return frames.select("video_id", "frameIndex", "timestamp", "variants", "signature").mapInPandas(run, PACKED)
+    grids = (F.col(f"signature.{c}").alias(n) for c, n in (("colorGrid", "colour"), ("skinScoreGrid", "skin"), ("detailGrid", "detail")))
+    return frames.select("video_id", "frameIndex", "timestamp", "variants", *grids).mapInPandas(run, PACKED)
 
 
 def flip_cells(grid: np.ndarray, values: int) -> np.ndarray:
@@ -128,14 +127,13 @@ class Video:
                     at += m
         a, d, fa, fd = (np.ascontiguousarray(table[:, :, start[j] : start[j + 1]]) if want[j] else None for j in range(len(_KINDS)))
         out = Video(rows["timestamp"].to_numpy(float), names, a, want[0], fa, d, want[1], fd)
-        signatures = list(rows["signature"])
-        ok = np.array([s is not None and _length(_field(s, "colorGrid")) == 48 for s in signatures])
+        ok = np.array([_length(c) == 48 for c in rows["colour"]])
         out.has_signature = ok
-        grid = lambda key, size: np.array([np.asarray(_field(s, key), float) if good else np.zeros(size) for s, good in zip(signatures, ok, strict=True)])
-        raw = grid("colorGrid", 48)
+        grid = lambda key, size: np.array([np.asarray(x, float) if good else np.zeros(size) for x, good in zip(rows[key], ok, strict=True)])
+        raw = grid("colour", 48)
         channels = raw.reshape(n, 16, 3)
         out.colour = ((channels - channels.mean(axis=1, keepdims=True)) / np.maximum(channels.std(axis=1, keepdims=True), 8)).reshape(n, 48)
-        out.skin, out.detail = grid("skinScoreGrid", 16), grid("detailGrid", 16)
+        out.skin, out.detail = grid("skin", 16), grid("detail", 16)
         if ok.all() and n > 1:  # one frame without colours turns the channel off
             out.delta = np.diff(raw, axis=0, prepend=raw[:1])
             out.mag = np.sqrt((out.delta**2).sum(axis=1))
@@ -414,7 +412,7 @@ def find_segments(pairs: DataFrame, frames: DataFrame, min_similarity: float = 8
 
     def side(who: str) -> DataFrame:
         of = pairs.select("match_id", F.col(who).alias("video_id")).join(packed(frames), "video_id")
-        return of.select(*[F.col(c).alias(c) for c in ("match_id", "frameIndex", "timestamp", "layout", "words", "signature")])
+        return of.select(*[F.col(c).alias(c) for c in ("match_id", "frameIndex", "timestamp", "layout", "words", "colour", "skin", "detail")])
 
     def run(clip: pd.DataFrame, movie: pd.DataFrame) -> pd.DataFrame:
         videos = Video.of(clip), Video.of(movie)
