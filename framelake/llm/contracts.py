@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontamination, language, lines, lm, near_dup, packing, quality, rules, substrings, tokens
+from framelake.llm import decontamination, language, lines, lm, near_dup, packing, quality, rules, substrings, tokens, toxicity
 from framelake.llm._stage import fold, table
 
 
@@ -60,6 +60,12 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, learned).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+    return scored.select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
         WITH lined AS (

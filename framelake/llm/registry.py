@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": C.line_dedup,
     "op9_token_counts": C.token_counts,
     "op10_quality_rules": C.quality_rules,
+    "op11_toxicity": C.toxicity_scores,
 }
 
 ORACLES: dict[str, str] = C.ORACLES
