@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontamination, language, lines, lm, near_dup, packing, quality, rules, substrings, tokens, toxicity
+from framelake.llm import conversations, decontamination, language, lines, lm, near_dup, packing, quality, rules, substrings, tokens, toxicity
 from framelake.llm._stage import fold, table
 
 
@@ -66,6 +66,10 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(3, 1), "score", "predicted")
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
         WITH lined AS (
