@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import conversations, decontamination, language, lines, lm, near_dup, packing, quality, rules, substrings, tokens, toxicity
+from framelake.llm import conversations, decontamination, language, lines, lm, near_dup, packing, quality, ranking, rules, substrings, tokens, toxicity
 from framelake.llm._stage import fold, table
 
 
@@ -66,6 +66,10 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(3, 1), "score", "predicted")
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(ranking.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
@@ -95,4 +99,34 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(text) AS text_sha256 FROM kept
     """,
+    "op12_ranked_search": r"""
+        WITH cut AS (
+          SELECT row_number() OVER () AS row_id, doc_id,
+                 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+          FROM documents WHERE text IS NOT NULL
+        ), docs AS (
+          SELECT row_id, doc_id, words, CAST(len(words) AS BIGINT) AS n FROM cut WHERE len(words) > 0
+        ), totals AS (
+          SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs
+        ), asked AS (
+          SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark WHERE text IS NOT NULL)
+          GROUP BY item_id, term
+        ), postings AS (
+          SELECT row_id, doc_id, n, term, count(*) AS tf FROM (SELECT row_id, doc_id, n, unnest(words) AS term FROM docs)
+          WHERE term IN (SELECT term FROM asked) GROUP BY row_id, doc_id, n, term
+        ), weighed AS (
+          SELECT term, CAST(floor(1000 * ln((2 * CAST(docs AS DOUBLE) + 2) / (2 * CAST(df AS DOUBLE) + 1))) AS BIGINT) AS w
+          FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals
+        ), scored AS (
+          SELECT a.item_id, p.row_id, p.doc_id,
+                 sum(a.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * t.docs) // t.terms)))) AS score
+          FROM asked a JOIN postings p USING (term) JOIN weighed w USING (term), totals t
+          GROUP BY a.item_id, p.row_id, p.doc_id
+        ), ranked AS (
+          SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 20
+    """,
 }

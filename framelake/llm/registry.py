@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": C.token_counts,
     "op10_quality_rules": C.quality_rules,
     "op11_toxicity": C.toxicity_scores,
+    "op12_ranked_search": C.ranked_search,
     "op13_conversation_repair": C.conversation_repair,
 }
 
