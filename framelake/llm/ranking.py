@@ -19,6 +19,7 @@ null item_id is answered as such; each row of the queries is ranked for itself.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.llm._stage import staged
@@ -115,6 +116,18 @@ def build(docs: DataFrame, documents: int = BLOCK_DOCUMENTS, size: int = BLOCK_B
     return Index(staged(rows.mapInArrow(lean(scan), _INDEX)), all_docs, all_terms)
 
 
+@contextlib.contextmanager
+def few_rows(spark: SparkSession, rows: int = 16):
+    """Blocks are wide: so many of them at a time go to Python, for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass
 class Queries:
     """A batch: names: item ids; terms: all distinct terms; (row, column, times): how often query row has term column."""
@@ -269,32 +282,38 @@ def search(index: Index, queries: DataFrame, k: int = 20, batch: int = 24_000_00
     times their characters is, about six times the weights that a task holds."""
     spark = index.blocks.sparkSession
     results = [spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")]
-    for items in _batches(queries, batch):
-        asked = Queries.of(items)
-        if not len(asked.terms) or not index.documents:
-            continue
-        terms = spark.sparkContext.broadcast(asked.terms)
-        view = _view(index.blocks, terms)
-        df = np.zeros(len(asked.terms), np.int64)
-        for r in view.select(F.explode(F.arrays_zip("q", "df")).alias("x")).groupBy("x.q").agg(F.sum("x.df").alias("df")).collect():
-            df[r["q"]] = r["df"]
-        weight = np.array([math.floor(1000 * math.log((2 * index.documents + 2) / (2 * int(x) + 1))) for x in df], np.int64)
-        sent = spark.sparkContext.broadcast(asked.weights(weight))
-        least = np.ones(len(items), np.int64)
-        for many in ROUNDS:
-            wanted = F.broadcast(_best_blocks(view, sent, least, many))  # `many` blocks a query at most
-            found = _scored(index.blocks.join(wanted, "block"), terms, sent, least, k)
-            for r in found.filter(F.col("rank") == k).collect():
-                least[r["item"]] = r["score"]
-        ranked = staged(_scored(index.blocks, terms, sent, least, k))
-        names = spark.createDataFrame([(i, n) for i, n in enumerate(asked.names)], "item bigint, item_id bigint")
-        results.append(ranked.join(F.broadcast(names), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
+    with few_rows(spark):
+        for items in _batches(queries, batch):
+            if (found := _search(index, Queries.of(items), k)) is not None:
+                results.append(found)
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
     return out
 
 
+def _search(index: Index, asked: Queries, k: int) -> DataFrame | None:
+    if not len(asked.terms) or not index.documents:
+        return None
+    spark = index.blocks.sparkSession
+    terms = spark.sparkContext.broadcast(asked.terms)
+    view = _view(index.blocks, terms)
+    df = np.zeros(len(asked.terms), np.int64)
+    for r in view.select(F.explode(F.arrays_zip("q", "df")).alias("x")).groupBy("x.q").agg(F.sum("x.df").alias("df")).collect():
+        df[r["q"]] = r["df"]
+    weight = np.array([math.floor(1000 * math.log((2 * index.documents + 2) / (2 * int(x) + 1))) for x in df], np.int64)
+    sent = spark.sparkContext.broadcast(asked.weights(weight))
+    least = np.ones(len(asked.names), np.int64)
+    for many in ROUNDS:
+        wanted = F.broadcast(_best_blocks(view, sent, least, many))  # `many` blocks a query at most
+        found = _scored(index.blocks.join(wanted, "block"), terms, sent, least, k)
+        for r in found.filter(F.col("rank") == k).collect():
+            least[r["item"]] = r["score"]
+    ranked = staged(_scored(index.blocks, terms, sent, least, k))
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(asked.names)], "item bigint, item_id bigint")
+    return ranked.join(F.broadcast(names), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
 def _batches(queries: DataFrame, limit: int) -> Iterator[list]:
     """Queries in batches of bounded size, one on the driver at a time."""
     batch, held = [], 0
