@@ -1,8 +1,8 @@
 """Alignment of clips with reference videos: which stretches of a clip come from where.
 
-Matches are independent and run side by side, one task for each clip and reference; within a task all scoring
-is vectorised. Frames are packed before they are shuffled, so a task holds about 3 KB a frame of its reference with 13
-variants. Frames without variants are left out; a match without a segment has no rows. Segments of a match, a few each,
+Frames of the videos that are matched are packed once, about 3 KB a frame with 13 variants, and written in order. Matches whose reference is short (`in_one_task` frames)
+run side by side, one task each; all others go through the stages of operators.bands, whose tasks hold a block or a band of the reference whatever its length. Both give
+the same segments. Frames without variants are left out; a match without a segment has no rows. Segments of a match, a few each,
 are then merged, de-duplicated and validated by the ordered operators.
 """
 
@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.display import match_parameters
 from framelake.operators import ordered
+from framelake.stage import Stages
 
 # Fixed values of the matching rules (survey P1-P8, A2-A9, W2).
 LOOK_AHEAD, LOOK_AHEAD_MAX, MAX_MISSES = 7, 18, 12
@@ -26,6 +27,10 @@ WALK_MIN, WALK_FLOOR, WALK_STEP = 50, 40, 25
 SLOPE_MIN, SLOPE_MAX = 0.1, 8.0
 SEED_SEPARATION, SEED_CANDIDATES = 50, 8
 FORCED_FRAMES, FORCED_MEAN, FORCED_JUMP = 10, 65, 50
+#: Frames of a reference that all pairs of variants are compared with at a time.
+SLICE = 512
+#: The longest reference, in frames, that a match takes into one task: about 120 MB with 13 variants.
+IN_ONE_TASK = 40_000
 
 DETAIL = "struct<cropRegion: string, structureSim: double, colorSim: double, skinSim: double, detailSim: double, movieHash: string, shortHash: string>"
 SEGMENT = (
@@ -79,7 +84,7 @@ def flip_cells(grid: np.ndarray, values: int) -> np.ndarray:
 
 @dataclass
 class Video:
-    """A video's frames in order, packed."""
+    """A video's frames in order, packed: all of them, or those from position `start` on of a video of `total` frames. Positions count from the video's first frame."""
 
     time: np.ndarray
     names: list[str]
@@ -95,24 +100,27 @@ class Video:
     detail: np.ndarray | None = None
     delta: np.ndarray | None = None
     mag: np.ndarray | None = None
+    start: int = 0
+    total: int = 0
 
     @staticmethod
-    def of(rows: pd.DataFrame) -> Video | None:
+    def of(rows: pd.DataFrame, first: str | None = None, total: int | None = None, coloured: bool | None = None) -> Video | None:
         """From packed records; None if there are none. The first frame says which variants there are and how long hashes are; what other
-        frames lack, or have in another length, counts as zeros."""
+        frames lack, or have in another length, counts as zeros. Of a part (records with neighbouring `pos`): first, total, coloured say the layout of the video's
+        first frame, its frames, and whether all have colours; the part's own first frame is only there for the change from it."""
         if not len(rows):
             return None
-        rows = rows.sort_values("frameIndex", kind="stable")
+        rows = rows.sort_values("frameIndex" if total is None else "pos", kind="stable")
         n, layouts, words = len(rows), rows["layout"].tolist(), rows["words"].tolist()
-        names, sizes = json.loads(layouts[0])
+        names, sizes = json.loads(layouts[0] if first is None else first)
         k, want = len(names), [next((s[j] for s in sizes if s[j]), 0) for j in range(len(_KINDS))]
         start = np.cumsum([0, *(-(-w // 64) for w in want)])
-        whole = all(s == want for s in sizes)
+        whole, first = all(s == want for s in sizes), layouts[0] if first is None else first
         table = np.zeros((n, k, start[-1]), np.uint64)
         place, read = {name: i for i, name in enumerate(names)}, {}
         for f in range(n):
             got = np.frombuffer(words[f], np.uint64)
-            if whole and layouts[f] == layouts[0]:
+            if whole and layouts[f] == first:
                 table[f] = got.reshape(k, -1)
                 continue
             if layouts[f] not in read:
@@ -127,6 +135,7 @@ class Video:
                     at += m
         a, d, fa, fd = (np.ascontiguousarray(table[:, :, start[j] : start[j + 1]]) if want[j] else None for j in range(len(_KINDS)))
         out = Video(rows["timestamp"].to_numpy(float), names, a, want[0], fa, d, want[1], fd)
+        out.start, out.total = (0, n) if total is None else (int(rows["pos"].iloc[0]), total)
         ok = np.array([_length(c) == 48 for c in rows["colour"]])
         out.has_signature = ok
         grid = lambda key, size: np.array([np.asarray(x, float) if good else np.zeros(size) for x, good in zip(rows[key], ok, strict=True)])
@@ -134,17 +143,21 @@ class Video:
         channels = raw.reshape(n, 16, 3)
         out.colour = ((channels - channels.mean(axis=1, keepdims=True)) / np.maximum(channels.std(axis=1, keepdims=True), 8)).reshape(n, 48)
         out.skin, out.detail = grid("skin", 16), grid("detail", 16)
-        if ok.all() and n > 1:  # one frame without colours turns the channel off
+        if (ok.all() if coloured is None else coloured) and out.total > 1:  # one frame without colours turns the channel off
             out.delta = np.diff(raw, axis=0, prepend=raw[:1])
             out.mag = np.sqrt((out.delta**2).sum(axis=1))
         return out
 
     def __len__(self) -> int:
-        return len(self.time)
+        return self.total
+
+    def holds(self, low: int, high: int) -> bool:
+        """Whether the frames from low to high are here, with the one before, if there is any, for the change from it."""
+        return self.start <= max(0, low - 1) and high < self.start + len(self.time)
 
     def hash_of(self, k: int) -> str:
         """Bits of a frame's first variant."""
-        return "".join(map(str, np.unpackbits(self.a[k, 0].view(np.uint8))[: self.a_bits]))
+        return "".join(map(str, np.unpackbits(self.a[k - self.start, 0].view(np.uint8))[: self.a_bits]))
 
 
 def _field(x, key: str):
@@ -155,8 +168,12 @@ def _length(x) -> int:
     return 0 if x is None else len(x)
 
 
+class LeftBand(Exception):
+    """A comparison asks for frames that are not in the part of the video at hand."""
+
+
 class Scores:
-    """Similarities in percent between frames of a clip and of a reference."""
+    """Similarities in percent between frames of a clip and of a reference, by their positions."""
 
     def __init__(self, clip: Video, movie: Video):
         self.s, self.m = clip, movie
@@ -168,6 +185,7 @@ class Scores:
         named full (the first, without one)."""
         full = self.s.names.index("full") if "full" in self.s.names else 0
         own = slice(None) if every else slice(full, full + 1)
+        si, mi = si - self.s.start, mi - self.m.start
 
         def share(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
             x = a[si, own][None, :, None, :] ^ b[mi][:, None, :, :]
@@ -184,14 +202,16 @@ class Scores:
 
     def structure(self, si: int, mi: np.ndarray, every: bool) -> np.ndarray:
         """Percent: the best pair of variants."""
-        return self.pairs(si, mi, every).reshape(len(mi), -1).max(axis=1) * 100
+        step = SLICE if every else 16 * SLICE
+        return np.concatenate([self.pairs(si, mi[a : a + step], every).reshape(len(mi[a : a + step]), -1).max(axis=1) for a in range(0, len(mi), step)]) * 100
 
     def fast(self, si: int) -> np.ndarray:
-        n = len(self.m)
-        return np.concatenate([self.structure(si, np.arange(a, min(n, a + 8192)), every=False) for a in range(0, n, 8192)])
+        """Of all frames of the reference that are here."""
+        return self.structure(si, np.arange(len(self.m.time)) + self.m.start, every=False)
 
     def signature(self, si: int, mi: np.ndarray) -> np.ndarray:
         s, m = self.s, self.m
+        si, mi = si - s.start, mi - m.start
 
         def raw(colour: np.ndarray, skin: np.ndarray, detail: np.ndarray) -> np.ndarray:
             c = np.maximum(0, 1 - np.abs(s.colour[si] - colour).mean(axis=1) / 2)
@@ -204,30 +224,33 @@ class Scores:
     def temporal(self, si: int, mi: np.ndarray) -> np.ndarray:
         if self.s.delta is None or self.m.delta is None or si == 0:
             return np.full(len(mi), -1.0)
-        a, b = self.s.mag[si], self.m.mag[mi]
-        cosine = (self.m.delta[mi] @ self.s.delta[si]) / np.maximum(a * b, 1e-12)
+        own, at = si - self.s.start, mi - self.m.start
+        a, b = self.s.mag[own], self.m.mag[at]
+        cosine = (self.m.delta[at] @ self.s.delta[own]) / np.maximum(a * b, 1e-12)
         out = np.where((a < 6) & (b < 6), 78.0, np.where((a < 6) | (b < 6), 38.0, (cosine + 1) / 2 * 100))
         return np.where(mi == 0, -1.0, out)
 
     def frame(self, si: int, mi: np.ndarray) -> np.ndarray:
         h = self.structure(si, mi, every=True)
-        if not self.s.has_signature[si]:
+        if not self.s.has_signature[si - self.s.start]:
             return h
         g, t = self.signature(si, mi), self.temporal(si, mi)
         both = np.where(t >= 0, 0.70 * h + 0.14 * g + 0.16 * t, 0.84 * h + 0.16 * g)
-        return np.where(self.m.has_signature[mi], both, h)
+        return np.where(self.m.has_signature[mi - self.m.start], both, h)
 
     def best(self, si: int, mi: np.ndarray) -> tuple[float, int]:
         """The best score and its place, the first on ties; a score of 0 is none."""
+        if not (self.s.holds(si, si) and self.m.holds(int(mi[0]), int(mi[-1]))):
+            raise LeftBand
         s = self.frame(si, mi)
         k = int(s.argmax())
         return (float(s[k]), int(mi[k])) if s[k] > 0 else (0.0, -1)
 
 
 def cuts_of(v: Video) -> np.ndarray:
-    """Where the picture changes: little structure in common with the frame before, or a large change of colour."""
-    out = np.zeros(len(v), bool)
-    if len(v) > 1:
+    """Where the picture changes, of the frames at hand: little structure in common with the frame before, or a large change of colour."""
+    out = np.zeros(len(v.time), bool)
+    if len(out) > 1:
         a = 1 - np.bitwise_count(v.a[1:, 0] ^ v.a[:-1, 0]).sum(axis=1, dtype=np.int64) / v.a_bits
         out[1:] = a * 100 < 25
         if v.d is not None:
@@ -257,13 +280,13 @@ def regression_slope(path: list[tuple]) -> float:
     return _clamp(float((x * (y - y.mean())).sum() / (x * x).sum()))
 
 
-def walk(score: Scores, seed: tuple[int, int], used: np.ndarray, step: int, drift: int, first: int, last: int) -> list[tuple]:
-    """Hits (si, mi, sim) from the seed in one direction, inside the chunk."""
+def walk(score: Scores, seed: tuple[int, int], used: set[int] | frozenset[int], step: int, drift: int, first: int, last: int) -> list[tuple]:
+    """Hits (si, mi, sim) from the seed in one direction, inside the chunk. used: positions of the clip that are taken."""
     hits: list[tuple] = []
     at, misses, slope = seed, 0, 1.0
     n = len(score.m)
     si = seed[0] + step
-    while first <= si <= last and not used[si]:
+    while first <= si <= last and si not in used:
         centre = at[1] + int(_round(slope * (si - at[0])))
         half = min(LOOK_AHEAD_MAX, LOOK_AHEAD + drift + misses)
         low, high = max(0, centre - half), min(n - 1, centre + half)
@@ -292,16 +315,70 @@ def fill_gaps(path: list[tuple], most: int = 2) -> list[tuple]:
     return out
 
 
+class Clusters:
+    """Candidates of a seed, from scores in order of position: one nearer than SEED_SEPARATION to the present cluster's representative replaces it if better, and so
+    moves it. Only the present one and the best so far are held."""
+
+    def __init__(self):
+        self.now: tuple[int, float] | None = None
+        self.past: list[tuple[int, float]] = []
+
+    def add(self, at: np.ndarray, sim: np.ndarray) -> None:
+        i = 0
+        while i < len(at):
+            if self.now is None or at[i] - self.now[0] >= SEED_SEPARATION:
+                self._close()
+                self.now = (int(at[i]), float(sim[i]))
+                i += 1
+                continue
+            j = int(np.searchsorted(at, self.now[0] + SEED_SEPARATION))
+            better = np.flatnonzero(sim[i:j] > self.now[1])
+            if len(better):
+                i += int(better[0])
+                self.now = (int(at[i]), float(sim[i]))
+                i += 1
+            else:
+                i = j
+
+    def _close(self) -> None:
+        if self.now is not None:
+            self.past.append(self.now)
+        if len(self.past) > 16 * SEED_CANDIDATES:
+            self.past = sorted(self.past, key=lambda c: (-c[1], c[0]))[:SEED_CANDIDATES]
+
+    def best(self) -> list[tuple[int, float]]:
+        """Best first, eight at most; the lower position on ties."""
+        self._close()
+        self.now = None
+        return sorted(self.past, key=lambda c: (-c[1], c[0]))[:SEED_CANDIDATES]
+
+
 def candidates(s: np.ndarray, floor: float) -> list[tuple[int, float]]:
-    """The best of each cluster of positions that reach the floor, best first, eight at most."""
-    out: list[list] = []
-    for mi in np.flatnonzero(s >= floor).tolist():
-        if out and mi - out[-1][0] < SEED_SEPARATION:
-            if s[mi] > out[-1][1]:
-                out[-1] = [mi, s[mi]]
-        else:
-            out.append([mi, s[mi]])
-    return [(m, float(v)) for m, v in sorted(out, key=lambda c: -c[1])[:SEED_CANDIDATES]]
+    """The best of each cluster of positions that reach the floor."""
+    at, found = np.flatnonzero(s >= floor), Clusters()
+    found.add(at, s[at])
+    return found.best()
+
+
+def seeds_of(first: int, last: int, used: set[int] | frozenset[int]) -> list[int]:
+    """Positions at 0, 25, 50, 75 and 100 % of a chunk, each once, moved to the nearest free one, the later on ties."""
+    free = [k for k in range(first, last + 1) if k not in used]
+    spots = dict.fromkeys(first + int(_round(k * (last - first) / 4)) for k in range(5))
+    return [min(free, key=lambda x: (abs(x - seed), x < seed)) for seed in spots] if free else []
+
+
+def trace(score: Scores, seed: tuple[int, int], used: set[int] | frozenset[int], drift: int, first: int, last: int, floor: float) -> list[tuple] | None:
+    """The path through a candidate, both ways and gaps filled; None if the pair itself doesn't reach the floor."""
+    sim, _ = score.best(seed[0], np.array([seed[1]]))
+    if sim < floor:
+        return None
+    back = walk(score, seed, used, -1, drift, first, last)
+    return fill_gaps([*back[::-1], (*seed, sim), *walk(score, seed, used, 1, drift, first, last)])
+
+
+def enough(first: int, last: int, min_frames: int) -> int:
+    """Frames that a path in this chunk needs."""
+    return min(min_frames, max(3, int((last - first + 1) * 0.4)))
 
 
 def align(clip: Video, movie: Video, min_similarity: float, min_frames: int, drift: int) -> list[dict]:
@@ -310,44 +387,34 @@ def align(clip: Video, movie: Video, min_similarity: float, min_frames: int, dri
     cut = cuts_of(clip)
     starts = np.flatnonzero(np.append(True, cut[1:])) if len(clip) else []
     chunks = [(int(a), int(b) - 1) for a, b in zip(starts, np.append(starts[1:], len(clip)), strict=True)]
-    used = np.zeros(len(clip), bool)
+    used: set[int] = set()
 
     def keep(path: list[tuple], approximate: bool) -> None:
-        used[[p[0] for p in path]] = True
+        used.update(p[0] for p in path)
         found.append(_segment(score, path, approximate))
 
     for approximate, floor in ((False, min_similarity), (True, 40)):
         for first, last in chunks:
-            free = np.flatnonzero(~used[first : last + 1]) + first
-            if not len(free):
-                continue
-            size = last - first + 1
-            enough = min(min_frames, max(3, int(size * 0.4)))
             best, best_key = None, (0, 0.0)
-            for seed in dict.fromkeys(first + int(_round(k * (size - 1) / 4)) for k in range(5)):
-                si = int(min(free, key=lambda x: (abs(x - seed), x < seed)))  # noqa: B023
+            for si in seeds_of(first, last, used):
                 top = candidates(score.fast(si), floor - 20)
                 if not top or top[0][1] < floor - 18:
                     continue
                 for mi, _ in top:
-                    sim = float(score.frame(si, np.array([mi]))[0])
-                    if sim < floor:
-                        continue
-                    back = walk(score, (si, mi), used, -1, drift, first, last)
-                    path = fill_gaps([*back[::-1], (si, mi, sim), *walk(score, (si, mi), used, 1, drift, first, last)])
-                    key = (len(path), float(np.mean([p[2] for p in path])))
-                    if len(path) >= enough and (best is None or key > best_key):
+                    path = trace(score, (si, mi), used, drift, first, last, floor)
+                    key = (len(path), float(np.mean([p[2] for p in path]))) if path else (0, 0.0)
+                    if path and len(path) >= enough(first, last, min_frames) and (best is None or key > best_key):
                         best, best_key = path, key
             if best:
                 keep(best, approximate)
     everywhere = np.arange(len(movie))
     for first, last in chunks:
-        free = np.flatnonzero(~used[first : last + 1]) + first
+        free = [k for k in range(first, last + 1) if k not in used]
         if len(free) < FORCED_FRAMES:
             continue
-        hits = [(int(si), *score.best(int(si), everywhere)[::-1]) for si in free]
+        hits = [(si, *score.best(si, everywhere)[::-1]) for si in free]
         hits = [h for h in hits if h[1] >= 0]
-        if not hits or np.mean([h[2] for h in hits]) < FORCED_MEAN:
+        if len(hits) < FORCED_FRAMES or np.mean([h[2] for h in hits]) < FORCED_MEAN:
             continue
         group = [hits[0]]
         for p, q in zip(hits, hits[1:], strict=False):
@@ -359,12 +426,18 @@ def align(clip: Video, movie: Video, min_similarity: float, min_frames: int, dri
     return found
 
 
-def _segment(score: Scores, path: list[tuple], approximate: bool) -> dict:
-    clip, movie = score.s, score.m
+def path_end(path: list[tuple], frames: int) -> tuple[float, int]:
+    """(speed, position of the last frame in the reference): by the slope, unless that is where the path ends anyway."""
     first, last = path[0], path[-1]
     ratio = regression_slope(path)
     end = first[1] + int(_round(ratio * (last[0] - first[0])))
-    end = min(max(end, 0), len(movie) - 1) if abs(end - last[1]) > 1 else last[1]
+    return ratio, min(max(end, 0), frames - 1) if abs(end - last[1]) > 1 else last[1]
+
+
+def _segment(score: Scores, path: list[tuple], approximate: bool) -> dict:
+    clip, movie = score.s, score.m
+    first, last = path[0], path[-1]
+    ratio, end = path_end(path, len(movie))
     top = max(path, key=lambda p: p[2])
     return {
         "shortStart": clip.time[first[0]],
@@ -377,20 +450,21 @@ def _segment(score: Scores, path: list[tuple], approximate: bool) -> dict:
         "gapCount": last[0] - first[0] + 1 - len({p[0] for p in path}),
         "speedRatio": ratio,
         "matchSequence": [{"shortTime": clip.time[s], "movieTime": movie.time[m], "similarity": float(v)} for s, m, v in path],
-        "bestFrameDetail": _detail(score, top[0], top[1]),
+        "bestFrameDetail": detail_of(score, top[0], top[1]),
     }
 
 
-def _detail(score: Scores, si: int, mi: int) -> dict:
+def detail_of(score: Scores, si: int, mi: int) -> dict:
     """Similarities of one pair of frames by channel (50 where a frame has no signature), and the crop of the reference that fits best."""
     s, m, place = score.s, score.m, np.array([mi])
     pairs = score.pairs(si, place, every=True)[0]
     name = m.names[int(pairs.argmax()) % pairs.shape[1]] if pairs.max() > 0 else "full"
     colour = skin = detail = 50.0
-    if s.has_signature[si] and m.has_signature[mi]:
+    own, at = si - s.start, mi - m.start
+    if s.has_signature[own] and m.has_signature[at]:
         gap = lambda a, b: float(np.abs(a - b).mean())
-        top = max(1.0, float(s.detail[si].max()), float(m.detail[mi].max()))
-        colour, skin, detail = (100 * min(1.0, max(0.0, 1 - x)) for x in (gap(s.colour[si], m.colour[mi]) / 2, gap(s.skin[si], m.skin[mi]), gap(s.detail[si], m.detail[mi]) / top))
+        top = max(1.0, float(s.detail[own].max()), float(m.detail[at].max()))
+        colour, skin, detail = (100 * min(1.0, max(0.0, 1 - x)) for x in (gap(s.colour[own], m.colour[at]) / 2, gap(s.skin[own], m.skin[at]), gap(s.detail[own], m.detail[at]) / top))
     return {
         "cropRegion": crop_name(name), "structureSim": float(pairs.max()) * 100, "colorSim": colour, "skinSim": skin, "detailSim": detail, "movieHash": m.hash_of(mi), "shortHash": s.hash_of(si),
     }
@@ -406,12 +480,38 @@ def crop_name(name: str) -> str:
     return "Full Frame" if name == "full" else name
 
 
-def find_segments(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82, min_frames: int = 9, drift: int = 3) -> DataFrame:
-    """Raw segments of each pair (match_id, clip_id, movie_id); frames: video_id and the fingerprint columns."""
+def index_frames(frames: DataFrame, videos: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """(packed records with `pos` from 0 in each video; video_id, total, first, coloured) of the videos listed (video_id), packed once and written in order. A long video
+    lies in many partitions; positions come from the partitions' counts."""
+    wanted = packed(frames.join(videos.select("video_id").distinct(), "video_id", "left_semi"))
+    at = F.monotonically_increasing_id()
+    rows = stages.written(wanted.repartitionByRange("video_id", "frameIndex").sortWithinPartitions("video_id", "frameIndex").withColumn("at", at))
+    part = F.shiftright("at", 33).alias("part")
+    runs = rows.groupBy("video_id", part).agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = Window.partitionBy("video_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = stages.written(runs.select("video_id", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift")))
+    index = rows.withColumn("part", part).join(runs, ["video_id", "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+    about = rows.groupBy("video_id").agg(F.count("*").alias("total"), F.min_by("layout", "at").alias("first"), F.bool_and(F.coalesce(F.size("colour") == 48, F.lit(False))).alias("coloured"))
+    return index, stages.written(about)
+
+
+def find_segments(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82, min_frames: int = 9, drift: int = 3, in_one_task: int = IN_ONE_TASK, stages: Stages | None = None) -> DataFrame:
+    """Raw segments of each pair (match_id, clip_id, movie_id), written; frames: video_id and the fingerprint columns."""
+    from framelake.operators import bands
+
     limits = match_parameters(min_similarity, min_frames, drift)
+    stages = stages or Stages(pairs.sparkSession)
+    videos = pairs.select(F.explode(F.array("clip_id", "movie_id")).alias("video_id"))
+    index, about = index_frames(frames, videos, stages)
+    sized = stages.written(pairs.select("match_id", "clip_id", "movie_id").join(about.select(F.col("video_id").alias("movie_id"), F.greatest("total", F.lit(0)).alias("total")), "movie_id"))
+    short, long = sized.filter(F.col("total") <= in_one_task), sized.filter(F.col("total") > in_one_task)
+    found = stages.written(_in_one_task(short, index, limits))
+    return found if long.isEmpty() else found.unionByName(bands.find_segments(long, index, about, limits, stages))
+
 
+def _in_one_task(pairs: DataFrame, index: DataFrame, limits: tuple) -> DataFrame:
     def side(who: str) -> DataFrame:
-        of = pairs.select("match_id", F.col(who).alias("video_id")).join(packed(frames), "video_id")
+        of = pairs.select("match_id", F.col(who).alias("video_id")).join(index, "video_id")
         return of.select(*[F.col(c).alias(c) for c in ("match_id", "frameIndex", "timestamp", "layout", "words", "colour", "skin", "detail")])
 
     def run(clip: pd.DataFrame, movie: pd.DataFrame) -> pd.DataFrame:
@@ -425,22 +525,23 @@ def find_segments(pairs: DataFrame, frames: DataFrame, min_similarity: float = 8
     return side("clip_id").groupBy("match_id").cogroup(side("movie_id").groupBy("match_id")).applyInPandas(run, SEGMENT)
 
 
-def match_videos(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82, min_frames: int = 9, drift: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(segments, unmatched): final segments of each match, and the clip's stretches that none of them uses."""
-    raw = find_segments(pairs, frames, min_similarity, min_frames, drift).filter("frameCount > 0")
-    ms = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("bigint")
+def match_videos(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82, min_frames: int = 9, drift: int = 3, in_one_task: int = IN_ONE_TASK) -> tuple[DataFrame, DataFrame]:
+    """(segments, unmatched): final segments of each match, and the clip's stretches that none of them uses. The raw segments are found, and written, here."""
+    raw = find_segments(pairs, frames, min_similarity, min_frames, drift, in_one_task).filter("frameCount > 0")
+    us = lambda c: F.floor(F.col(c) * 1_000_000 + 0.5).cast("bigint")  # noqa: E731  times come in whole microseconds
     base = raw.select(
-        "match_id", F.col("emit_seq").cast("bigint").alias("seg_id"), ms("shortStart").alias("ss"), ms("shortEnd").alias("se"), ms("movieStart").alias("ms"), ms("movieEnd").alias("me"),
+        "match_id", F.col("emit_seq").cast("bigint").alias("seg_id"), us("shortStart").alias("ss"), us("shortEnd").alias("se"), us("movieStart").alias("ms"), us("movieEnd").alias("me"),
         F.col("confidence").alias("conf"), F.col("frameCount").cast("bigint").alias("frames"), F.col("gapCount").cast("bigint").alias("gaps"), F.col("speedRatio").alias("ratio"), F.col("isApproximate").alias("approx"), "matchSequence", "bestFrameDetail",
     )
-    merged = ordered.merge_adjacent(base, "match_id").withColumn("seg_id", F.col("group").cast("bigint"))
-    final = ordered.validate_context(ordered.drop_overlaps(merged, "match_id"), "match_id")
+    merged = ordered.merge_adjacent(base, "match_id", per_ms=1000).withColumn("seg_id", F.col("group").cast("bigint"))
+    final = ordered.validate_context(ordered.drop_overlaps(merged, "match_id", most=150_000), "match_id", per_ms=1000)
+    seconds = lambda c, name: (F.col(c) / 1_000_000).alias(name)
     out = final.select(
         "match_id",
-        (F.col("ss") / 1000).alias("shortStart"),
-        (F.col("se") / 1000).alias("shortEnd"),
-        (F.col("ms") / 1000).alias("movieStart"),
-        (F.col("me") / 1000).alias("movieEnd"),
+        seconds("ss", "shortStart"),
+        seconds("se", "shortEnd"),
+        seconds("ms", "movieStart"),
+        seconds("me", "movieEnd"),
         F.col("conf").alias("confidence"),
         F.col("frames").alias("frameCount"),
         F.col("approx").alias("isApproximate"),

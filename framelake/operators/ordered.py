@@ -82,15 +82,15 @@ def rolling_average(df: DataFrame, key: str, value: str, rows: int = 50) -> Data
     return df.withColumn("rolling", F.avg(value).over(_in(key).rowsBetween(1 - rows, 0)))
 
 
-def merge_adjacent(segments: DataFrame, match: str) -> DataFrame:
-    """Segments in milliseconds (ss, se, ms, me, conf, frames, gaps, ratio, approx), neighbours joined: clip gap from -40 to 520 and
+def merge_adjacent(segments: DataFrame, match: str, per_ms: int = 1) -> DataFrame:
+    """Segments in milliseconds, or in parts of one, per_ms each (ss, se, ms, me, conf, frames, gaps, ratio, approx), neighbours joined: clip gap from -40 to 520 and
     movie gap from -80 to five clip gaps and 2500. Each join adds the clip gap's frames (25 a second) to gaps. matchSequence, where there is one, is joined up in
     order, and bestFrameDetail is that of the surer side at each join, the earlier on ties."""
     w = Window.partitionBy(match).orderBy("ss", "se", "ms", "me", "seg_id")
     gap, movie = F.col("ss") - F.lag("se").over(w), F.col("ms") - F.lag("me").over(w)
-    joins = gap.between(-40, 520) & (movie >= -80) & (movie <= 5 * gap + 2500)
+    joins = gap.between(-40 * per_ms, 520 * per_ms) & (movie >= -80 * per_ms) & (movie <= 5 * gap + 2500 * per_ms)
     grouped = segments.withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("group", F.sum("_new").over(w))
-    grouped = grouped.withColumn("_between", F.when(F.col("_new") == 0, F.floor(gap * 25 / 1000 + 0.5)).otherwise(0).cast("bigint"))
+    grouped = grouped.withColumn("_between", F.when(F.col("_new") == 0, F.floor(gap * 25 / (1000 * per_ms) + 0.5)).otherwise(0).cast("bigint"))
     ordered = F.struct("ss", "se", "ms", "me", "seg_id")
     frames = F.col("frames")
     carried = []
@@ -151,13 +151,13 @@ def drop_overlaps(segments: DataFrame, match: str, most: int = 150) -> DataFrame
     return _kept(segments, match, keep, ["conf", "ss", "se"])
 
 
-def validate_context(segments: DataFrame, match: str) -> DataFrame:
+def validate_context(segments: DataFrame, match: str, per_ms: int = 1) -> DataFrame:
     """Approximate, weak and short segments stay only beside a sure one: the last kept or the next, at 85 or more, with a movie gap of -1 to 10 s."""
 
     def keep(rows: pd.DataFrame) -> np.ndarray:
         rows = rows.sort_values(["ss", "seg_id"])
         conf, ms, me = (rows[c].to_numpy() for c in ("conf", "ms", "me"))
-        near = lambda gap: (gap >= -1000) & (gap <= 10000)
+        near = lambda gap: (gap >= -1000 * per_ms) & (gap <= 10000 * per_ms)
         stays = ~rows["approx"].to_numpy(bool) | (conf >= 80) | (rows["frames"].to_numpy() >= 20) | (len(rows) <= 1)
         stays[:-1] |= (conf[1:] >= 85) & near(ms[1:] - me[:-1])
         last = -1
