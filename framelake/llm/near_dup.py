@@ -17,8 +17,8 @@
 5. Connected components of the links by hooking and pointer jumping, written out each round.
 
 Rows: a null text, or one without words, has an empty set and is linked with nothing. A null doc_id is
-linked with nothing and kept. Rows that share a doc_id are answered each, and take the component that any of
-their sets reaches. An empty table gives an empty result. Extra columns are ignored.
+linked with nothing and kept. Rows that share a doc_id are answered each; their sets count as linked, through it, so all
+take the component that any of them reaches. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,6 +68,15 @@ def min_max(h: np.ndarray, off: np.ndarray, permutations: int) -> np.ndarray:
     return out
 
 
+def set_hashes(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Two hashes of each whole set, 0 of the empty one."""
+    out, full = np.zeros((2, len(off) - 1), np.uint64), np.flatnonzero(np.diff(off))
+    if len(full):
+        out[0, full] = np.add.reduceat(h, off[full])
+        out[1, full] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), off[full])
+    return out
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -88,10 +97,7 @@ def signatures(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFra
             key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(full), axis=0)
             for j in range(per_band):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, :, j])
-            s = np.zeros((2, len(n)), np.uint64)
-            if len(full):
-                s[0, full] = np.add.reduceat(h, off[full])
-                s[1, full] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), off[full])
+            s = set_hashes(h, off)
             ends = np.zeros(len(n) + 1, np.int32)
             ends[1:] = np.cumsum((n > 0) * bands)
             yield pa.RecordBatch.from_arrays(
@@ -103,57 +109,66 @@ def signatures(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFra
 
 
 def links(rows: DataFrame, heads: DataFrame, size: int, percent: int, tile: int) -> DataFrame:
-    """a, b: links between the documents of `heads` (doc_id, n_shingles, bands), one for each distinct set."""
+    """a, b: links between the documents of `heads` (node, s1, s2, doc_id, bands), one for each distinct set; node is the set's number, and one doc_id may have several."""
     spark = rows.sparkSession
-    band = heads.select("doc_id", F.explode("bands").alias("band"))
+    band = heads.select("node", "doc_id", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.count("*").alias("company")).filter("company > 1")
     members = staged(band.join(shared, "band"))
-    company = members.groupBy("doc_id").agg(F.sum("company").alias("company"))
-    ranked = members.drop("company").join(company, "doc_id")
-    pivots = ranked.groupBy("band").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("pivot"))
-    near = ranked.join(pivots, "band").select("pivot", F.col("doc_id").alias("member")).distinct()
+    company = members.groupBy("node").agg(F.sum("company").alias("company"))
+    ranked = members.drop("company").join(company, "node")
+    top = F.max(F.struct("company", (-F.col("doc_id")).alias("minus"), "node")).alias("top")
+    pivots = ranked.groupBy("band").agg(top).select("band", F.col("top.node").alias("pivot"), (-F.col("top.minus")).alias("pivot_doc"))
+    near = ranked.join(pivots, "band").select("pivot", "pivot_doc", "node").distinct()
     near = staged(near)
     # A pivot's members meet its set in shares of `tile`; the pivot's own set goes to every share.
     shares = near.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.ceil(F.col("n") / tile).cast("int").alias("shares"))
-    wanted = near.join(shares, "pivot").select(
-        F.col("member").alias("doc_id"),
+    wanted = near.join(shares, "pivot").join(heads.select("node", "doc_id", "s1", "s2"), "node").select(
+        "doc_id",
+        "node",
+        "s1",
+        "s2",
         "pivot",
-        F.when(F.col("pivot") == F.col("member"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("member"), F.col("shares")).cast("int"))).alias("share"),
+        "pivot_doc",
+        F.when(F.col("pivot") == F.col("node"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))).alias("share"),
         "shares",
     )
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "share", "shares")).alias("to"))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "s1", "s2", "pivot", "pivot_doc", "share", "shares")).alias("to"))
+    kept = ("pivot", "pivot_doc", "share", "shares", "member", "doc")
+    longs = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    fields = "pivot bigint, pivot_doc bigint, share int, shares int, member bigint, doc bigint"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             h, off = shingle_sets(Words(b.column("text"), lower=True), size)
+            s1, s2 = set_hashes(h, off).view(np.int64).tolist()
             out = []
             for i, (d, to) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("to").to_pylist(), strict=True)):
                 blob = h[off[i] : off[i + 1]].tobytes()
-                out += [(t["pivot"], s, t["shares"], d, blob) for t in to for s in t["share"]]
+                # A doc_id may stand in rows with other texts: a row answers for its own set alone.
+                out += [(t["pivot"], t["pivot_doc"], s, t["shares"], t["node"], d, blob) for t in to if (t["s1"], t["s2"]) == (s1[i], s2[i]) for s in t["share"]]
             for a in range(0, len(out), 2000):
-                p, s, n, d, x = zip(*out[a : a + 2000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(d, pa.int64()), pa.array(x, pa.binary())], names=["pivot", "share", "shares", "member", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 2000], strict=True), [*longs, pa.binary()], strict=True)], names=[*kept, "shingles"])
 
     texts = rows.join(wanted.hint("merge"), "doc_id")
-    sent = texts.mapInArrow(lean(sets), "pivot bigint, share int, shares int, member bigint, shingles binary")
+    sent = texts.mapInArrow(lean(sets), f"{fields}, shingles binary")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (pivot, share, shares), group in _groups(batches, ("pivot", "share", "shares")):
-            own = next((np.frombuffer(x, np.uint64) for d, x in group if d == pivot), None)
+        for (pivot, pivot_doc, share, shares), group in _groups(batches, kept[:4], ("member", "doc", "shingles")):
+            own = next((np.frombuffer(x, np.uint64) for node, _, x in group if node == pivot), None)
             out = []
-            for d, x in group:
-                if d == pivot and share:
+            for node, doc, x in group:
+                if node == pivot and share:
                     continue  # one share answers for the pivot itself
                 a = np.frombuffer(x, np.uint64)
                 diff = np.setxor1d(own, a, assume_unique=True)
                 linked = _linked(len(own) + len(a), len(diff), percent)
-                out.append((pivot, share, shares, d, len(a), linked, diff.tobytes()))
-            p, own_share, s, d, n, k, x = zip(*out, strict=True) if out else ([],) * 7
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(own_share, pa.int32()), pa.array(s, pa.int32()), pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.bool_()), pa.array(x, pa.binary())], names=["pivot", "share", "shares", "member", "n", "linked", "diff"])
+                out.append((pivot, pivot_doc, share, shares, node, doc, len(a), linked, diff.tobytes()))
+            cols = zip(*out, strict=True) if out else ([],) * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [*longs, pa.int64(), pa.bool_(), pa.binary()], strict=True)], names=[*kept, "n", "linked", "diff"])
 
     parts = slots(spark)
-    stars = staged(sent.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share").mapInArrow(lean(star), "pivot bigint, share int, shares int, member bigint, n bigint, linked boolean, diff binary"))
-    found = stars.filter("linked and pivot != member").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
+    stars = staged(sent.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share").mapInArrow(lean(star), f"{fields}, n bigint, linked boolean, diff binary"))
+    found = stars.filter("linked and pivot != member").select(F.col("pivot_doc").alias("a"), F.col("doc").alias("b"))
     # Groups with open members, those that their pivot doesn't link. An open member meets all shares of its group's members; the linked ones
     # stay in their share, once for each `tile` open members of the group.
     opened = stars.filter("not linked").groupBy("pivot").agg(F.ceil(F.count("*") / tile).cast("int").alias("open_shares"), F.max("shares").alias("shares"))
@@ -161,11 +176,11 @@ def links(rows: DataFrame, heads: DataFrame, size: int, percent: int, tile: int)
     rest = stars.join(opened, ["pivot", "share"])  # a large group meets the number in as many places as it has shares
     deal = lambda salt, shares: F.pmod(F.xxhash64("member", F.lit(salt)), F.col(shares)).cast("int")
     every = lambda shares: F.explode(F.sequence(F.lit(0), F.col(shares) - 1))
-    asked = rest.select("pivot", every("open_shares").alias("i"), deal(1, "shares").alias("j"), F.lit(False).alias("asks"), "member", "n", "diff")
-    asking = rest.filter("not linked").select("pivot", deal(2, "open_shares").alias("i"), every("shares").alias("j"), F.lit(True).alias("asks"), "member", "n", "diff")
+    asked = rest.select("pivot", every("open_shares").alias("i"), deal(1, "shares").alias("j"), F.lit(False).alias("asks"), "member", "doc", "n", "diff")
+    asking = rest.filter("not linked").select("pivot", deal(2, "open_shares").alias("i"), every("shares").alias("j"), F.lit(True).alias("asks"), "member", "doc", "n", "diff")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batches, ("pivot", "i", "j"), ("asks", "member", "n", "diff")):
+        for _, group in _groups(batches, ("pivot", "i", "j"), ("asks", "member", "doc", "n", "diff")):
             a, b = _tile_links(group, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -201,13 +216,13 @@ def _tile_links(group: list[tuple], percent: int) -> tuple[list[int], list[int]]
     if not opens or not other:
         return out_a, out_b
     # An inverted list of the other side's differences: shared shingles of one open member with all at once.
-    sizes = np.array([len(r[2]) // 8 for r in other])
-    element = np.frombuffer(b"".join(r[2] for r in other), np.uint64)
+    sizes = np.array([len(r[3]) // 8 for r in other])
+    element = np.frombuffer(b"".join(r[3] for r in other), np.uint64)
     order = np.argsort(element, kind="stable")
     holder = np.repeat(np.arange(len(other)), sizes)[order]
     element = element[order]
-    ids, n = np.array([r[0] for r in other]), np.array([r[1] for r in other])
-    for member, size, diff in opens:
+    ids, docs, n = (np.array([r[k] for r in other]) for k in range(3))
+    for member, doc, size, diff in opens:
         d = np.frombuffer(diff, np.uint64)
         lo, hi = np.searchsorted(element, d), np.searchsorted(element, d, side="right")
         m = hi - lo
@@ -215,8 +230,8 @@ def _tile_links(group: list[tuple], percent: int) -> tuple[list[int], list[int]]
         shared = np.bincount(holder[at], minlength=len(other))
         differing, total = len(d) + sizes - 2 * shared, n + size
         hit = (100 * (total - differing) >= percent * (total + differing)) & (ids != member)
-        out_a += [member] * int(hit.sum())
-        out_b += ids[hit].tolist()
+        out_a += [doc] * int(hit.sum())
+        out_b += docs[hit].tolist()
     return out_a, out_b
 
 
@@ -252,11 +267,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sig = staged(signatures(text, size, bands, rows))
     named = sig.filter("n_shingles > 0 and doc_id is not null")
     heads = named.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("s1", "s2", "n_shingles", "x.doc_id", "x.bands")
-    # A doc_id that stands in several rows with different sets would be several heads: link them through it below.
-    heads = staged(heads)
-    found = links(text, heads.select("doc_id", "bands"), size, percent, tile)
-    comp = components(found)
+    heads = staged(heads.withColumn("node", F.monotonically_increasing_id()))
+    # A doc_id with several sets links their first documents: each with it.
+    one = F.struct("s1", "s2", "n_shingles")
+    several = named.groupBy("doc_id").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low != high").select("doc_id")
     head = heads.select("s1", "s2", "n_shingles", F.col("doc_id").alias("head"))
+    through = named.join(several, "doc_id").select("doc_id", "s1", "s2", "n_shingles").distinct().join(head, ["s1", "s2", "n_shingles"])
+    found = links(text, heads, size, percent, tile).union(through.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+    comp = components(found)
     of_set = head.join(comp, head["head"] == comp["node"], "left").select("s1", "s2", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     out = sig.drop("bands").join(of_set, ["s1", "s2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

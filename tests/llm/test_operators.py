@@ -125,6 +125,40 @@ def test_null_ids_and_repeated_rows(spark):
     assert substrings.remove_repeats(df).count() == 5
 
 
+def test_a_doc_id_with_several_texts_links_them(spark):
+    """Rows of one doc_id count as linked; each row keeps its own set's size. Sets of the same least doc_id are told apart."""
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 60, 40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(3, a), (5, a), (5, b), (9, b), (20, c), (20, d), (21, near(c)), (22, near(d)), (30, near(near(d))), (40, e), (40, e), (41, None), (41, near(b)), (50, text())]
+    for i in range(60, 90):
+        rows += [(i, near(rows[int(rng.integers(0, len(rows)))][1] or a)) for _ in range(1 + i % 2)]
+    words = {k: split(t, True) for k, (_, t) in enumerate(rows)}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in words.items()}
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if rows[i][0] == rows[j][0] or (n and 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n)):
+                root[find(i)] = find(j)
+    # A row without words is linked with nothing, also not with the other rows of its doc_id.
+    least = {}
+    for k, (d_, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), d_), d_)
+    want = sorted((d_, len(sets[k]), least[find(k)] if sets[k] else d_) for k, (d_, _) in enumerate(rows))
+    for tile in (2, 1024):
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), percent=85, tile=tile).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+        assert len({r["component_id"] for r in got if r["doc_id"] in (3, 5, 9)}) == 1
+
+
 @pytest.mark.parametrize("window", [5, 35])
 def test_repeated_windows_go(docs, rows, empty, window):
     count = Counter()
