@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import bits, display, geometry, hashing, signatures
-from framelake.operators import ordered
+from framelake.operators import ordered, pixels
 from framelake.plans import views as V
 
 
@@ -37,7 +37,9 @@ def hash_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crop_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = spark.sql("SELECT * FROM VALUES (1920, 1080), (1080, 1920), (1000, 1000), (320, 240), (641, 359) AS t(w, h)")
+    """Of as many picture sizes as there are parts."""
+    k = F.col("p_partkey")
+    sizes = V.table(spark, sf_dir, "part").select((64 + k * 37 % 1900).cast("int").alias("w"), (64 + k * 53 % 1100).cast("int").alias("h")).distinct()
     return sizes.select("w", "h", F.inline(geometry.crop_rects(F.col("w"), F.col("h"))))
 
 
@@ -47,19 +49,19 @@ def crop_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subtitle_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bright pixels of each frame's lowest quarter, and whether they count: 8 at least, and a quarter of the area at most."""
-    low = V.pixels(spark).filter("y >= 13")
+    low = V.pixels(spark, sf_dir).filter("y >= 13")
     return low.groupBy("f").agg(F.count_if(F.expr("r > 180 and g > 180")).alias("bright"), F.count("*").alias("area")).withColumn("used", F.expr("bright >= 8 and bright * 4 <= area"))
 
 
 def subtitle_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = V.pixels(spark).filter("y >= 13 and r > 180 and g > 180")
+    mask = V.pixels(spark, sf_dir).filter("y >= 13 and r > 180 and g > 180")
     near = mask.select("f", F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - 2), F.least(F.lit(31), F.col("x") + 2))).alias("x"), "y")
     return near.select("f", "x", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - 2), F.least(F.lit(17), F.col("y") + 2))).alias("y")).distinct()
 
 
 def subtitle_inpaint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pixels take the nearest unmasked pixel above, if there is one."""
-    p = V.pixels(spark).join(subtitle_dilate(spark, sf_dir).withColumn("m", F.lit(True)), ["f", "x", "y"], "left")
+    p = V.pixels(spark, sf_dir).join(subtitle_dilate(spark, sf_dir).withColumn("m", F.lit(True)), ["f", "x", "y"], "left")
     w = Window.partitionBy("f", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
     clean = lambda c: F.coalesce(F.last(F.when(F.col("m").isNull(), F.col(c)), True).over(w), F.col(c)).alias(c)
     return p.select("f", "x", "y", clean("r"), clean("g"), clean("b"))
@@ -67,13 +69,65 @@ def subtitle_inpaint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signature_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean colour, skin share and mean deviation of gray of each frame's 4 x 4 cells."""
-    p = V.pixels(spark).withColumn("cell", F.floor(F.col("y") * 4 / 18) * 4 + F.floor(F.col("x") * 4 / 32)).withColumn("gray", hashing.gray(F.col("r"), F.col("g"), F.col("b")))
+    p = V.pixels(spark, sf_dir).withColumn("cell", F.floor(F.col("y") * 4 / 18) * 4 + F.floor(F.col("x") * 4 / 32)).withColumn("gray", hashing.gray(F.col("r"), F.col("g"), F.col("b")))
     mean = F.avg("gray").over(Window.partitionBy("f", "cell"))
     p = p.withColumn("off", F.abs(F.col("gray") - mean)).withColumn("skin", signatures.is_skin(F.col("r"), F.col("g"), F.col("b")).cast("int"))
     six = lambda c, name: F.round(F.avg(c), 6).alias(name)
     return p.groupBy("f", "cell").agg(six("r", "mean_r"), six("g", "mean_g"), six("b", "mean_b"), six("skin", "skin"), F.round(F.avg("off") + 1e-7, 4).alias("detail"))
 
 
+def _by_picture(spark: SparkSession, sf_dir: str, size: tuple[int, int], schema: str, rows) -> DataFrame:
+    """rows(f, rgb) of each picture, by the operators that extraction runs."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                out += rows(r.frameIndex - 1, np.frombuffer(r.rgba, np.uint8).reshape(r.height, r.width, 4)[:, :, :3])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return V.pictures(spark, sf_dir, *size).mapInPandas(run, schema)
+
+
+def pixels_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each picture: whether it has subtitles; how many pixels their widened mask has and where (by a sum), forced; sums of the channels, weighted by place, without them."""
+
+    def rows(f, rgb):
+        import numpy as np
+
+        place = np.arange(1, rgb.shape[0] * rgb.shape[1] + 1).reshape(rgb.shape[:2])
+        mask, (clean, used) = pixels.subtitle_mask(rgb, force=True), pixels.process_subtitles(rgb)
+        return [(f, used, int(mask.sum()), int(place[mask].sum()), *(int((clean[:, :, c].astype(np.int64) * place).sum()) for c in range(3)))]
+
+    return _by_picture(spark, sf_dir, (V.WIDTH, V.HEIGHT), "f bigint, used boolean, masked bigint, places bigint, r bigint, g bigint, b bigint", rows)
+
+
+def pixels_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signature's cells of each picture of 16 x 16."""
+
+    def rows(f, rgb):
+        s = pixels.signature(rgb.astype(float))
+        return [(f, k, *(round(v, 6) for v in s["colorGrid"][3 * k : 3 * k + 3]), round(s["skinScoreGrid"][k], 6), round(s["detailGrid"][k] + 1e-7, 4)) for k in range(16)]
+
+    return _by_picture(spark, sf_dir, (16, 16), "f bigint, cell bigint, mean_r double, mean_g double, mean_b double, skin double, detail double", rows)
+
+
+def pixel_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crops that extraction makes, of the sizes of crop_rects."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [(w, h, *c) for w, h in zip(b["w"].tolist(), b["h"].tolist(), strict=True) for c in pixels.crops(w, h)]
+            yield pd.DataFrame(rows, columns=["w", "h", "name", "sx", "sy", "sw", "sh"])
+
+    return crop_rects(spark, sf_dir).select("w", "h").distinct().mapInPandas(run, "w int, h int, name string, sx int, sy int, sw int, sh int")
+
+
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame with the one before: distance and percent."""
     f = V.frames(spark, sf_dir)
@@ -196,7 +250,7 @@ mags AS (SELECT pos, d, sqrt(list_sum(list_transform(d, lambda v: v * v))) AS ma
 )
 _TEMPORAL = """CASE WHEN x.pos % 1000 = 0 OR y.pos % 1000 = 0 THEN -1.0 WHEN x.mag < 6 AND y.mag < 6 THEN 78.0 WHEN x.mag < 6 OR y.mag < 6 THEN 38.0
   ELSE (list_sum(list_transform(list_zip(x.d, y.d), lambda p: p[1] * p[2])) / (x.mag * y.mag) + 1) / 2 * 100 END"""
-_RECTS = """sizes(w, h) AS (VALUES (1920, 1080), (1080, 1920), (1000, 1000), (320, 240), (641, 359)),
+_RECTS = """sizes AS (SELECT DISTINCT CAST(64 + p_partkey * 37 % 1900 AS INTEGER) AS w, CAST(64 + p_partkey * 53 % 1100 AS INTEGER) AS h FROM part),
 tall AS (SELECT w, h, CAST(floor(floor(h * 9 / 16 + 0.5) / 2) * 2 AS INTEGER) AS t FROM sizes),
 zooms(zoom, name) AS (VALUES (1.25, 'zoom_1_25'), (1.5, 'zoom_1_5'), (2.0, 'zoom_2_0')),
 z AS (SELECT w, h, name, floor(floor(w / zoom + 0.5) / 2) * 2 AS zw, floor(floor(h / zoom + 0.5) / 2) * 2 AS zh FROM sizes, zooms),
@@ -212,7 +266,7 @@ dilated AS (SELECT DISTINCT m.f, m.x + dx AS x, m.y + dy AS y FROM mask m, range
 QUERIES = {
     f.__name__: f
     for f in (
-        hash_ahash, hash_dhash, hash_flip, hash_flat_guard, hash_blur, crop_rects, crop_label, subtitle_mask, subtitle_dilate, subtitle_inpaint, signature_grid,
+        hash_ahash, hash_dhash, hash_flip, hash_flat_guard, hash_blur, crop_rects, crop_label, subtitle_mask, subtitle_dilate, subtitle_inpaint, signature_grid, pixels_subtitles, pixels_signature, pixel_crops,
         hamming_pairs, pair_similarity, color_zscore, grid_mirror, signature_similarity, temporal_similarity, frame_similarity, picture_cuts, integrity_score,
     )
 }
@@ -235,6 +289,17 @@ ORACLES = {
     "subtitle_inpaint": f"""WITH {_DILATED}, m AS (SELECT p.*, d.f IS NOT NULL AS masked FROM pixels p LEFT JOIN dilated d USING (f, x, y))
         SELECT a.f, a.x, a.y, coalesce(b.r, a.r) AS r, coalesce(b.g, a.g) AS g, coalesce(b.b, a.b) AS b FROM m a
         LEFT JOIN m b ON b.f = a.f AND b.x = a.x AND b.y = (SELECT max(c.y) FROM m c WHERE c.f = a.f AND c.x = a.x AND c.y <= a.y AND NOT c.masked)""",
+    "pixels_subtitles": f"""WITH {_DILATED}, low AS (SELECT f, count(*) FILTER (WHERE r > 180 AND g > 180) AS bright, count(*) AS area FROM pixels WHERE y >= 13 GROUP BY f),
+        m AS (SELECT p.*, d.f IS NOT NULL AS masked FROM pixels p LEFT JOIN dilated d USING (f, x, y)),
+        src AS (SELECT *, max(CASE WHEN NOT masked THEN y END) OVER (PARTITION BY f, x ORDER BY y) AS up FROM m),
+        c AS (SELECT a.f, a.x, a.y, a.masked, w.bright >= 8 AND w.bright * 4 <= w.area AS used, a.r, a.g, a.b, b.r AS br, b.g AS bg, b.b AS bb
+              FROM src a LEFT JOIN pixels b ON b.f = a.f AND b.x = a.x AND b.y = a.up JOIN low w ON w.f = a.f)
+        SELECT f, bool_or(used) AS used, count(*) FILTER (WHERE masked) AS masked, CAST(coalesce(sum(y * 32 + x + 1) FILTER (WHERE masked), 0) AS BIGINT) AS places,
+        CAST(sum(CASE WHEN used THEN coalesce(br, r) ELSE r END * (y * 32 + x + 1)) AS BIGINT) AS r, CAST(sum(CASE WHEN used THEN coalesce(bg, g) ELSE g END * (y * 32 + x + 1)) AS BIGINT) AS g,
+        CAST(sum(CASE WHEN used THEN coalesce(bb, b) ELSE b END * (y * 32 + x + 1)) AS BIGINT) AS b FROM c GROUP BY f""",
+    "pixels_signature": f"""WITH {V.SQUARES}, p AS (SELECT *, {_GRAY} AS gray, y // 4 * 4 + x // 4 AS cell FROM squares), o AS (SELECT *, abs(gray - avg(gray) OVER (PARTITION BY f, cell)) AS off FROM p)
+        SELECT f, cell, round(avg(r), 6) AS mean_r, round(avg(g), 6) AS mean_g, round(avg(b), 6) AS mean_b,
+        round(avg(CASE WHEN r > 80 AND g > 40 AND b > 20 AND r > g AND r > b AND r - b > 20 THEN 1 ELSE 0 END), 6) AS skin, round(avg(off) + 1e-7, 4) AS detail FROM o GROUP BY f, cell""",
     "signature_grid": f"""WITH {V.PIXELS}, p AS (SELECT *, {_GRAY} AS gray, y * 4 // 18 * 4 + x * 4 // 32 AS cell FROM pixels),
         o AS (SELECT *, abs(gray - avg(gray) OVER (PARTITION BY f, cell)) AS off FROM p)
         SELECT f, cell, round(avg(r), 6) AS mean_r, round(avg(g), 6) AS mean_g, round(avg(b), 6) AS mean_b,
@@ -253,3 +318,4 @@ ORACLES = {
 ORACLES["frame_similarity"] = f"""WITH pairs AS ({ORACLES['pair_similarity']}), sigs AS ({ORACLES['signature_similarity']}), temps AS ({ORACLES['temporal_similarity']})
     SELECT p.pos, round(CASE WHEN p.pos % 7 = 0 THEN p.sim WHEN p.pos % 3 = 0 OR t.temporal < 0 THEN 0.84 * p.sim + 0.16 * s.sim ELSE 0.70 * p.sim + 0.14 * s.sim + 0.16 * t.temporal END, 5) AS frame_sim
     FROM pairs p JOIN sigs s USING (pos) JOIN temps t USING (pos)"""
+ORACLES["pixel_crops"] = ORACLES["crop_rects"]

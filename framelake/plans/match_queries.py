@@ -9,23 +9,9 @@ from framelake.operators import align, pixels
 from framelake.plans import views as V
 
 
-def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clip and the reference as fingerprint records: one variant of 64 and 112 bits, 25 frames a second."""
-
-    movie = V.grids(spark, sf_dir).select(F.lit("movie").alias("video_id"), F.col("pos").alias("k"), "q")
-    clip = V.clip(spark, sf_dir).select(F.lit("clip").alias("video_id"), F.col("si").alias("k"), "q")
-    return movie.union(clip).select(
-        "video_id",
-        F.col("k").cast("int").alias("frameIndex"),
-        (F.col("k") / 25).alias("timestamp"),
-        F.create_map(F.lit("full"), V.hashes(F.col("q"))).alias("variants"),
-        F.lit(None).cast("struct<colorGrid: array<double>, skinScoreGrid: array<double>, detailGrid: array<double>>").alias("signature"),
-    )
-
-
 def _match(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs = spark.sql("SELECT 'm' AS match_id, 'clip' AS clip_id, 'movie' AS movie_id")
-    return align.match_videos(pairs, _fingerprints(spark, sf_dir))
+    frames, pairs = V.footage(spark, sf_dir)
+    return align.match_videos(pairs, frames)
 
 
 def match_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +22,21 @@ def match_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(spark, sf_dir)[1]
 
 
-def extract_fingerprints(spark: SparkSession, sf_dir: str, frames: int = 24, width: int = 320, height: int = 240) -> DataFrame:
-    """Fingerprints of synthetic frames, made where they are hashed."""
+def match_in_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw segments by the stages for long references, whatever the references' length."""
+    frames, pairs = V.footage(spark, sf_dir)
+    return align.find_segments(pairs, frames, in_one_task=0)
+
+
+def extract_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every frame's picture, with all variants' hashes."""
+    found = pixels.fingerprints(V.pictures(spark, sf_dir, 64, 48))
+    hashes = F.transform(F.array_sort(F.map_entries("variants")), lambda e: F.concat_ws("/", e["key"], e["value"]["hash"], e["value"]["dhash"], e["value"]["fhash"], e["value"]["fdhash"]))
+    return found.select("video_id", "frameIndex", "timestamp", F.size("variants").alias("variants"), F.array_join(hashes, ",").alias("hashes"), "signature.*")
+
+
+def extract_synthetic(spark: SparkSession, frames: int = 24, width: int = 320, height: int = 240) -> DataFrame:
+    """Fingerprints of synthetic frames, made where they are hashed: for timing."""
 
     def make(batches):
         import pandas as pd
@@ -52,5 +51,5 @@ def extract_fingerprints(spark: SparkSession, sf_dir: str, frames: int = 24, wid
     return pixels.fingerprints(raw).select("video_id", "frameIndex", "timestamp", F.col("variants")["full"]["hash"].alias("hash"), F.size("variants").alias("variants"))
 
 
-QUERIES = {"match_segments": match_segments, "match_unmatched": match_unmatched, "extract_fingerprints": extract_fingerprints}
+QUERIES = {"match_segments": match_segments, "match_unmatched": match_unmatched, "match_in_bands": match_in_bands, "extract_fingerprints": extract_fingerprints}
 ORACLES: dict[str, str] = {}

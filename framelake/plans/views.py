@@ -36,15 +36,14 @@ FRAMES = GRIDS + ", frames AS (SELECT pos, label, q, " + _HASH.format(q="q") + "
 
 
 def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """si, src_pos, q, a, w0: frames 100 to 159, each cell moved by up to 10."""
-    g = grids(spark, sf_dir).filter(F.col("pos").between(100, 159))
-    g = g.select((F.col("pos") - 100).alias("si"), F.col("pos").alias("src_pos"), F.transform("q", lambda x, i: x + (F.col("pos") * 7 + i * 13) % 21 - 10).alias("q"))
+    """si, src_pos, q, a, w0: every frame, each cell moved by up to 10."""
+    g = grids(spark, sf_dir).select(F.col("pos").alias("si"), F.col("pos").alias("src_pos"), F.transform("q", lambda x, i: x + (F.col("pos") * 7 + i * 13) % 21 - 10).alias("q"))
     return g.withColumn("a", hashing.average_hash(F.col("q"), 64)).withColumn("w0", bits.pack(F.col("a"), 64)[0])
 
 
 CLIP = (
     FRAMES
-    + ", clip0 AS (SELECT pos - 100 AS si, pos AS src_pos, list_transform(q, lambda x, i: x + (pos * 7 + (i - 1) * 13) % 21 - 10) AS q FROM grids WHERE pos BETWEEN 100 AND 159)"
+    + ", clip0 AS (SELECT pos AS si, pos AS src_pos, list_transform(q, lambda x, i: x + (pos * 7 + (i - 1) * 13) % 21 - 10) AS q FROM grids)"
     + ", clip AS (SELECT si, src_pos, q, " + _HASH.format(q="q") + " AS a FROM clip0)"
     + ", agree AS (SELECT c.si, f.pos, 64 - hamming(c.a, f.a) AS agree FROM clip c, frames f)"
 )
@@ -65,7 +64,10 @@ SEARCHES = (
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, colour (48 numbers from 0 to 255), skin (16 shares in quarters), detail (16 numbers)."""
-    g = grids(spark, sf_dir)
+    return signatures_of(grids(spark, sf_dir))
+
+
+def signatures_of(g: DataFrame) -> DataFrame:
     colour = F.transform(F.slice("q", 1, 48), lambda x: F.pmod(x, F.lit(256)).cast("double"))
     skin = F.transform(F.slice("q", 49, 16), lambda x: F.pmod(x, F.lit(5)) / 4)
     detail = F.transform(F.slice("q", 49, 16), lambda x: F.pmod(x, F.lit(64)).cast("double"))
@@ -82,14 +84,50 @@ SIGNATURES = (
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, variants: hashes of the whole grid, of its left half stretched to twice the width, and of its centre at twice the size."""
+    return variants_of(grids(spark, sf_dir)).select("pos", "variants")
+
+
+def variants_of(g: DataFrame) -> DataFrame:
+    """g (q among its columns) with variants in place of q."""
     k = F.sequence(F.lit(0), F.lit(63))
     cut = lambda place: hashing.let(F.col("q"), lambda q: F.transform(k, lambda i: F.get(q, place(i).cast("int"))))
     row, col = (lambda i: F.floor(i / 8)), (lambda i: i % 8)
-    g = grids(spark, sf_dir).select(
-        "pos", F.col("q").alias("full"), cut(lambda i: row(i) * 8 + F.floor(col(i) / 2)).alias("left"), cut(lambda i: (F.floor(i / 16) + 2) * 8 + F.floor(col(i) / 2) + 2).alias("centre")
+    g = g.select(
+        "*", F.col("q").alias("full"), cut(lambda i: row(i) * 8 + F.floor(col(i) / 2)).alias("left"), cut(lambda i: (F.floor(i / 16) + 2) * 8 + F.floor(col(i) / 2) + 2).alias("centre")
     )
     named = F.array(*[F.struct(F.lit(name).alias("key"), F.col(c).alias("grid")) for name, c in (("full", "full"), ("crop_9_16_0", "left"), ("zoom_2_0_center", "centre"))])
-    return g.select("pos", F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"], hashes(e["grid"])))).alias("variants"))
+    return g.withColumn("variants", F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"], hashes(e["grid"]))))).drop("q", "full", "left", "centre")
+
+
+def films(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos, q: shots of 25 frames, the first frame's grid with a little of each frame's own and a drift."""
+    g = grids(spark, sf_dir).select("pos", "q")
+    shot = g.filter("pos % 25 = 0").select(F.col("pos").alias("shot"), F.col("q").alias("base"))
+    return g.withColumn("shot", F.col("pos") - F.col("pos") % 25).join(shot, "shot").select(
+        "pos", F.transform("base", lambda x, i: x + F.floor(F.get("q", i) / 40).cast("bigint") + (F.col("pos") % 25) * (i * 7 % 5 - 2)).alias("q")
+    )
+
+
+def footage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(frames, pairs): references of 500 frames of the films each; clips of 32 frames in every 40, each cell moved by up to 10, every second clip mirrored. A clip is
+    matched with the reference that it is from and with the one after that."""
+    f = films(spark, sf_dir)
+    movies = f.select(F.concat(F.lit("movie-"), F.floor(F.col("pos") / 500).cast("string")).alias("video_id"), (F.col("pos") % 500).alias("k"), "q")
+    moved = F.transform("q", lambda x, i: x + (F.col("pos") * 7 + i * 13) % 21 - 10)
+    number = F.floor(F.col("pos") / 40)
+    clips = f.filter("pos % 40 < 32").withColumn("q", moved).select(
+        F.concat(F.lit("clip-"), number.cast("string")).alias("video_id"), (F.col("pos") % 40).alias("k"), F.when(number % 2 == 1, hashing.mirror(F.col("q"), 8, 8)).otherwise(F.col("q")).alias("q")
+    )
+    both = movies.unionByName(clips).withColumn("pos", F.col("k"))
+    level = F.transform("q", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(x / 3).cast("double") + 128)))
+    signature = F.struct(
+        F.slice(level, 1, 48).alias("colorGrid"), F.transform(F.slice("q", 49, 16), lambda x: F.pmod(x, F.lit(5)) / 4).alias("skinScoreGrid"), F.slice(level, 49, 16).alias("detailGrid")
+    )
+    frames = variants_of(both.withColumn("signature", signature)).select("video_id", F.col("k").cast("int").alias("frameIndex"), (F.col("k") / 25).alias("timestamp"), "variants", "signature")
+    starts = f.filter("pos % 40 = 0").select(F.floor(F.col("pos") / 40).alias("c"), F.explode(F.array(F.floor(F.col("pos") / 500), F.floor(F.col("pos") / 500) + 1)).alias("m"))
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    pairs = starts.select(F.concat(name("c", "c"), name("-m", "m")).alias("match_id"), name("clip-", "c").alias("clip_id"), name("movie-", "m").alias("movie_id"))
+    return frames, pairs
 
 
 def hashes(grid) -> Column:
@@ -146,21 +184,42 @@ def path(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATH = TIMELINE + ", path AS (SELECT video_id, pos AS si, pos * 2 + level % 3 AS mi, CAST(60 + level % 40 AS DOUBLE) AS sim FROM timeline WHERE pos % 7 < 5 AND pos % 11 <> 3)"
 
 
-def pixels(spark: SparkSession, width: int = 32, height: int = 18, frames_: int = 4) -> DataFrame:
-    """f, x, y, r, g, b of synthetic frames: whole-number formulas of the place and the frame."""
-    n = spark.range(width * height * frames_)
-    p = n.select((F.col("id") / (width * height)).cast("bigint").alias("f"), (F.col("id") % width).alias("x"), ((F.col("id") / width).cast("bigint") % height).alias("y"))
-    low = lambda c: c.bitwiseAND(F.lit(255))
-    f, x, y = F.col("f"), F.col("x"), F.col("y")
-    return p.select(
-        "f",
-        "x",
-        "y",
-        low((x * (f + 1) * 31 + y * 97).bitwiseXOR(f * 53)).alias("r"),
-        low((y * (f + 1) * 67 + x * 41).bitwiseXOR(f * 29)).alias("g"),
-        low((x * y * 7 + f * 113).bitwiseXOR(F.lit(128))).alias("b"),
-    )
+WIDTH, HEIGHT = 32, 18
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f, x, y, r, g, b: each frame's grid as a picture, with whole-number formulas of the place."""
+    p = grids(spark, sf_dir).select(F.col("pos").alias("f"), "q", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))).alias("k"))
+    p = p.select("f", (F.col("k") % WIDTH).alias("x"), F.floor(F.col("k") / WIDTH).cast("int").alias("y"), "q")
+    cell = F.get("q", (F.floor(F.col("y") * 8 / HEIGHT) * 8 + F.floor(F.col("x") * 8 / WIDTH)).cast("int"))
+    x, y, v = F.col("x"), F.col("y"), F.col("v")
+    low = lambda c: F.pmod(c, F.lit(256)).cast("bigint")
+    return p.withColumn("v", cell).select("f", "x", "y", low(v + x * 31 + y * 17).alias("r"), low(v * 3 + x * 7 + y * 29).alias("g"), low(v * 7 + x * y).alias("b"))
+
+
+def _pixels(name: str, width: int, height: int) -> str:
+    return f"""{name} AS (SELECT pos AS f, x, y, ((v + x * 31 + y * 17) % 256 + 256) % 256 AS r, ((v * 3 + x * 7 + y * 29) % 256 + 256) % 256 AS g, ((v * 7 + x * y) % 256 + 256) % 256 AS b
+    FROM (SELECT pos, x, y, q[y * 8 // {height} * 8 + x * 8 // {width} + 1] AS v FROM grids, range({width}) AS a(x), range({height}) AS b(y)))"""
+
+
+PIXELS = GRIDS + ", " + _pixels("pixels", WIDTH, HEIGHT)
+SQUARES = GRIDS + ", " + _pixels("squares", 16, 16)
+
+
+def pictures(spark: SparkSession, sf_dir: str, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+    """video_id, frameIndex (from 1), width, height, rgba: the same pictures as raw frames."""
+
+    def draw(batches):
+        import numpy as np
+        import pandas as pd
 
+        x, y = np.arange(width)[None, :], np.arange(height)[:, None]
+        for b in batches:
+            out = []
+            for q in b["q"]:
+                v = np.asarray(q, np.int64)[y * 8 // height * 8 + x * 8 // width]
+                channels = (v + x * 31 + y * 17, v * 3 + x * 7 + y * 29, v * 7 + x * y, np.full(v.shape, 255))
+                out.append(np.stack([c % 256 for c in channels], axis=-1).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"video_id": "pictures", "frameIndex": b["pos"] + 1, "width": width, "height": height, "rgba": out})
 
-PIXELS = """pixels AS (SELECT f, x, y, xor(x * (f + 1) * 31 + y * 97, f * 53) & 255 AS r, xor(y * (f + 1) * 67 + x * 41, f * 29) & 255 AS g, xor(x * y * 7 + f * 113, 128) & 255 AS b
-    FROM (SELECT range // 576 AS f, range % 32 AS x, range // 32 % 18 AS y FROM range(2304)))"""
+    return grids(spark, sf_dir).select("pos", "q").mapInPandas(draw, "video_id string, frameIndex int, width int, height int, rgba binary")
