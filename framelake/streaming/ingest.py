@@ -1,19 +1,16 @@
-"""Structured Streaming: fingerprint records as they arrive, stored once each, and cuts found online."""
+"""Structured Streaming: fingerprint records as they arrive, put in order, and cuts found online."""
 
 from __future__ import annotations
 
-import contextlib
 import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from framelake.sources.readers import FINGERPRINT, write_frames
+from framelake.sources.readers import FINGERPRINT
 
 
 def records(spark: SparkSession, path: str, schema: str = "video_id STRING, " + FINGERPRINT, files_per_trigger: int = 64, bytes_per_trigger: int | None = None) -> DataFrame:
@@ -44,40 +41,85 @@ class Progress(StreamingQueryListener):
         self.rows.pop(event.runId, None)
 
 
-def store(stream: DataFrame, path: str, checkpoint: str):
-    """Frames into Parquet by video and batch, each once, however often it is sent: the first that came stays. A micro-batch that is run again,
-    or whose frames an earlier one had, adds nothing."""
+def in_order(stream: DataFrame, first: int = 1, patience: str | None = None, limit: int = 192) -> DataFrame:
+    """The frames of each video from index `first` on, each once and in order, whatever order and micro-batch they come in: video_id, frameIndex, record (the whole row as JSON), is_cut
+    (as in align.cuts_of, against the frame released before; a frame without dhash or colours skips that test) and missing (how many frames before it were given up).
+
+    State of a video: the index awaited, and a map of the frames that came early, which holds no more than what lies behind a hole. A hole that lasts longer than `patience` ("10 minutes", in
+    processing time) is given up when its timer runs out; without it the frames behind it wait. With timers a query goes on looking at them, so it takes a trigger of processing time, not availableNow. A frame that comes after its turn, or again, is left out. Needs the RocksDB state store."""
+    wait = None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000)
+
+    class Order(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.next = handle.getValueState("next", "frame int")
+            self.early = handle.getMapState("early", "frame int", "record string, hash string, dhash string, colour array<double>")
+            self.last = handle.getValueState("last", "hash string, dhash string, colour array<double>")
+            self.timer = handle.getValueState("timer", "at bigint")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            due = self._due()
+            for batch in rows:
+                for r in batch.itertuples(index=False):
+                    if r.frameIndex >= due and not self.early.containsKey((int(r.frameIndex),)):
+                        colour = [float(x) for x in r.colour] if r.colour is not None and len(r.colour) == 48 else None
+                        self.early.updateValue((int(r.frameIndex),), (r.record, r.hash, r.dhash, colour))
+            yield self._released(key[0], due, 0)
+            self._watch(timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.timer.clear()
+            due = self._due()
+            waiting = [k[0] for k in self.early.keys()]
+            if waiting:
+                yield self._released(key[0], min(waiting), min(waiting) - due)
+            self._watch(timerValues)
+
+        def close(self) -> None:
+            pass
+
+        def _due(self) -> int:
+            return self.next.get()[0] if self.next.exists() else first
+
+        def _released(self, video: str, due: int, missing: int) -> pd.DataFrame:
+            """The frames from `due` on that are there without a hole."""
+            out, last = [], tuple(self.last.get()) if self.last.exists() else None
+            while self.early.containsKey((due,)):
+                record, *now = self.early.getValue((due,))
+                self.early.removeKey((due,))
+                now = (now[0] or "", now[1] or "", list(now[2]) if now[2] is not None else [])
+                out.append((video, due, record, bool(now[0]) and last is not None and _changed(last, now, limit), missing))
+                last, due, missing = now if now[0] else last, due + 1, 0
+            if out:
+                self.next.update((due,))
+            if last is not None:
+                self.last.update((last[0], last[1], list(last[2])))
+            return pd.DataFrame(out, columns=["video_id", "frameIndex", "record", "is_cut", "missing"])
+
+        def _watch(self, timerValues) -> None:
+            """A timer while a hole keeps frames waiting."""
+            if wait is None:
+                return
+            waiting = bool([*self.early.keys()])
+            if not waiting and self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+                self.timer.clear()
+            elif waiting and not self.timer.exists():
+                at = timerValues.getCurrentProcessingTimeInMs() + wait
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.filter("video_id is not null and frameIndex is not null").dropDuplicates(["video_id", "frameIndex"]).withColumn("pos", F.col("frameIndex") - 1)
-        with contextlib.suppress(AnalysisException):  # nothing is stored yet
-            stored = batch.sparkSession.read.parquet(path).select("video_id", "frameIndex")
-            new = new.join(stored, ["video_id", "frameIndex"], "left_anti")
-        write_frames(new, path, mode="append")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def online_cuts(stream: DataFrame, limit: int = 192) -> DataFrame:
-    """video_id, frameIndex of frames that differ from the frame before as in align.cuts_of: in more than `limit` bits of the hash, in
-    more than 72 % of the dhash, or by more than 100 in colour. A frame without dhash or colours skips that test. State: a video's last frame."""
+    full = F.col("variants")["full"]
+    frames = stream.filter("video_id is not null and frameIndex is not null").select(
+        "video_id", "frameIndex", F.to_json(F.struct("*")).alias("record"), full["hash"].alias("hash"), full["dhash"].alias("dhash"), F.col("signature.colorGrid").alias("colour")
+    )
+    return frames.groupBy("video_id").transformWithStateInPandas(Order(), "video_id string, frameIndex int, record string, is_cut boolean, missing int", "Append", "None" if wait is None else "ProcessingTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("frameIndex")
-        last = state.get if state.exists else None
-        cut = []
-        for r in rows.itertuples(index=False):
-            now = (r.hash, r.dhash or "", [float(x) for x in r.colour] if r.colour is not None and len(r.colour) == 48 else [])
-            if last is not None and _changed(last, now, limit):
-                cut.append(r.frameIndex)
-            last = now
-        if len(rows):
-            state.update(tuple(last))
-        yield pd.DataFrame({"video_id": [key[0]] * len(cut), "frameIndex": cut})
 
-    full = F.col("variants")["full"]
-    frames = stream.select("video_id", "frameIndex", full["hash"].alias("hash"), full["dhash"].alias("dhash"), F.col("signature.colorGrid").alias("colour")).filter("hash is not null")
-    return frames.groupBy("video_id").applyInPandasWithState(step, "video_id string, frameIndex int", "hash string, dhash string, colour array<double>", "append", GroupStateTimeout.NoTimeout)
+def online_cuts(stream: DataFrame, first: int = 1, patience: str | None = None, limit: int = 192) -> DataFrame:
+    """video_id, frameIndex of frames that differ from the one before: in more than `limit` bits of the hash, in more than 72 % of the dhash, or by more than 100 in
+    colour. Frames are taken in order, so a late one is compared with its own neighbours."""
+    return in_order(stream, first, patience, limit).filter("is_cut").select("video_id", "frameIndex")
 
 
 def _changed(last: tuple, now: tuple, limit: int) -> bool:
