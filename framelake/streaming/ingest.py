@@ -46,7 +46,7 @@ def in_order(stream: DataFrame, first: int = 1, patience: str | None = None, lim
     (as in align.cuts_of, against the frame released before; a frame without dhash or colours skips that test) and missing (how many frames before it were given up).
 
     State of a video: the index awaited, and a map of the frames that came early, which holds no more than what lies behind a hole. A hole that lasts longer than `patience` ("10 minutes", in
-    processing time) is given up when its timer runs out; without it the frames behind it wait. With timers a query goes on looking at them, so it takes a trigger of processing time, not availableNow. A frame that comes after its turn, or again, is left out. Needs the RocksDB state store."""
+    processing time) is given up when its timer runs out; without it the frames behind it wait. With timers a query goes on looking at them, so it takes a trigger of processing time, not availableNow; after a restart they run from the first batch with data on. A frame that comes after its turn, or again, is left out. Needs the RocksDB state store."""
     wait = None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000)
 
     class Order(StatefulProcessor):
