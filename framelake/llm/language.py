@@ -37,7 +37,11 @@ UNKNOWN = "und"
 
 
 def segments(word: bytes) -> list[str]:
-    return _LETTERS.findall(word.decode("utf-8", "replace").lower())
+    """Runs of letters. What only counts as alphanumeric (², ½, ①, Ⅷ) is none."""
+    found = _LETTERS.findall(word.decode("utf-8", "replace").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for run in found for part in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def _spell(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

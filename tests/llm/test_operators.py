@@ -400,12 +400,13 @@ def test_language_of_every_row(spark, empty):
     for i in range(120):
         lang = "en" if i % 2 else "fr"
         rows.append((i, " ".join("".join(rng.choice(syllables[lang], 3)) for _ in range(30)), lang if i % 9 else None))
-    rows += [(900, None, "en"), (901, "12 !?", "en"), (902, "", None)]
+    rows += [(900, None, "en"), (901, "12 !?", "en"), (902, "", None), (903, "² ½ ①Ⅷ", "fr")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language.fit(df)
     got = {r["doc_id"]: r for r in language.predict(df, model).collect()}
     assert all(got[i]["lang_pred"] == ("en" if i % 2 else "fr") and not got[i]["rejected"] for i in range(120))
-    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and got[i]["rejected"] for i in (900, 901, 902))
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and got[i]["rejected"] for i in (900, 901, 902, 903))
+    assert language.segments("th²ing ①abc½".encode()) == ["th", "ing", "abc"]
     assert language.accepted(df, model).count() == 120
     assert {r["lang_pred"] for r in language.predict(df, language.fit(empty)).collect()} == {"und"}
 
