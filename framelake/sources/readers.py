@@ -18,11 +18,17 @@ FRAMES_PER_BATCH = 300
 
 
 def read_records(spark: SparkSession, path: str, schema: str | T.StructType = FINGERPRINT) -> DataFrame:
-    """Records of a file or folder; malformed and blank lines are skipped. An array file is told by its first character."""
-    first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).limit(1).collect()
-    array = bool(first) and first[0]["value"].lstrip().startswith("[")
-    reader = spark.read.schema(schema).option("mode", "DROPMALFORMED")
-    return (reader.option("multiLine", True) if array else reader).json(path)
+    """Records of a file or folder; malformed and blank lines are skipped. Array files are told by their first character, each file by its own, so a folder may
+    hold both; of files of lines the lines are dealt to tasks, an array file is one task's."""
+    head = spark.read.format("text").option("lineSep", "\n").load(path).filter(F.length(F.trim("value")) > 0).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.substring(F.ltrim("value"), 1, 1).alias("c"))
+    first = head.groupBy("file", "at").agg(F.first("c").alias("c")).groupBy("file").agg(F.min_by("c", "at").alias("c"))
+    arrays = [r["file"] for r in first.filter("c = '['").collect()]
+    reader = lambda: spark.read.schema(schema).option("mode", "DROPMALFORMED")
+    if not arrays:
+        return reader().json(path)
+    lines = [r["file"] for r in first.filter("c <> '['").collect()]
+    found = reader().option("multiLine", True).json(arrays)
+    return found.unionByName(reader().json(lines)) if lines else found
 
 
 def parse_records(df: DataFrame, column: str, schema: str) -> DataFrame:

@@ -34,6 +34,32 @@ def test_raw_video_is_read_whole(spark, films, options):
     assert [r["timestamp"] for r in rows[7:]] == [0.0, 0.041708, 0.08] and rows[6]["timestamp"] == 0.24
 
 
+def test_filters_reach_the_files(spark, films):
+    """Frames outside the range are never read: the first ones could as well be gone."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    got = read(spark, films, filters="true").filter("video_id = 'a' and frameIndex > 2 and frameIndex <= 5")
+    assert sorted((r["video_id"], r["frameIndex"]) for r in got.collect()) == [("a", 3), ("a", 4), ("a", 5)]
+    r = video.FilteringReader({"path": str(films), "width": "32", "height": "24", "frames_per_task": "2"})
+    left = [*r.pushFilters([video.In(("video_id",), ("a", "b")), video.GreaterThan(("frameIndex",), 2), video.LessThan(("frameIndex",), 7), video.EqualTo(("width",), 3)])]
+    assert [type(f) for f in left] == [video.EqualTo] and [(p.path[-6], p.first, p.last) for p in r.partitions()] == [("a", 2, 3), ("a", 4, 5), ("b", 2, 2)]
+
+
+@pytest.mark.parametrize("options", [{"frames_per_task": 2}, {"decoder": f"{sys.executable} -c \"import sys; sys.stdout.buffer.write(open(sys.argv[1], 'rb').read())\" {{path}}"}])
+def test_an_extraction_goes_on_where_it_stopped(spark, films, tmp_path, options):
+    """Stopped after the first four frames of one video and none of the other: what is resumed has the hashes of an uninterrupted run."""
+    from framelake.streaming import store
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    path = str(tmp_path / "store")
+    key = lambda df: sorted((r["video_id"], r["frameIndex"], str(sorted(r["variants"].items()))) for r in df.collect())
+    load = lambda: read(spark, films, filters="true", **options)
+    store.write_batch(pixels.fingerprints(load().filter("video_id = 'a' and frameIndex <= 4")), path, 0)
+    left = video.rest(load, store.status(spark, path))
+    assert sorted((r["video_id"], r["frameIndex"]) for r in left.select("video_id", "frameIndex").collect()) == [("a", 5), ("a", 6), ("a", 7), ("b", 1), ("b", 2), ("b", 3)]
+    store.write_batch(pixels.fingerprints(left), path, 1)
+    assert key(store.read(spark, path)) == key(pixels.fingerprints(load())) and {r["state"] for r in store.status(spark, path).collect()} == {"whole"}
+
+
 def test_fingerprints_keep_given_times(spark, films):
     got = {(r["video_id"], r["frameIndex"]): r["timestamp"] for r in pixels.fingerprints(read(spark, films)).collect()}
     assert got["b", 2] == 0.041708 and got["a", 2] == 0.04 and len(got) == 10

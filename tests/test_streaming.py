@@ -168,6 +168,15 @@ def test_readers_take_lines_and_arrays(spark, tmp_path):
         assert readers.read_records(spark, str(path)).filter("frameIndex is not null").count() == 3
 
 
+def test_a_folder_of_both_formats_loses_no_frame(spark, tmp_path):
+    rows = [json.loads(record("v", k, "0")) for k in range(1, 8)]
+    (tmp_path / "a.json").write_text("\n \n" + json.dumps(rows[:3]))
+    (tmp_path / "b.json").write_text("\n".join(map(json.dumps, rows[3:5])) + "\n{broken\n")
+    (tmp_path / "c.json").write_text("[\n" + ",\n".join(map(json.dumps, rows[5:])) + "\n]\n")
+    (tmp_path / "d.json").write_text("")
+    assert sorted(r["frameIndex"] for r in readers.read_records(spark, str(tmp_path)).filter("frameIndex is not null").collect()) == list(range(1, 8))
+
+
 def test_malformed_records_go(spark):
     df = spark.createDataFrame([(1, '{"k": 5}'), (2, "{broken"), (3, "nonsense"), (4, None), (5, '{"k": null}'), (6, '{"k": "x"}')], "id int, r string")
     got = readers.parse_records(df, "r", "k BIGINT")
