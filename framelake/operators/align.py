@@ -29,6 +29,8 @@ SEED_SEPARATION, SEED_CANDIDATES = 50, 8
 FORCED_FRAMES, FORCED_MEAN, FORCED_JUMP = 10, 65, 50
 #: Frames of a reference that all pairs of variants are compared with at a time.
 SLICE = 512
+#: Frames of a run, which is held by its first frame and how far the others are from that.
+RUN = 16
 #: The longest reference, in frames, that a match takes into one task: about 120 MB with 13 variants.
 IN_ONE_TASK = 40_000
 
@@ -179,6 +181,27 @@ class Scores:
         self.s, self.m = clip, movie
         self.use_d = clip.d is not None and movie.d is not None and clip.d_bits == movie.d_bits
         self.use_flip = movie.fa is not None and clip.a_bits == movie.a_bits
+        self.seen = self.opened = 0  # frames asked for in long scans, and those of them that were compared
+        self._far: np.ndarray | None = None
+
+    @property
+    def far(self) -> np.ndarray:
+        """Of each run of the reference's frames at hand: the greatest distance, over all variants, between its first frame and another, in the measure of pairs (a weighted sum of
+        shares of differing bits, so the triangle inequality holds: no frame of the run is more like any frame than its first is, plus this)."""
+        if self._far is None:
+            m, n = self.m, len(self.m.time)
+            first = np.arange(n) // RUN * RUN
+            kinds = [(m.a, m.d)] + [(m.fa, m.fd)] * self.use_flip
+            off = np.zeros(n)
+            for a, d in kinds:
+                for part in range(0, n, 16 * SLICE):
+                    own = slice(part, part + 16 * SLICE)
+                    x = np.bitwise_count(a[own] ^ a[first[own]]).sum(axis=2, dtype=np.int64) / m.a_bits
+                    if self.use_d and d is not None:
+                        x = 0.55 * x + 0.45 * np.bitwise_count(d[own] ^ d[first[own]]).sum(axis=2, dtype=np.int64) / m.d_bits
+                    off[own] = np.maximum(off[own], x.max(axis=1))
+            self._far = np.maximum.reduceat(off, np.arange(0, n, RUN)) + 1e-9 if n else off
+        return self._far
 
     def pairs(self, si: int, mi: np.ndarray, every: bool) -> np.ndarray:
         """(positions, clip variants, movie variants): each pair of variants, the better of normal and mirrored. Clip variants: all, or the one
@@ -205,9 +228,15 @@ class Scores:
         step = SLICE if every else 16 * SLICE
         return np.concatenate([self.pairs(si, mi[a : a + step], every).reshape(len(mi[a : a + step]), -1).max(axis=1) for a in range(0, len(mi), step)]) * 100
 
-    def fast(self, si: int) -> np.ndarray:
-        """Of all frames of the reference that are here."""
-        return self.structure(si, np.arange(len(self.m.time)) + self.m.start, every=False)
+    def fast(self, si: int, floor: float = 0.0) -> np.ndarray:
+        """Of all frames of the reference that are here. Runs of which none can reach the floor are 0."""
+        n = len(self.m.time)
+        may = (self.structure(si, np.arange(0, n, RUN) + self.m.start, every=False) / 100 + self.far) * 100 >= floor
+        at = np.flatnonzero(np.repeat(may, RUN)[:n])
+        self.seen, self.opened = self.seen + n, self.opened + len(at)
+        out = np.zeros(n)
+        out[at] = self.structure(si, at + self.m.start, every=False)
+        return out
 
     def signature(self, si: int, mi: np.ndarray) -> np.ndarray:
         s, m = self.s, self.m
@@ -242,10 +271,35 @@ class Scores:
         """The best score and its place, the first on ties; a score of 0 is none."""
         if not (self.s.holds(si, si) and self.m.holds(int(mi[0]), int(mi[-1]))):
             raise LeftBand
+        if len(mi) > 8 * RUN:
+            return self._best_of_runs(si, int(mi[0]), int(mi[-1]))
         s = self.frame(si, mi)
         k = int(s.argmax())
         return (float(s[k]), int(mi[k])) if s[k] > 0 else (0.0, -1)
 
+    def _best_of_runs(self, si: int, low: int, high: int) -> tuple[float, int]:
+        """best() of the frames from low to high: runs by what they can reach at most, until that is less than the best so far."""
+        start = self.m.start
+        runs = np.arange((low - start) // RUN, (high - start) // RUN + 1)
+        h = np.minimum(1.0, self.structure(si, runs * RUN + start, every=True) / 100 + self.far[runs]) * 100
+        most = np.maximum(h, np.maximum(0.84 * h + 16, 0.70 * h + 30)) if self.s.has_signature[si - self.s.start] else h
+        order = np.argsort(-most, kind="stable")
+        best, at = 0.0, -1
+        self.seen += high - low + 1
+        k, step = 0, 2
+        while k < len(order) and most[order[k]] >= best:
+            some = order[k : k + step]
+            some = some[most[some] >= best]
+            k, step = k + step, min(2 * step, SLICE // RUN)
+            mi = np.sort((runs[some][:, None] * RUN + np.arange(RUN)).ravel()) + start
+            mi = mi[(mi >= low) & (mi <= high)]
+            self.opened += len(mi)
+            s = self.frame(si, mi)
+            top = int(s.argmax())
+            if s[top] > best or (at >= 0 and s[top] == best and mi[top] < at):
+                best, at = float(s[top]), int(mi[top])
+        return best, at
+
 
 def cuts_of(v: Video) -> np.ndarray:
     """Where the picture changes, of the frames at hand: little structure in common with the frame before, or a large change of colour."""
@@ -397,7 +451,7 @@ def align(clip: Video, movie: Video, min_similarity: float, min_frames: int, dri
         for first, last in chunks:
             best, best_key = None, (0, 0.0)
             for si in seeds_of(first, last, used):
-                top = candidates(score.fast(si), floor - 20)
+                top = candidates(score.fast(si, floor - 20), floor - 20)
                 if not top or top[0][1] < floor - 18:
                     continue
                 for mi, _ in top:

@@ -109,7 +109,7 @@ def _scored_seeds(seeds: DataFrame, index: DataFrame, floor: float) -> DataFrame
             for i in range(len(own)):
                 one = own.iloc[[i]].assign(pos=own["si"].iloc[i])
                 r = one.iloc[0]
-                sim = align.Scores(_video(one, "c_"), block).fast(int(r["si"]))
+                sim = align.Scores(_video(one, "c_"), block).fast(int(r["si"]), floor - 20)
                 at = np.flatnonzero(sim >= floor - 20)
                 if len(at):
                     out.append((r["match_id"], r["chunk"], r["place"], r["si"], r["block"], (at + block.start).astype(np.int32).tobytes(), sim[at].tobytes()))

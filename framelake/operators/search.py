@@ -2,40 +2,125 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.bits import hamming
 from framelake.functions.variants import compare_fingerprints
 
-#: Query rows that go to every task at once; more go in as many passes as it takes.
+#: Query rows that go to every task at once, as whole numbers; more go in as many passes as it takes.
 BLOCK_ROWS = 100_000
+#: Neighbouring reference frames that are held by their first and by how far the others are from it.
+RUN = 16
 
 
-def in_blocks(queries: DataFrame, key: str, search) -> DataFrame:
-    """search(block) over blocks of at most about BLOCK_ROWS queries: what is broadcast is bounded, the pass is exact."""
-    n = -(-queries.count() // BLOCK_ROWS)
-    if n <= 1:
-        return search(F.broadcast(queries))
-    out = None
+def _query_blocks(queries: DataFrame, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(si, words) of at most about BLOCK_ROWS queries at a time."""
+    q = queries.select(F.col("si").cast("bigint").alias("si"), *[F.col(f"w{k}") for k in range(words)])
+    n = max(1, -(-q.count() // BLOCK_ROWS))
     for k in range(n):
-        part = search(F.broadcast(queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == k)))
-        out = part if out is None else out.unionByName(part)
-    return out
+        t = (q if n == 1 else q.filter(F.pmod(F.xxhash64("si"), F.lit(n)) == k)).toArrow()
+        if t.num_rows:
+            yield t["si"].to_numpy(), np.stack([t[f"w{j}"].to_numpy().view(np.uint64) for j in range(words)], axis=1)
 
 
-def scores(queries: DataFrame, reference: DataFrame, size: int, words: int, floor: float | None = None) -> DataFrame:
-    """si, pos, agree: equal bits of each query and reference frame (columns si, w0.. and pos, w0..), at least `floor`."""
+def _off(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of packed hashes, summed over the words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+
+
+class Runs:
+    """A batch of reference frames by position, in runs of neighbours. As distances keep the triangle inequality, no frame of a run has more bits in common with a query than the
+    run's first frame has, plus the run's radius: runs that can't reach what is asked for are never opened, and nothing is lost."""
+
+    def __init__(self, batch: pa.RecordBatch, words: int, size: int):
+        pos = batch.column("pos").to_numpy(zero_copy_only=False)
+        order = np.argsort(pos, kind="stable")
+        self.pos, self.size = pos[order], size
+        self.w = np.stack([batch.column(f"w{k}").to_numpy(zero_copy_only=False).view(np.uint64)[order] for k in range(words)], axis=1)
+        self.first = np.arange(0, len(pos), RUN)
+        self.radius = np.maximum.reduceat(_off(self.w, self.w[np.arange(len(pos)) // RUN * RUN]), self.first)
+
+    def most(self, q: np.ndarray) -> np.ndarray:
+        """(run, query): the most bits that any frame of the run can have in common with a query."""
+        return self.size - _off(self.w[self.first][:, None], q[None]) + self.radius[:, None]
 
-    def against(block: DataFrame) -> DataFrame:
-        q = block.select("si", *[F.col(f"w{k}").alias(f"q{k}") for k in range(words)])
-        r = reference.select("pos", *[f"w{k}" for k in range(words)])
-        agree: Column = size - hamming([F.col(f"q{k}") for k in range(words)], [F.col(f"w{k}") for k in range(words)])
-        joined = r.join(q, agree >= floor if floor is not None else F.lit(True))
-        return joined.select("si", "pos", agree.alias("agree"))
+    def opened(self, run: np.ndarray, query: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(frame, query, bits in common) of the frames of these pairs of runs and queries."""
+        at = run[:, None] * RUN + np.arange(RUN)
+        here = at < len(self.pos)
+        frame, query = at[here], np.broadcast_to(query[:, None], at.shape)[here]
+        return frame, query, self.size - _off(self.w[frame], q[query])
 
-    return in_blocks(queries, "si", against)
+
+def _each(reference: DataFrame, words: int, scan, kind: str) -> DataFrame:
+    return reference.select(F.col("pos").cast("bigint").alias("pos"), *[f"w{k}" for k in range(words)]).mapInArrow(scan, kind)
+
+
+def scores(queries: DataFrame, reference: DataFrame, size: int, words: int, floor: float | None = None) -> DataFrame:
+    """si, pos, agree: equal bits of each query and reference frame (columns si, w0.. and pos, w0..), at least `floor`. The reference is scanned where it lies, run by run."""
+    spark, out = reference.sparkSession, None
+    for si, q in _query_blocks(queries, words):
+        sent = spark.sparkContext.broadcast((si, q))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            si, q = sent.value
+            for b in batches:
+                for at in range(0, b.num_rows, 64 * RUN):
+                    runs = Runs(b.slice(at, 64 * RUN), words, size)
+                    for k in range(0, len(q), 512):
+                        own = q[k : k + 512]
+                        run, query = np.nonzero(runs.most(own) >= (0 if floor is None else floor))
+                        frame, query, agree = runs.opened(run, query, own)
+                        keep = agree >= (0 if floor is None else floor)
+                        yield pa.RecordBatch.from_arrays([pa.array(si[k : k + 512][query[keep]]), pa.array(runs.pos[frame[keep]]), pa.array(agree[keep])], names=["si", "pos", "agree"])
+
+        part = _each(reference, words, scan, "si bigint, pos bigint, agree int")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "si bigint, pos bigint, agree int") if out is None else out
+
+
+def best_of(queries: DataFrame, reference: DataFrame, size: int, words: int, floor: float = 1, opened=None) -> DataFrame:
+    """nearest() of scores(), without its pairs: si, pos, agree. A task takes runs by what they can reach and opens those that can still beat its best so far. opened: an
+    accumulator for the number of frames compared."""
+    spark, out = reference.sparkSession, None
+    for si, q in _query_blocks(queries, words):
+        sent = spark.sparkContext.broadcast((si, q))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            si, q = sent.value
+            best, place = np.full(len(q), -1, np.int64), np.zeros(len(q), np.int64)
+            least = max(1, floor)
+            for b in batches:
+                for start in range(0, b.num_rows, 64 * RUN):
+                    runs = Runs(b.slice(start, 64 * RUN), words, size)
+                    for k in range(0, len(q), 512):
+                        most = runs.most(q[k : k + 512])
+                        order = np.argsort(-most, axis=0, kind="stable")
+                        for turn in range(len(order)):
+                            run = order[turn]
+                            ok = np.flatnonzero(most[run, np.arange(len(run))] >= np.maximum(best[k : k + 512], least))
+                            if not len(ok):
+                                break
+                            frame, query, agree = runs.opened(run[ok], ok, q[k : k + 512])
+                            if opened is not None:
+                                opened.add(len(frame))
+                            by = np.lexsort((runs.pos[frame], -agree, query))
+                            top = by[np.append(True, query[by][1:] != query[by][:-1])]
+                            to = query[top] + k
+                            better = (agree[top] >= least) & ((agree[top] > best[to]) | ((agree[top] == best[to]) & (runs.pos[frame[top]] < place[to])))
+                            best[to[better]], place[to[better]] = agree[top][better], runs.pos[frame[top]][better]
+            some = np.flatnonzero(best >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(si[some]), pa.array(place[some]), pa.array(best[some].astype(np.int32))], names=["si", "pos", "agree"])
+
+        part = _each(reference, words, scan, "si bigint, pos bigint, agree int")
+        out = part if out is None else out.unionByName(part)
+    return nearest(spark.createDataFrame([], "si bigint, pos bigint, agree int") if out is None else out)
 
 
 def nearest(found: DataFrame) -> DataFrame:
@@ -46,7 +131,7 @@ def nearest(found: DataFrame) -> DataFrame:
 
 def coarse_to_fine(queries: DataFrame, reference: DataFrame, size: int, words: int, step: int = 10, reach: int = 30) -> DataFrame:
     """Nearest among every step-th position, then nearest within reach of it."""
-    coarse = nearest(scores(queries, reference.filter(F.col("pos") % step == 0), size, words)).select("si", F.col("pos").alias("centre"))
+    coarse = best_of(queries, reference.filter(F.col("pos") % step == 0), size, words).select("si", F.col("pos").alias("centre"))
     return nearest(around(queries.join(coarse, "si"), reference, size, words, reach))
 
 

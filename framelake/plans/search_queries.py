@@ -10,12 +10,12 @@ from framelake.plans import views as V
 
 
 def nn_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.nearest(search.scores(V.searches(spark, sf_dir), V.frames(spark, sf_dir), 64, 1, floor=40))
+    return search.best_of(V.searches(spark, sf_dir), V.frames(spark, sf_dir), 64, 1, floor=40)
 
 
 def nn_stride5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against each fifth frame, as the feature has it."""
-    return search.nearest(search.scores(V.searches(spark, sf_dir), V.frames(spark, sf_dir).filter("pos % 5 = 0"), 64, 1))
+    return search.best_of(V.searches(spark, sf_dir), V.frames(spark, sf_dir).filter("pos % 5 = 0"), 64, 1)
 
 
 def nn_coarse_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def seed_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forced_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = search.nearest(search.scores(V.searches(spark, sf_dir), V.frames(spark, sf_dir), 64, 1))
+    best = search.best_of(V.searches(spark, sf_dir), V.frames(spark, sf_dir), 64, 1)
     return best.groupBy().agg(F.count("*").alias("frames"), F.round(F.avg(F.col("agree") / 64 * 100), 6).alias("mean_best"))
 
 

@@ -82,7 +82,7 @@ def global_best_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each search's best frame by the mean over variants of the same name."""
     f = _side_by_side(spark, sf_dir)
     q = f.filter("pos % 100 = 0").select(F.floor(F.col("pos") / 100).cast("bigint").alias("si"), "w0", "w1", "w2")
-    best = search.nearest(search.scores(q, f, 192, 3))
+    best = search.best_of(q, f, 192, 3)
     return best.select("si", "pos", F.round(F.col("agree") / 192 * 100, 6).alias("mean"))
 
 
@@ -90,7 +90,7 @@ def local_best_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within three frames of the search's nearest frame by the whole picture among each tenth and around it."""
     f = _side_by_side(spark, sf_dir)
     q = f.filter("pos % 100 = 0").select(F.floor(F.col("pos") / 100).cast("bigint").alias("si"), "w0", "w1", "w2")
-    centre = search.nearest(search.scores(q, f.filter("pos % 7 = 0"), 64, 1)).select("si", F.col("pos").alias("centre"))
+    centre = search.best_of(q, f.filter("pos % 7 = 0"), 64, 1).select("si", F.col("pos").alias("centre"))
     best = search.nearest(search.around(q.join(centre, "si"), f, 192, 3, 3))
     return best.select("si", "pos", F.round(F.col("agree") / 192 * 100, 6).alias("mean"))
 

@@ -179,3 +179,29 @@ def test_clusters_go_on_from_block_to_block():
         else:
             kept.append((k, s[k]))
     assert parts.best() == sorted(kept, key=lambda c: (-c[1], c[0]))[:8] == align.candidates(s, 20)
+
+
+def test_runs_are_skipped_and_nothing_is_lost():
+    """Scans that open runs by what they can reach give what a scan of every frame gives, ties included, and open few frames."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    movie = film(rng, 900, 75)
+    movie += movie[100:130]  # the same frames again: ties
+    clips = {"own": shaken(rng, movie[100:112], 0.02), "foreign": film(rng, 6, 6), "bare": [(f[0], None) for f in movie[300:304]], "mirror": mirror(movie[500:506])}
+    packed = lambda frames: pd.DataFrame([{"frameIndex": k, "timestamp": k / 25, **dict(zip(("layout", "words"), align._pack_frame(f[0]), strict=True)), **{n: f[1] and f[1][g] for n, g in (("colour", "colorGrid"), ("skin", "skinScoreGrid"), ("detail", "detailGrid"))}} for k, f in enumerate(frames)])
+    whole = align.Video.of(packed(movie))
+    for name, clip in clips.items():
+        score = align.Scores(align.Video.of(packed(clip)), whole)
+        for si in range(len(clip)):
+            every = score.frame(si, np.arange(930))
+            assert score.best(si, np.arange(930)) == (every.max(), every.argmax()), name
+            assert score.best(si, np.arange(37, 700)) == (every[37:700].max(), 37 + every[37:700].argmax())
+            plain_fast = score.structure(si, np.arange(930), every=False)
+            for floor in (0, 62, 80):
+                fast = score.fast(si, floor)
+                assert (fast[plain_fast >= floor] == plain_fast[plain_fast >= floor]).all() and (fast[plain_fast < floor] < max(floor, 1e-9) + 100 * (floor == 0)).all()
+    score = align.Scores(align.Video.of(packed(clips["own"])), whole)
+    for si in range(12):
+        score.best(si, np.arange(930))
+    assert score.opened < 0.3 * score.seen
