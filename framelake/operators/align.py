@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.display import match_parameters
@@ -534,10 +534,17 @@ def crop_name(name: str) -> str:
     return "Full Frame" if name == "full" else name
 
 
-def index_frames(frames: DataFrame, videos: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
-    """(packed records with `pos` from 0 in each video; video_id, total, first, coloured) of the videos listed (video_id), packed once and written in order. A long video
-    lies in many partitions; positions come from the partitions' counts."""
-    wanted = packed(frames.join(videos.select("video_id").distinct(), "video_id", "left_semi"))
+@dataclass
+class Index:
+    """Packed records with `pos` from 0 in each video, and a row for each video: video_id, total, first (the first frame's layout), coloured (whether all frames are)."""
+
+    frames: DataFrame
+    videos: DataFrame
+
+
+def index_frames(frames: DataFrame, videos: DataFrame | None, stages: Stages) -> Index:
+    """Of the videos listed (video_id), or of all: packed once and written in order. A long video lies in many partitions; positions come from the partitions' counts."""
+    wanted = packed(frames if videos is None else frames.join(videos.select("video_id").distinct(), "video_id", "left_semi"))
     at = F.monotonically_increasing_id()
     rows = stages.written(wanted.repartitionByRange("video_id", "frameIndex").sortWithinPartitions("video_id", "frameIndex").withColumn("at", at))
     part = F.shiftright("at", 33).alias("part")
@@ -546,21 +553,39 @@ def index_frames(frames: DataFrame, videos: DataFrame, stages: Stages) -> tuple[
     runs = stages.written(runs.select("video_id", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift")))
     index = rows.withColumn("part", part).join(runs, ["video_id", "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("part", "at", "shift")
     about = rows.groupBy("video_id").agg(F.count("*").alias("total"), F.min_by("layout", "at").alias("first"), F.bool_and(F.coalesce(F.size("colour") == 48, F.lit(False))).alias("coloured"))
-    return index, stages.written(about)
+    return Index(index, stages.written(about))
+
+
+def save_index(frames: DataFrame, name: str, buckets: int = 64) -> None:
+    """Packs the frames of all videos once, for any number of matches: tables name_frames, bucketed and sorted by video, and name_videos."""
+    stages = Stages(frames.sparkSession)
+    made = index_frames(frames, None, stages)
+    made.frames.repartition(buckets, "video_id").write.mode("overwrite").bucketBy(buckets, "video_id").sortBy("video_id", "pos").saveAsTable(f"{name}_frames")
+    made.videos.write.mode("overwrite").saveAsTable(f"{name}_videos")
+    stages.clear()
+
+
+def load_index(spark: SparkSession, name: str, pairs: DataFrame, most: int = 1000) -> Index:
+    """A saved index, for these pairs: with at most `most` videos among them, only their buckets are read; a join by video doesn't shuffle the frames in any case."""
+    listed = pairs.select(F.explode(F.array("clip_id", "movie_id")).alias("video_id")).distinct()
+    few = [r["video_id"] for r in listed.limit(most + 1).collect()]
+    frames = spark.table(f"{name}_frames")
+    frames = frames.filter(F.col("video_id").isin(few)) if len(few) <= most else frames.join(listed, "video_id", "left_semi")
+    return Index(frames, spark.table(f"{name}_videos").join(listed, "video_id", "left_semi"))
 
 
-def find_segments(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82, min_frames: int = 9, drift: int = 3, in_one_task: int = IN_ONE_TASK, stages: Stages | None = None) -> DataFrame:
-    """Raw segments of each pair (match_id, clip_id, movie_id), written; frames: video_id and the fingerprint columns."""
+def find_segments(pairs: DataFrame, frames: DataFrame | Index, min_similarity: float = 82, min_frames: int = 9, drift: int = 3, in_one_task: int = IN_ONE_TASK, stages: Stages | None = None) -> DataFrame:
+    """Raw segments of each pair (match_id, clip_id, movie_id), written; frames: video_id and the fingerprint columns, or a loaded index."""
     from framelake.operators import bands
 
     limits = match_parameters(min_similarity, min_frames, drift)
     stages = stages or Stages(pairs.sparkSession)
-    videos = pairs.select(F.explode(F.array("clip_id", "movie_id")).alias("video_id"))
-    index, about = index_frames(frames, videos, stages)
-    sized = stages.written(pairs.select("match_id", "clip_id", "movie_id").join(about.select(F.col("video_id").alias("movie_id"), F.greatest("total", F.lit(0)).alias("total")), "movie_id"))
+    index = frames if isinstance(frames, Index) else index_frames(frames, pairs.select(F.explode(F.array("clip_id", "movie_id")).alias("video_id")), stages)
+    total = index.videos.select(F.col("video_id").alias("movie_id"), "total")
+    sized = stages.written(pairs.select("match_id", "clip_id", "movie_id").join(total, "movie_id"))
     short, long = sized.filter(F.col("total") <= in_one_task), sized.filter(F.col("total") > in_one_task)
-    found = stages.written(_in_one_task(short, index, limits))
-    return found if long.isEmpty() else found.unionByName(bands.find_segments(long, index, about, limits, stages))
+    found = stages.written(_in_one_task(short, index.frames, limits))
+    return found if long.isEmpty() else found.unionByName(bands.find_segments(long, index.frames, index.videos, limits, stages))
 
 
 def _in_one_task(pairs: DataFrame, index: DataFrame, limits: tuple) -> DataFrame:
@@ -579,8 +604,9 @@ def _in_one_task(pairs: DataFrame, index: DataFrame, limits: tuple) -> DataFrame
     return side("clip_id").groupBy("match_id").cogroup(side("movie_id").groupBy("match_id")).applyInPandas(run, SEGMENT)
 
 
-def match_videos(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82, min_frames: int = 9, drift: int = 3, in_one_task: int = IN_ONE_TASK) -> tuple[DataFrame, DataFrame]:
-    """(segments, unmatched): final segments of each match, and the clip's stretches that none of them uses. The raw segments are found, and written, here."""
+def match_videos(pairs: DataFrame, frames: DataFrame | Index, min_similarity: float = 82, min_frames: int = 9, drift: int = 3, in_one_task: int = IN_ONE_TASK) -> tuple[DataFrame, DataFrame]:
+    """(segments, unmatched): final segments of each match, and the clip's stretches that none of them uses. The raw segments are found, and written, here. Of a loaded index
+    frames without hashes are not known, so they are in no unmatched stretch."""
     raw = find_segments(pairs, frames, min_similarity, min_frames, drift, in_one_task).filter("frameCount > 0")
     us = lambda c: F.floor(F.col(c) * 1_000_000 + 0.5).cast("bigint")  # noqa: E731  times come in whole microseconds
     base = raw.select(
@@ -607,7 +633,7 @@ def match_videos(pairs: DataFrame, frames: DataFrame, min_similarity: float = 82
     # A clip frame is used if a final segment's sequence holds its time, to four digits.
     key = lambda c: F.format_string("%.4f", c)
     used = final.select("match_id", F.explode("matchSequence").alias("q")).select("match_id", key(F.col("q.shortTime")).alias("k")).distinct()
-    clip = pairs.select("match_id", F.col("clip_id").alias("video_id")).join(frames.select("video_id", "frameIndex", "timestamp"), "video_id")
+    clip = pairs.select("match_id", F.col("clip_id").alias("video_id")).join((frames.frames if isinstance(frames, Index) else frames).select("video_id", "frameIndex", "timestamp"), "video_id")
     clip = ordered.with_position(clip, "match_id", "frameIndex").withColumn("k", key(F.col("timestamp")))
     rest = ordered.runs_of(clip.join(used, ["match_id", "k"], "left_anti"), "match_id", "timestamp")
     return out, rest.select("match_id", F.col("start").alias("shortStart"), F.col("end").alias("shortEnd"))

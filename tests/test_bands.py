@@ -138,12 +138,45 @@ def test_times_of_other_rates_are_kept(spark, planted):
 def test_positions_run_through_partitions(spark, planted):
     *_, frames, pairs = planted
     videos = spark.createDataFrame([("movie",), ("crop",)], "video_id STRING")
-    index, about = align.index_frames(frames, videos, Stages(spark))
+    made = align.index_frames(frames, videos, Stages(spark))
+    index, about = made.frames, made.videos
     got = index.select("video_id", "pos", "frameIndex").collect()
     assert {(r["video_id"], r["pos"], r["frameIndex"]) for r in got} == {("movie", k, k + 1) for k in range(360)} | {("crop", k, k + 1) for k in range(25)}
     assert {(r["video_id"], r["total"], r["coloured"]) for r in about.collect()} == {("movie", 360, True), ("crop", 25, True)}
 
 
+def test_a_saved_index_is_read_by_bucket_and_gives_the_same(spark, planted):
+    """Packed once; a match reads the buckets of its videos alone, and its join by video shuffles no frames."""
+    *_, frames, pairs = planted
+    align.save_index(frames, "packed_test", buckets=16)
+    two = pairs.filter("clip_id in ('mirror', 'crop')")
+    index = align.load_index(spark, "packed_test", two)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan doesn't tell the buckets
+    plan = align.load_index(spark, "packed_test", two).frames._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    chosen = int(plan.split("SelectedBucketsCount: ")[1].split(" out of 16")[0])
+    assert chosen <= 3 and "mapInPandas" not in plan and "MapInPandas" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = two.selectExpr("match_id", "movie_id as video_id").repartition(2).join(spark.table("packed_test_frames"), "video_id").explain
+        import contextlib
+        import io
+
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            joined()
+        shuffles = out.getvalue().count("Exchange hashpartitioning(video_id")
+        assert shuffles == 1  # of the pairs
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    key = lambda rows: sorted((r["match_id"], r["emit_seq"], r["shortStart"], r["movieEnd"], r["confidence"], r["frameCount"]) for r in rows)
+    for limit in (0, align.IN_ONE_TASK):
+        assert key(align.find_segments(two, index, in_one_task=limit).collect()) == key(align.find_segments(two, frames).collect())
+    assert align.match_videos(two, align.load_index(spark, "packed_test", two, most=1))[0].count() >= 2
+    for name in ("frames", "videos"):
+        spark.sql(f"DROP TABLE packed_test_{name}")
+
+
 def test_a_walk_that_leaves_its_band_says_so():
     rng = np.random.default_rng(0)
     movie, clips = cases()
