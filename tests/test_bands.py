@@ -170,8 +170,7 @@ def test_a_saved_index_is_read_by_bucket_and_gives_the_same(spark, planted):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     key = lambda rows: sorted((r["match_id"], r["emit_seq"], r["shortStart"], r["movieEnd"], r["confidence"], r["frameCount"]) for r in rows)
-    for limit in (0, align.IN_ONE_TASK):
-        assert key(align.find_segments(two, index, in_one_task=limit).collect()) == key(align.find_segments(two, frames).collect())
+    assert key(align.find_segments(two, index).collect()) == key(align.find_segments(two, frames).collect())
     assert align.match_videos(two, align.load_index(spark, "packed_test", two, most=1))[0].count() >= 2
     for name in ("frames", "videos"):
         spark.sql(f"DROP TABLE packed_test_{name}")
