@@ -42,7 +42,7 @@ def chunks_of(pairs: DataFrame, index: DataFrame, about: DataFrame) -> DataFrame
         v = align.Video.of(rows, r["first"], int(r["total"]), bool(r["coloured"]))
         at = np.arange(len(v.time)) + v.start
         here = at >= int(r["block"]) * BLOCK
-        return pd.DataFrame({"video_id": r["video_id"], "pos": at[here], "is_cut": align.cuts_of(v)[here]})
+        return pd.DataFrame({"video_id": pd.Series([r["video_id"]] * int(here.sum()), dtype=object), "pos": at[here], "is_cut": align.cuts_of(v)[here]})
 
     cuts = own.select("video_id", "block", "pos", *_PAYLOAD, "first", "total", "coloured").groupBy("video_id", "block").applyInPandas(run, "video_id string, pos bigint, is_cut boolean")
     runs = ordered.scene_chunks(cuts, "video_id").select(F.col("video_id").alias("clip_id"), F.col("chunk_id").cast("int").alias("chunk"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
@@ -113,7 +113,7 @@ def _scored_seeds(seeds: DataFrame, index: DataFrame, floor: float) -> DataFrame
                 at = np.flatnonzero(sim >= floor - 20)
                 if len(at):
                     out.append((r["match_id"], r["chunk"], r["place"], r["si"], r["block"], (at + block.start).astype(np.int32).tobytes(), sim[at].tobytes()))
-        return pd.DataFrame(out, columns=["match_id", "chunk", "place", "si", "block", "at", "sim"])
+        return pd.DataFrame(out, columns=["match_id", "chunk", "place", "si", "block", "at", "sim"]).astype({"match_id": object})
 
     key = ["movie_id", "block", "share"]
     return rows.groupBy(*key).cogroup(_anew(frames, "pos", *_PAYLOAD, *key).groupBy(*key)).applyInPandas(run, "match_id string, chunk int, place int, si int, block int, at binary, sim binary")
@@ -173,7 +173,7 @@ def _walked(tries: DataFrame, index: DataFrame, reach: int, limits: tuple, floor
         if path and len(path) >= align.enough(int(r["start"]), int(r["end"]), min_frames):
             state = 1
         s, m, v = ([p[k] for p in path] if state == 1 else None for k in range(3))
-        return pd.DataFrame({**{k: [r[k]] for k in key}, "state": [state], "s": [s], "m": [m], "v": [v]})
+        return pd.DataFrame({**{k: [r[k]] for k in key}, "state": [state], "s": [s], "m": [m], "v": [v]}).astype({"match_id": object})
 
     paths = clip.groupBy(*key).cogroup(_anew(movie, *key, "pos", *_PAYLOAD).groupBy(*key)).applyInPandas(run, f"match_id string, chunk int, place int, turn int, state int, {_PATH}")
     return paths
@@ -218,7 +218,7 @@ def _forced(chunks: DataFrame, index: DataFrame, about: DataFrame, stages: Stage
                 sim, mi = align.Scores(_video(part, "c_"), block).best(int(si), here)
                 if mi >= 0:
                     out.append((match, chunk, si, mi, sim))
-        return pd.DataFrame(out, columns=["match_id", "chunk", "si", "mi", "sim"])
+        return pd.DataFrame(out, columns=["match_id", "chunk", "si", "mi", "sim"]).astype({"match_id": object})
 
     key = ["movie_id", "block", "share"]
     best = rows.groupBy(*key).cogroup(_anew(frames, "pos", *_PAYLOAD, *key).groupBy(*key)).applyInPandas(run, "match_id string, chunk int, si int, mi int, sim double")
@@ -276,7 +276,7 @@ def _segments(paths: DataFrame, index: DataFrame) -> DataFrame:
                 one, two = (pd.DataFrame([r[c]]) for c in ("own", "other"))
                 score = align.Scores(align.Video.of(one, r["c_first"], int(r["c_total"]), bool(r["c_coloured"])), align.Video.of(two, r["m_first"], int(r["m_total"]), bool(r["m_coloured"])))
                 out.append(align.detail_of(score, int(r["ts"]), int(r["tm"])))
-            yield pd.DataFrame({"match_id": b["match_id"], "emit_seq": b["emit_seq"], "bestFrameDetail": out})
+            yield pd.DataFrame({"match_id": b["match_id"].astype(object), "emit_seq": b["emit_seq"], "bestFrameDetail": out})
 
     told = [p + c for p in ("c_", "m_") for c in ("first", "total", "coloured")]
     detail = two.select(*key, "ts", "tm", "own", "other", *told).mapInPandas(details, f"match_id string, emit_seq int, bestFrameDetail {align.DETAIL}")

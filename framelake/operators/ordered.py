@@ -128,7 +128,7 @@ def _kept(segments: DataFrame, match: str, keep: Callable[[pd.DataFrame], np.nda
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         ids = keep(rows)
-        return pd.DataFrame({match: [rows[match].iloc[0]] * len(ids), "seg_id": ids})
+        return pd.DataFrame({match: pd.Series([rows[match].iloc[0]] * len(ids), dtype=object), "seg_id": ids})
 
     kinds = {c: segments.schema[c].dataType.simpleString() for c in (match, "seg_id")}
     kept = segments.select(match, "seg_id", *columns).groupBy(match).applyInPandas(fold, ", ".join(f"{c} {k}" for c, k in kinds.items()))

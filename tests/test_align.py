@@ -136,3 +136,11 @@ def test_odd_frames_are_packed_by_the_first(spark):
                 bits = "".join(map(str, np.unpackbits(table[row, col].view(np.uint8))[:size]))
                 assert bits == (own if len(own) == size else "0" * size)
     assert got.hash_of(0) == by[1]["full"]["hash"] and align.Video.of(align.packed(df.filter("frameIndex > 4 and frameIndex < 7")).toPandas()) is None
+
+
+def test_a_match_may_lose_all_its_segments(spark):
+    from framelake.operators import ordered
+
+    rows = [("gone", k, 50.0, 5, True, k * 9000, k * 9000 + 100, k * 90000, k * 90000 + 100) for k in range(3)] + [("stays", 9, 90.0, 30, False, 0, 100, 0, 100)]
+    df = spark.createDataFrame(rows, "match_id string, seg_id bigint, conf double, frames bigint, approx boolean, ss bigint, se bigint, ms bigint, me bigint")
+    assert [r["match_id"] for r in ordered.validate_context(ordered.drop_overlaps(df, "match_id"), "match_id").collect()] == ["stays"]
