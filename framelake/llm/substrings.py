@@ -10,14 +10,16 @@ covers goes. The trees hold sampled suffixes, each with the few words before it:
    work: where it says yes wrongly, or is too small for the corpus, more suffixes go on and the result is the same.
 3. The suffixes that are left are dealt out by their prefix. A prefix with more than `group` suffixes is too much for a
    task: it is lengthened to the whole window, which gives a group for each window. Suffixes that a task has met with
-   the same words all around go out once and are answered at once, so a group of copies costs a row for
-   each task and not for each copy.
+   the same words all around in one chunk of text (about 1 MB) go out once and are answered at once, so a group of copies costs a row for
+   each chunk and not for each copy.
 4. A task builds the trees of its suffixes: sorted suffixes and the words that neighbours have in common. An internal
    node of depth d holds the suffixes that share d words; those of them that also share the `window` - d words before are
    a repeat that extends to both sides. Every depth from `anchor` to `window` is looked at, so all repeated windows are
    found, and overlapping ones add up to the maximal repeat.
 5. The covered ranges meet their texts by doc_id and text hash.
 
+Words are compared by 32 bits of their hashes: two windows that differ in one word alone are taken as equal with a probability of 2^-32.
+
 Rows: a null text has no words. Repeated rows, also those with the same or a null doc_id, repeat each other, and each row is
 cut by its own text. Very long texts are suffixes like all others. An empty table gives an empty result. Extra columns are ignored.
 """
