@@ -598,7 +598,7 @@ def _in_one_task(pairs: DataFrame, index: DataFrame, limits: tuple) -> DataFrame
         rows = [] if None in videos else align(*videos, *limits)
         out = pd.DataFrame(rows, columns=_COLUMNS)
         out["emit_seq"] = np.arange(len(rows))
-        out["match_id"] = pd.Series([clip["match_id"].iloc[0]] * len(rows), dtype=object)
+        out["match_id"] = pd.Series([clip["match_id"].iloc[0] for _ in rows], dtype=object)
         return out
 
     return side("clip_id").groupBy("match_id").cogroup(side("movie_id").groupBy("match_id")).applyInPandas(run, SEGMENT)
