@@ -33,6 +33,10 @@ SLICE = 512
 RUN = 16
 #: The longest reference, in frames, that a match takes into one task: about 120 MB with 13 variants.
 IN_ONE_TASK = 40_000
+#: About so many frames of clips go to a task, which has their reference once.
+CLIP_FRAMES = 2048
+#: Scores of frames near walks are made so many positions at a time, or of all at hand up to WHOLE where a frame has few variants; at most KEPT are held.
+NEAR, WHOLE, FEW_PAIRS, KEPT = 128, 1024, 16, 4_000_000
 
 DETAIL = "struct<cropRegion: string, structureSim: double, colorSim: double, skinSim: double, detailSim: double, movieHash: string, shortHash: string>"
 SEGMENT = (
@@ -104,6 +108,7 @@ class Video:
     mag: np.ndarray | None = None
     start: int = 0
     total: int = 0
+    far: dict = field(default_factory=dict)  # what Scores finds out about runs of these frames, once for all clips
 
     @staticmethod
     def of(rows: pd.DataFrame, first: str | None = None, total: int | None = None, coloured: bool | None = None) -> Video | None:
@@ -118,9 +123,10 @@ class Video:
         k, want = len(names), [next((s[j] for s in sizes if s[j]), 0) for j in range(len(_KINDS))]
         start = np.cumsum([0, *(-(-w // 64) for w in want)])
         whole, first = all(s == want for s in sizes), layouts[0] if first is None else first
-        table = np.zeros((n, k, start[-1]), np.uint64)
+        alike = whole and all(x == first for x in layouts)
+        table = np.frombuffer(b"".join(words), np.uint64).reshape(n, k, -1) if alike else np.zeros((n, k, start[-1]), np.uint64)
         place, read = {name: i for i, name in enumerate(names)}, {}
-        for f in range(n):
+        for f in range(0 if alike else n):
             got = np.frombuffer(words[f], np.uint64)
             if whole and layouts[f] == first:
                 table[f] = got.reshape(k, -1)
@@ -140,7 +146,7 @@ class Video:
         out.start, out.total = (0, n) if total is None else (int(rows["pos"].iloc[0]), total)
         ok = np.array([_length(c) == 48 for c in rows["colour"]])
         out.has_signature = ok
-        grid = lambda key, size: np.array([np.asarray(x, float) if good else np.zeros(size) for x, good in zip(rows[key], ok, strict=True)])
+        grid = lambda key, size: np.stack([np.asarray(x, float) if good else np.zeros(size) for x, good in zip(rows[key], ok, strict=True)])
         raw = grid("colour", 48)
         channels = raw.reshape(n, 16, 3)
         out.colour = ((channels - channels.mean(axis=1, keepdims=True)) / np.maximum(channels.std(axis=1, keepdims=True), 8)).reshape(n, 48)
@@ -182,13 +188,15 @@ class Scores:
         self.use_d = clip.d is not None and movie.d is not None and clip.d_bits == movie.d_bits
         self.use_flip = movie.fa is not None and clip.a_bits == movie.a_bits
         self.seen = self.opened = 0  # frames asked for in long scans, and those of them that were compared
-        self._far: np.ndarray | None = None
+        self._near: dict[tuple[int, int], np.ndarray] = {}
+        self._held = 0
 
     @property
     def far(self) -> np.ndarray:
         """Of each run of the reference's frames at hand: the greatest distance, over all variants, between its first frame and another, in the measure of pairs (a weighted sum of
         shares of differing bits, so the triangle inequality holds: no frame of the run is more like any frame than its first is, plus this)."""
-        if self._far is None:
+        key = self.use_d, self.use_flip
+        if key not in self.m.far:
             m, n = self.m, len(self.m.time)
             first = np.arange(n) // RUN * RUN
             kinds = [(m.a, m.d)] + [(m.fa, m.fd)] * self.use_flip
@@ -200,8 +208,8 @@ class Scores:
                     if self.use_d and d is not None:
                         x = 0.55 * x + 0.45 * np.bitwise_count(d[own] ^ d[first[own]]).sum(axis=2, dtype=np.int64) / m.d_bits
                     off[own] = np.maximum(off[own], x.max(axis=1))
-            self._far = np.maximum.reduceat(off, np.arange(0, n, RUN)) + 1e-9 if n else off
-        return self._far
+            m.far[key] = np.maximum.reduceat(off, np.arange(0, n, RUN)) + 1e-9 if n else off
+        return self.m.far[key]
 
     def pairs(self, si: int, mi: np.ndarray, every: bool) -> np.ndarray:
         """(positions, clip variants, movie variants): each pair of variants, the better of normal and mirrored. Clip variants: all, or the one
@@ -211,8 +219,11 @@ class Scores:
         si, mi = si - self.s.start, mi - self.m.start
 
         def share(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-            x = a[si, own][None, :, None, :] ^ b[mi][:, None, :, :]
-            return 1 - np.bitwise_count(x).sum(axis=3, dtype=np.int64) / bits
+            one, other = a[si, own], b[mi]
+            off = np.zeros((len(mi), len(one), other.shape[1]), np.uint16)
+            for w in range(a.shape[2]):
+                off += np.bitwise_count(one[None, :, None, w] ^ other[:, None, :, w])
+            return 1 - off.astype(float) / bits
 
         def pair(a: np.ndarray, d: np.ndarray | None) -> np.ndarray:
             out = share(self.s.a, a, self.s.a_bits)
@@ -255,7 +266,7 @@ class Scores:
             return np.full(len(mi), -1.0)
         own, at = si - self.s.start, mi - self.m.start
         a, b = self.s.mag[own], self.m.mag[at]
-        cosine = (self.m.delta[at] @ self.s.delta[own]) / np.maximum(a * b, 1e-12)
+        cosine = (self.m.delta[at] * self.s.delta[own]).sum(axis=1) / np.maximum(a * b, 1e-12)  # row by row: a product's last bits would depend on its neighbours
         out = np.where((a < 6) & (b < 6), 78.0, np.where((a < 6) | (b < 6), 38.0, (cosine + 1) / 2 * 100))
         return np.where(mi == 0, -1.0, out)
 
@@ -273,10 +284,27 @@ class Scores:
             raise LeftBand
         if len(mi) > 8 * RUN:
             return self._best_of_runs(si, int(mi[0]), int(mi[-1]))
-        s = self.frame(si, mi)
+        s = self.near(si, int(mi[0]), int(mi[-1]))
         k = int(s.argmax())
         return (float(s[k]), int(mi[k])) if s[k] > 0 else (0.0, -1)
 
+    def near(self, si: int, low: int, high: int) -> np.ndarray:
+        """frame() of the positions from low to high, made a block at a time and kept: walks from other candidates ask for the same frames again."""
+        n, start = len(self.m.time), self.m.start
+        step = n if n <= WHOLE and len(self.s.names) * len(self.m.names) <= FEW_PAIRS else NEAR
+        first, parts = (low - start) // step, []
+        for k in range(first, (high - start) // step + 1):
+            if (si, k) not in self._near:
+                if self._held > KEPT:
+                    self._near.clear()
+                    self._held = 0
+                self._near[si, k] = self.frame(si, np.arange(k * step, min(n, (k + 1) * step)) + start)
+                self._held += step
+            parts.append(self._near[si, k])
+        s = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        at = start + first * step
+        return s[low - at : high + 1 - at]
+
     def _best_of_runs(self, si: int, low: int, high: int) -> tuple[float, int]:
         """best() of the frames from low to high: runs by what they can reach at most, until that is less than the best so far."""
         start = self.m.start
@@ -582,26 +610,35 @@ def find_segments(pairs: DataFrame, frames: DataFrame | Index, min_similarity: f
     stages = stages or Stages(pairs.sparkSession)
     index = frames if isinstance(frames, Index) else index_frames(frames, pairs.select(F.explode(F.array("clip_id", "movie_id")).alias("video_id")), stages)
     total = index.videos.select(F.col("video_id").alias("movie_id"), "total")
-    sized = stages.written(pairs.select("match_id", "clip_id", "movie_id").join(total, "movie_id"))
+    own = index.videos.select(F.col("video_id").alias("clip_id"), F.col("total").alias("clip_total"))
+    sized = stages.written(pairs.select("match_id", "clip_id", "movie_id").join(total, "movie_id").join(own, "clip_id"))
     short, long = sized.filter(F.col("total") <= in_one_task), sized.filter(F.col("total") > in_one_task)
     found = stages.written(_in_one_task(short, index.frames, limits))
     return found if long.isEmpty() else found.unionByName(bands.find_segments(long, index.frames, index.videos, limits, stages))
 
 
-def _in_one_task(pairs: DataFrame, index: DataFrame, limits: tuple) -> DataFrame:
-    def side(who: str) -> DataFrame:
-        of = pairs.select("match_id", F.col(who).alias("video_id")).join(index, "video_id")
-        return of.select(*[F.col(c).alias(c) for c in ("match_id", "frameIndex", "timestamp", "layout", "words", "colour", "skin", "detail")])
-
-    def run(clip: pd.DataFrame, movie: pd.DataFrame) -> pd.DataFrame:
-        videos = Video.of(clip), Video.of(movie)
-        rows = [] if None in videos else align(*videos, *limits)
-        out = pd.DataFrame(rows, columns=_COLUMNS)
-        out["emit_seq"] = np.arange(len(rows))
-        out["match_id"] = pd.Series([clip["match_id"].iloc[0] for _ in rows], dtype=object)
-        return out
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows by key, in as many partitions as shuffles have: a group's work, not its size, is what counts, so small groups are not packed together."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *key)
 
-    return side("clip_id").groupBy("match_id").cogroup(side("movie_id").groupBy("match_id")).applyInPandas(run, SEGMENT)
+
+def _in_one_task(pairs: DataFrame, index: DataFrame, limits: tuple) -> DataFrame:
+    """A task has a reference, unpacked once, and the clips of up to about CLIP_FRAMES frames that are matched with it."""
+    shares = pairs.groupBy("movie_id").agg(F.ceil(F.sum("clip_total") / CLIP_FRAMES).cast("int").alias("shares"))
+    asked = pairs.join(shares, "movie_id").select("match_id", "movie_id", F.col("clip_id").alias("video_id"), F.pmod(F.xxhash64("match_id"), F.col("shares")).cast("int").alias("share"))
+    asked = asked.join(index, "video_id")
+    movies = index.withColumnRenamed("video_id", "movie_id").join(shares, "movie_id").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    key, kept = ["movie_id", "share"], ["frameIndex", "timestamp", "layout", "words", "colour", "skin", "detail"]
+    anew = lambda rows, *columns: spread(rows.select(*[F.col(c).alias(c) for c in columns]), *key).groupBy(*key)
+
+    def run(clips: pd.DataFrame, movie: pd.DataFrame) -> pd.DataFrame:
+        rows, reference = [], Video.of(movie)
+        for match, clip in clips.groupby("match_id", sort=False, dropna=False) if reference is not None else ():
+            rows += [{"match_id": match, "emit_seq": k, **r} for k, r in enumerate(align(Video.of(clip), reference, *limits))]
+        return pd.DataFrame(rows, columns=_COLUMNS).astype({"match_id": object})
+
+    return anew(asked, "match_id", *key, *kept).cogroup(anew(movies, *key, *kept)).applyInPandas(run, SEGMENT)
 
 
 def match_videos(pairs: DataFrame, frames: DataFrame | Index, min_similarity: float = 82, min_frames: int = 9, drift: int = 3, in_one_task: int = IN_ONE_TASK) -> tuple[DataFrame, DataFrame]:

@@ -144,3 +144,23 @@ def test_a_match_may_lose_all_its_segments(spark):
     rows = [("gone", k, 50.0, 5, True, k * 9000, k * 9000 + 100, k * 90000, k * 90000 + 100) for k in range(3)] + [("stays", 9, 90.0, 30, False, 0, 100, 0, 100)]
     df = spark.createDataFrame(rows, "match_id string, seg_id bigint, conf double, frames bigint, approx boolean, ss bigint, se bigint, ms bigint, me bigint")
     assert [r["match_id"] for r in ordered.validate_context(ordered.drop_overlaps(df, "match_id"), "match_id").collect()] == ["stays"]
+
+
+def test_frames_near_walks_are_scored_once(monkeypatch):
+    """Walks from all candidates ask for the same frames: each block of a clip frame's scores is made once, and equals the scores of any window."""
+    rng = np.random.default_rng(9)
+    movie = make_video(rng, 400, shots=4)
+    videos = []
+    for rows in (movie[40:80], movie):
+        frame = align.pd.DataFrame([{"video_id": "v", "frameIndex": k, "timestamp": t, "variants": v, "colour": s["colorGrid"], "skin": s["skinScoreGrid"], "detail": s["detailGrid"]} for k, t, v, s in rows])
+        packed = [align._pack_frame(v) for v in frame["variants"]]
+        videos.append(align.Video.of(frame.assign(layout=[p[0] for p in packed], words=[p[1] for p in packed])))
+    whole, asked = align.Scores.frame, []
+    monkeypatch.setattr(align.Scores, "frame", lambda self, si, mi: asked.append((si, len(mi))) or whole(self, si, mi))
+    assert align.align(*videos, 82, 9, 3)
+    assert len(asked) <= 40 and sum(n for _, n in asked) <= 40 * 400
+    monkeypatch.undo()
+    monkeypatch.setattr(align, "WHOLE", 0)
+    for low, high in ((0, 0), (100, 137), (120, 130), (380, 399)):
+        score = align.Scores(*videos)
+        assert (score.near(7, low, high) == whole(score, 7, np.arange(low, high + 1))).all()
