@@ -1,12 +1,13 @@
 """Matches against references of any length: the passes of operators.align as stages over blocks and bands of the reference.
 
 A pass scores the seeds of all chunks against blocks of the reference in all tasks; each seed's scores are then folded in order to its candidates. A candidate's
-path is walked in a task that holds only a band of the reference around it: first the one frame, whether it reaches the floor at all; then three frames
-of the reference either way for each frame of the chunk; and, for the few walks that ask for more, 26 (a step moves by at most 8 frames, the steepest slope, and 18, the widest
-look-ahead), which none can leave. The best path of a chunk takes its frames from the next pass. What stays free is compared with every frame, block by block.
+path is walked in a task that holds only a zone of the reference around it: the band of three frames of the reference either way for each frame of the chunk; and, for the few
+walks that ask for more, 26 (a step moves by at most 8 frames, the steepest slope, and 18, the widest look-ahead), which none can leave. Zones are two neighbouring stretches of a
+power of two, 1,024 frames at least, so walks near each other share one: its frames, the clips' chunks and the scores of their frames are there once for all of them. The best path of
+a chunk takes its frames from the next pass. What stays free is compared with every frame, block by block.
 
-A task holds a block (4,096 frames) or a band, which grows with a chunk of the clip, never with the reference. Seeds of one reference go to each of its blocks in groups of
-at most about 2,048, so a reference that all clips are matched with makes more tasks, not larger ones.
+A task holds a block (4,096 frames) or a zone, which grows with a chunk of the clip, never with the reference. Seeds of one reference go to each of its blocks in groups of
+at most about 2,048, walks in groups of chunks, so a reference that all clips are matched with makes more tasks, not larger ones.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ from framelake.stage import Stages
 
 BLOCK, BUCKET, GROUP = 4096, 64, 2048
 #: Frames of a band either way for each frame of the chunk.
-RUNGS = (0, 3, 26)
+RUNGS = (3, 26)
+#: The shortest half of a zone, as a power of two, and about the frames that all walks of a task may start from.
+LEAST_LEVEL, WALKED = 10, 65_536
 _PAYLOAD = ("frameIndex", "timestamp", "layout", "words", "colour", "skin", "detail")
 _CHUNKS = "match_id string, clip_id string, movie_id string, chunk int, start int, end int, used array<int>"
 _PATH = "s array<int>, m array<int>, v array<double>"
+_TOLD = [p + c for p in ("c_", "m_") for c in ("first", "total", "coloured")]
 
 
 def chunks_of(pairs: DataFrame, index: DataFrame, about: DataFrame) -> DataFrame:
@@ -58,9 +62,10 @@ def _video(rows: pd.DataFrame, prefix: str) -> align.Video:
     return align.Video.of(rows, r[f"{prefix}first"], int(r[f"{prefix}total"]), bool(r[f"{prefix}coloured"]))
 
 
-def _anew(rows: DataFrame, *columns: str) -> DataFrame:
-    """The same columns under identities of their own, to be grouped beside others of the same origin."""
-    return rows.select(*[F.col(c).alias(c) for c in columns])
+def _beside(rows: DataFrame, frames: DataFrame, columns: list[str], key: list[str]):
+    """Groups of rows (these columns) beside the frames of the same key, under identities of their own, as both may have one origin."""
+    anew = lambda df, names: align.spread(df.select(*[F.col(c).alias(c) for c in (*names, *key)]), *key).groupBy(*key)
+    return anew(rows, columns).cogroup(anew(frames, ["pos", *_PAYLOAD]))
 
 
 def _with_blocks(asking: DataFrame, index: DataFrame, key: list[str], overlap: int) -> tuple[DataFrame, DataFrame]:
@@ -104,19 +109,19 @@ def _scored_seeds(seeds: DataFrame, index: DataFrame, floor: float) -> DataFrame
     def run(own: pd.DataFrame, movie: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(movie):
-            r = own.iloc[0]
-            block = align.Video.of(movie, r["m_first"], int(r["m_total"]), bool(r["m_coloured"]))
-            for i in range(len(own)):
-                one = own.iloc[[i]].assign(pos=own["si"].iloc[i])
-                r = one.iloc[0]
-                sim = align.Scores(_video(one, "c_"), block).fast(int(r["si"]), floor - 20)
-                at = np.flatnonzero(sim >= floor - 20)
-                if len(at):
-                    out.append((r["match_id"], r["chunk"], r["place"], r["si"], r["block"], (at + block.start).astype(np.int32).tobytes(), sim[at].tobytes()))
+            block = _video(movie.assign(**{c: own[c].iloc[0] for c in _TOLD if c[0] == "m"}), "m_")
+            for first, some in own.groupby("c_first", sort=False):  # seeds of one layout side by side, as if they were a video: a fast score asks for no neighbour
+                score = align.Scores(align.Video.of(some.assign(pos=np.arange(len(some))), first, len(some), False), block)
+                for i, r in enumerate(some[["match_id", "chunk", "place", "si", "block"]].itertuples(index=False)):
+                    sim = score.fast(i, floor - 20)
+                    at = np.flatnonzero(sim >= floor - 20)
+                    if len(at):
+                        out.append((*r, (at + block.start).astype(np.int32).tobytes(), sim[at].tobytes()))
         return pd.DataFrame(out, columns=["match_id", "chunk", "place", "si", "block", "at", "sim"]).astype({"match_id": object})
 
     key = ["movie_id", "block", "share"]
-    return rows.groupBy(*key).cogroup(_anew(frames, "pos", *_PAYLOAD, *key).groupBy(*key)).applyInPandas(run, "match_id string, chunk int, place int, si int, block int, at binary, sim binary")
+    both = _beside(rows, frames, ["match_id", "chunk", "place", "si", *_TOLD, *_PAYLOAD], key)
+    return both.applyInPandas(run, "match_id string, chunk int, place int, si int, block int, at binary, sim binary")
 
 
 def _candidates(scores: DataFrame, floor: float) -> DataFrame:
@@ -147,36 +152,42 @@ def _candidates(scores: DataFrame, floor: float) -> DataFrame:
 
 
 def _walked(tries: DataFrame, index: DataFrame, reach: int, limits: tuple, floor: float) -> DataFrame:
-    """match_id, chunk, place, turn, state (0: no path, 1: a path, 2: it asks for frames outside the band) and the path of each candidate."""
+    """match_id, chunk, place, turn, state (0: no path, 1: a path, 2: it asks for frames outside the zone) and the path of each candidate."""
     _, min_frames, drift = limits
     si, mi, start, end = (F.col(c) for c in ("si", "mi", "start", "end"))
-    one = reach == 0
-    clip = _own_frames(tries, index, F.greatest(F.lit(0), (si if one else start) - 1), si if one else end, "clip_id", "c_")
-    low = mi - reach * (si - start) - (0 if one else align.LOOK_AHEAD_MAX + reach * (end - si))
-    high = mi + reach * (end - si) + (0 if one else align.LOOK_AHEAD_MAX + reach * (si - start))
-    slim = tries.select("match_id", "chunk", "place", "turn", "movie_id", "m_total", "si", "mi", "start", "end")
-    movie = _own_frames(slim, index, F.greatest(F.lit(0), low - 1), F.least(F.col("m_total") - 1, high), "movie_id", "m_")
-    key = ["match_id", "chunk", "place", "turn"]
-
-    def run(own: pd.DataFrame, band: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(band):
-            return pd.DataFrame(columns=[*key, "state", "s", "m", "v"])
-        r = own.iloc[0]
-        score = align.Scores(_video(own, "c_"), align.Video.of(band, r["m_first"], int(r["m_total"]), bool(r["m_coloured"])))
-        path, state = None, 0
-        try:
-            path = align.trace(score, (int(r["si"]), int(r["mi"])), frozenset(r["used"]), drift, int(r["start"]), int(r["end"]), floor)
-        except align.LeftBand:
-            state = 2
-            if reach == RUNGS[-1]:
-                raise
-        if path and len(path) >= align.enough(int(r["start"]), int(r["end"]), min_frames):
-            state = 1
-        s, m, v = ([p[k] for p in path] if state == 1 else None for k in range(3))
-        return pd.DataFrame({**{k: [r[k]] for k in key}, "state": [state], "s": [s], "m": [m], "v": [v]}).astype({"match_id": object})
-
-    paths = clip.groupBy(*key).cogroup(_anew(movie, *key, "pos", *_PAYLOAD).groupBy(*key)).applyInPandas(run, f"match_id string, chunk int, place int, turn int, state int, {_PATH}")
-    return paths
+    low = F.greatest(F.lit(0), mi - reach * (end - start) - align.LOOK_AHEAD_MAX - 1)
+    high = F.least(F.col("m_total") - 1, mi + reach * (end - start) + align.LOOK_AHEAD_MAX)
+    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(high - low + 1)).cast("int"))
+    placed = tries.withColumns({"level": level, "low": low.cast("int")}).withColumn("zone", F.expr("shiftright(low, level)")).drop("low")
+    zones = placed.groupBy("movie_id", "level", "zone").agg(F.ceil(F.sum(end - start + 1) / WALKED).cast("int").alias("shares"))
+    key, of = ["movie_id", "level", "zone", "share"], ["match_id", "chunk", "clip_id", "start", "end", "used", *_TOLD]
+    placed = placed.join(zones, ["movie_id", "level", "zone"]).withColumn("share", F.pmod(F.xxhash64("match_id", "chunk"), F.col("shares")).cast("int"))
+    chunks = placed.groupBy(*key, *of).agg(F.collect_list(F.struct("place", "turn", "si", "mi")).alias("walks"))
+    clip = _own_frames(chunks, index, F.greatest(F.lit(0), start - 1), end, "clip_id", "c_").withColumn("walks", F.when(F.col("pos") == end, F.col("walks")))
+    frames = index.withColumnRenamed("video_id", "movie_id").join(zones.select("movie_id", "level").distinct(), "movie_id").withColumn("zone", F.expr("shiftright(int(pos), level)"))
+    frames = frames.withColumn("zone", F.explode(F.array("zone", F.col("zone") - 1))).join(zones, ["movie_id", "level", "zone"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+
+    def run(own: pd.DataFrame, zone: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(zone):
+            movie = _video(zone.assign(**{c: own[c].iloc[0] for c in _TOLD if c[0] == "m"}), "m_")
+            for (match, chunk), rows in own.groupby(["match_id", "chunk"], sort=False, dropna=False):
+                r, score = rows.iloc[0], align.Scores(_video(rows, "c_"), movie)
+                first, last, used = int(r["start"]), int(r["end"]), frozenset(r["used"])
+                for w in next(x for x in rows["walks"] if x is not None):
+                    path, state = None, 0
+                    try:
+                        path = align.trace(score, (int(w["si"]), int(w["mi"])), used, drift, first, last, floor)
+                    except align.LeftBand:
+                        state = 2
+                        if reach == RUNGS[-1]:
+                            raise
+                    if path and len(path) >= align.enough(first, last, min_frames):
+                        state = 1
+                    out.append((match, chunk, w["place"], w["turn"], state, *([p[k] for p in path] if state == 1 else None for k in range(3))))
+        return pd.DataFrame(out, columns=["match_id", "chunk", "place", "turn", "state", "s", "m", "v"]).astype({"match_id": object})
+
+    return _beside(clip, frames, ["pos", *_PAYLOAD, *of, "walks"], key).applyInPandas(run, f"match_id string, chunk int, place int, turn int, state int, {_PATH}")
 
 
 def _pass(chunks: DataFrame, index: DataFrame, about: DataFrame, limits: tuple, floor: float, stages: Stages) -> DataFrame:
@@ -184,7 +195,7 @@ def _pass(chunks: DataFrame, index: DataFrame, about: DataFrame, limits: tuple,
     seeds = stages.written(_seeds(chunks, about, index))
     found = stages.written(_candidates(_scored_seeds(seeds, index, floor), floor))
     tries = stages.written(
-        found.join(chunks, ["match_id", "chunk"]).join(seeds.select("match_id", "chunk", "place", *[p + c for p in ("c_", "m_") for c in ("first", "total", "coloured")]), ["match_id", "chunk", "place"])
+        found.join(chunks, ["match_id", "chunk"]).join(seeds.select("match_id", "chunk", "place", *_TOLD), ["match_id", "chunk", "place"])
     )
     paths, key = None, ["match_id", "chunk", "place", "turn"]
     for reach in RUNGS:
@@ -212,16 +223,16 @@ def _forced(chunks: DataFrame, index: DataFrame, about: DataFrame, stages: Stage
         out = []
         if len(own) and len(movie):
             r = own.iloc[0]
-            block = align.Video.of(movie, r["m_first"], int(r["m_total"]), bool(r["m_coloured"]))
+            block = _video(movie.assign(**{c: r[c] for c in _TOLD if c[0] == "m"}), "m_")
             here = np.arange(int(r["block"]) * BLOCK, min(int(r["m_total"]), (int(r["block"]) + 1) * BLOCK))
-            for (match, chunk, si), part in own.groupby(["match_id", "chunk", "si"], sort=False):
+            for (match, chunk, si), part in own.groupby(["match_id", "chunk", "si"], sort=False, dropna=False):
                 sim, mi = align.Scores(_video(part, "c_"), block).best(int(si), here)
                 if mi >= 0:
                     out.append((match, chunk, si, mi, sim))
         return pd.DataFrame(out, columns=["match_id", "chunk", "si", "mi", "sim"]).astype({"match_id": object})
 
     key = ["movie_id", "block", "share"]
-    best = rows.groupBy(*key).cogroup(_anew(frames, "pos", *_PAYLOAD, *key).groupBy(*key)).applyInPandas(run, "match_id string, chunk int, si int, mi int, sim double")
+    best = _beside(rows, frames, ["match_id", "chunk", "si", "pos", *_TOLD, *_PAYLOAD], key).applyInPandas(run, "match_id string, chunk int, si int, mi int, sim double")
     best = best.groupBy("match_id", "chunk", "si").agg(F.max(F.struct("sim", (-F.col("mi")).alias("n"))).alias("b"))
     best = stages.written(best.select(F.struct("match_id", "chunk").alias("of"), "si", (-F.col("b.n")).alias("mi"), F.col("b.sim").alias("sim")))
     good = search.forced_gate(best, "of", align.FORCED_FRAMES, align.FORCED_MEAN).select("of")
@@ -278,8 +289,7 @@ def _segments(paths: DataFrame, index: DataFrame) -> DataFrame:
                 out.append(align.detail_of(score, int(r["ts"]), int(r["tm"])))
             yield pd.DataFrame({"match_id": b["match_id"].astype(object), "emit_seq": b["emit_seq"], "bestFrameDetail": out})
 
-    told = [p + c for p in ("c_", "m_") for c in ("first", "total", "coloured")]
-    detail = two.select(*key, "ts", "tm", "own", "other", *told).mapInPandas(details, f"match_id string, emit_seq int, bestFrameDetail {align.DETAIL}")
+    detail = two.select(*key, "ts", "tm", "own", "other", *_TOLD).mapInPandas(details, f"match_id string, emit_seq int, bestFrameDetail {align.DETAIL}")
     closing = time("movie_id", "end", "movieEnd")
     out = facts.join(listed, key).join(detail, key).join(closing, ["movie_id", "end"])
     first, last = F.get("q", F.lit(0)), F.element_at("q", -1)

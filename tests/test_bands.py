@@ -237,3 +237,13 @@ def test_runs_are_skipped_and_nothing_is_lost():
     for si in range(12):
         score.best(si, np.arange(930))
     assert score.opened < 0.3 * score.seen
+
+
+def test_walks_share_the_zones_of_their_reference(spark):
+    """A group of walks is a zone of a reference, not a candidate: its frames are dealt out once for all walks in it."""
+    packed = "video_id string, pos bigint, frameIndex int, timestamp double, layout string, words binary, colour array<double>, skin array<double>, detail array<double>"
+    told = ", ".join(f"{p}first string, {p}total bigint, {p}coloured boolean" for p in ("c_", "m_"))
+    tries = spark.createDataFrame([], f"match_id string, chunk int, place int, turn int, clip_id string, movie_id string, start int, end int, used array<int>, si int, mi int, {told}")
+    walked = bands._walked(tries, spark.createDataFrame([], packed), 3, (82, 9, 3), 82)
+    plan = walked._jdf.queryExecution().optimizedPlan().toString()
+    assert "zone" in plan.split("FlatMapCoGroupsInPandas", 1)[1].splitlines()[0] and walked.count() == 0
