@@ -6,9 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """x to so many digits by its product with a power of ten, halves away from 0: what SQL engines and C do to doubles. Spark's round goes by the shortest decimal text, so
+    it takes 65.6390625 up, though the double is less than half."""
+    x, power = F.col(x) if isinstance(x, str) else x, 10.0**digits
+    up = F.floor(F.abs(x) * power + 0.5) / power
+    return F.when(F.abs(x) < 1e9, F.when(x < 0, -up).otherwise(up)).otherwise(F.round(x, digits))
+
+
+def two_decimals(x: Column) -> Column:
+    """As C's %.2f writes it, by the exact value of the double and halves to the even digit. Java's goes by the shortest decimal text: 2.01 for 2.005, which is less."""
+    size = F.abs(x)
+    high = size.cast("float").cast("double")  # both parts times 200 are exact
+    k = F.floor(size * 100)
+    over = (high * 200 - (2 * k + 1)) + (size - high) * 200
+    n = k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
 def clock(seconds: Column) -> Column:
     """m:ss.ss"""
-    return F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad(F.format_string("%.2f", seconds - 60 * F.floor(seconds / 60)), 5, "0"))
+    return F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad(two_decimals(seconds - 60 * F.floor(seconds / 60)), 5, "0"))
 
 
 def confidence_class(confidence: Column, approximate: Column) -> Column:
@@ -22,8 +40,8 @@ def timeline_class(confidence: Column) -> Column:
 def speed_label(ratio: Column) -> Column:
     return (
         F.when(F.abs(ratio - 1) <= 0.08, F.lit(""))
-        .when(ratio < 1, F.concat(F.lit("slowed "), F.format_string("%.2f", 1 / ratio), F.lit("×")))
-        .otherwise(F.concat(F.lit("sped up "), F.format_string("%.2f", ratio), F.lit("×")))
+        .when(ratio < 1, F.concat(F.lit("slowed "), two_decimals(1 / ratio), F.lit("×")))
+        .otherwise(F.concat(F.lit("sped up "), two_decimals(ratio), F.lit("×")))
     )
 
 

@@ -33,7 +33,7 @@ def hash_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = V.grids(spark, sf_dir).withColumn("b", F.col("q").cast("array<double>"))
     for _ in range(3):
         g = g.withColumn("b", hashing.box_blur(F.col("b"), 8, 8))
-    return g.select("pos", F.posexplode("b").alias("cell", "v")).select("pos", "cell", F.round("v", 6).alias("v"))
+    return g.select("pos", F.posexplode("b").alias("cell", "v")).select("pos", "cell", display.rounded("v", 6).alias("v"))
 
 
 def crop_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,8 @@ def signature_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.pixels(spark, sf_dir).withColumn("cell", F.floor(F.col("y") * 4 / 18) * 4 + F.floor(F.col("x") * 4 / 32)).withColumn("gray", hashing.gray(F.col("r"), F.col("g"), F.col("b")))
     mean = F.avg("gray").over(Window.partitionBy("f", "cell"))
     p = p.withColumn("off", F.abs(F.col("gray") - mean)).withColumn("skin", signatures.is_skin(F.col("r"), F.col("g"), F.col("b")).cast("int"))
-    six = lambda c, name: F.round(F.avg(c), 6).alias(name)
-    return p.groupBy("f", "cell").agg(six("r", "mean_r"), six("g", "mean_g"), six("b", "mean_b"), six("skin", "skin"), F.round(F.avg("off") + 1e-7, 4).alias("detail"))
+    six = lambda c, name: display.rounded(F.avg(c), 6).alias(name)
+    return p.groupBy("f", "cell").agg(six("r", "mean_r"), six("g", "mean_g"), six("b", "mean_b"), six("skin", "skin"), display.rounded(F.avg("off") + 1e-7, 4).alias("detail"))
 
 
 def _by_picture(spark: SparkSession, sf_dir: str, size: tuple[int, int], schema: str, rows) -> DataFrame:
@@ -133,7 +133,7 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = V.frames(spark, sf_dir)
     before = f.select((F.col("pos") + 1).alias("pos"), F.col("w0").alias("v0"))
     j = f.join(before, "pos")
-    return j.select("pos", bits.hamming([F.col("w0")], [F.col("v0")]).alias("distance"), F.round(bits.similarity_percentage([F.col("w0")], [F.col("v0")], 64), 6).alias("percent"))
+    return j.select("pos", bits.hamming([F.col("w0")], [F.col("v0")]).alias("distance"), display.rounded(bits.similarity_percentage([F.col("w0")], [F.col("v0")], 64), 6).alias("percent"))
 
 
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,12 +144,12 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = packed.select((F.col("pos") - 1).alias("pos"), *[F.col(c).alias("o_" + c) for c in packed.columns if c != "pos"])
     share = lambda own, o, words, size: 1 - bits.hamming([F.col(f"{own}{k}") for k in range(words)], [F.col(f"o_{o}{k}") for k in range(words)]) / size
     sim = bits.pair_similarity(share("a", "a", 1, 64), share("d", "d", 2, 112), share("a", "fa", 1, 64), share("d", "fd", 2, 112))
-    return packed.join(other, "pos").select("pos", F.round(sim, 6).alias("sim"))
+    return packed.join(other, "pos").select("pos", display.rounded(sim, 6).alias("sim"))
 
 
 def color_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = V.signatures(spark, sf_dir).select("pos", F.posexplode(signatures.normalised_colours(F.col("colour"))).alias("cell", "z"))
-    return z.select("pos", "cell", F.round("z", 6).alias("z"))
+    return z.select("pos", "cell", display.rounded("z", 6).alias("z"))
 
 
 def grid_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,21 +168,21 @@ def signature_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _signature_pairs(spark, sf_dir)
     c = F.col
     sim = signatures.signature_similarity(c("z"), c("skin"), c("detail"), c("o_z"), c("o_skin"), c("o_detail"))
-    return p.select("pos", F.round(sim, 6).alias("sim"), F.round(100 * signatures.colour_similarity(c("z"), c("o_z")), 6).alias("colour"), F.round(100 * signatures.detail_similarity(c("detail"), c("o_detail")), 6).alias("detail"))
+    return p.select("pos", display.rounded(sim, 6).alias("sim"), display.rounded(100 * signatures.colour_similarity(c("z"), c("o_z")), 6).alias("colour"), display.rounded(100 * signatures.detail_similarity(c("detail"), c("o_detail")), 6).alias("detail"))
 
 
 def temporal_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _signature_pairs(spark, sf_dir)
     c = F.col
     t = signatures.temporal_similarity(c("delta"), c("mag"), c("o_delta"), c("o_mag"), c("pos") % 1000, (c("pos") + 1) % 1000)
-    return p.select("pos", F.round("mag", 6).alias("mag"), F.round(t, 6).alias("temporal"))
+    return p.select("pos", display.rounded("mag", 6).alias("mag"), display.rounded(t, 6).alias("temporal"))
 
 
 def frame_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = pair_similarity(spark, sf_dir).join(signature_similarity(spark, sf_dir).select("pos", F.col("sim").alias("sig")), "pos").join(temporal_similarity(spark, sf_dir).select("pos", "temporal"), "pos")
     t = F.when(F.col("pos") % 3 > 0, F.col("temporal"))
     sig = F.when(F.col("pos") % 7 > 0, F.col("sig"))
-    return s.select("pos", F.round(signatures.frame_similarity(F.col("sim"), sig, t), 5).alias("frame_sim"))
+    return s.select("pos", display.rounded(signatures.frame_similarity(F.col("sim"), sig, t), 5).alias("frame_sim"))
 
 
 def picture_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +197,7 @@ def picture_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def integrity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.segments(spark, sf_dir)
     score = display.integrity(F.col("conf"), F.col("frames") * 3, F.col("frames") * 2, F.col("conf") / 2)
-    return s.select("seg_id", F.round(score, 6).alias("integrity"), display.checklist_class(F.col("conf").cast("double")).alias("class"))
+    return s.select("seg_id", display.rounded(score, 6).alias("integrity"), display.checklist_class(F.col("conf").cast("double")).alias("class"))
 
 
 _GRAY = "0.299 * r + 0.587 * g + 0.114 * b"

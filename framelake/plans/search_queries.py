@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.functions import display
 from framelake.operators import search
 from framelake.plans import views as V
 
@@ -40,7 +41,7 @@ def seed_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forced_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = search.best_of(V.searches(spark, sf_dir), V.frames(spark, sf_dir), 64, 1)
-    return best.groupBy().agg(F.count("*").alias("frames"), F.round(F.avg(F.col("agree") / 64 * 100), 6).alias("mean_best"))
+    return best.groupBy().agg(F.count("*").alias("frames"), display.rounded(F.avg(F.col("agree") / 64 * 100), 6).alias("mean_best"))
 
 
 _BEST = "SELECT si, arg_max(pos, agree * 1000000 - pos) AS pos, CAST(max(agree) AS INTEGER) AS agree FROM {rows} GROUP BY si"

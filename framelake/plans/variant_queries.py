@@ -26,17 +26,17 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _neighbours(_packed(spark, sf_dir), "v")
-    return j.select("pos", F.round(variants.compare_fingerprints(F.col("v"), F.col("o_v"), 64), 6).alias("sim"))
+    return j.select("pos", display.rounded(variants.compare_fingerprints(F.col("v"), F.col("o_v"), 64), 6).alias("sim"))
 
 
 def fast_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _neighbours(_packed(spark, sf_dir), "v")
-    return j.select("pos", F.round(variants.fast_cross(F.col("v"), F.col("o_v"), 64, 112), 6).alias("sim"))
+    return j.select("pos", display.rounded(variants.fast_cross(F.col("v"), F.col("o_v"), 64, 112), 6).alias("sim"))
 
 
 def best_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _neighbours(_packed(spark, sf_dir), "v").select("pos", variants.best_cross(F.col("v"), F.col("o_v"), 64, 112).alias("b"))
-    return j.select("pos", F.round("b.sim", 6).alias("sim"), F.col("b.name").alias("name"))
+    return j.select("pos", display.rounded("b.sim", 6).alias("sim"), F.col("b.name").alias("name"))
 
 
 def frame_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def frame_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shares = [F.when(c("z").isNotNull(), x) for x in channels]
     d = j.select("pos", variants.frame_detail(c("v"), c("o_v"), *shares, 64, 112).alias("d"))
-    return d.select("pos", c("d.cropRegion").alias("crop"), *[F.round(f"d.{n}Sim", 6).alias(n) for n in ("structure", "color", "skin", "detail")])
+    return d.select("pos", c("d.cropRegion").alias("crop"), *[display.rounded(f"d.{n}Sim", 6).alias(n) for n in ("structure", "color", "skin", "detail")])
 
 
 def raw_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +64,13 @@ def raw_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((p % 1000 >= 700) & (p % 1000 < 920), none).otherwise(F.col("detail")).alias("detail"),
     )
     c, j = F.col, _neighbours(s, "colour", "skin", "detail")
-    return j.select("pos", F.round(signatures.raw_signature_similarity(c("colour"), c("skin"), c("detail"), c("o_colour"), c("o_skin"), c("o_detail")), 6).alias("sim"))
+    return j.select("pos", display.rounded(signatures.raw_signature_similarity(c("colour"), c("skin"), c("detail"), c("o_colour"), c("o_skin"), c("o_detail")), 6).alias("sim"))
 
 
 def char_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame's hash against the first 60 bits of the one before, and the share of equal characters of both whole."""
     j = _neighbours(V.frames(spark, sf_dir).select("pos", "a"), "a")
-    return j.select("pos", bits.char_hamming(F.col("a"), F.substring("o_a", 1, 60)).alias("distance"), F.round(bits.char_compare(F.col("a"), F.col("o_a")), 6).alias("percent"))
+    return j.select("pos", bits.char_hamming(F.col("a"), F.substring("o_a", 1, 60)).alias("distance"), display.rounded(bits.char_compare(F.col("a"), F.col("o_a")), 6).alias("percent"))
 
 
 def _side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def global_best_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _side_by_side(spark, sf_dir)
     q = f.filter("pos % 100 = 0").select(F.floor(F.col("pos") / 100).cast("bigint").alias("si"), "w0", "w1", "w2")
     best = search.best_of(q, f, 192, 3)
-    return best.select("si", "pos", F.round(F.col("agree") / 192 * 100, 6).alias("mean"))
+    return best.select("si", "pos", display.rounded(F.col("agree") / 192 * 100, 6).alias("mean"))
 
 
 def local_best_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def local_best_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = f.filter("pos % 100 = 0").select(F.floor(F.col("pos") / 100).cast("bigint").alias("si"), "w0", "w1", "w2")
     centre = search.best_of(q, f.filter("pos % 7 = 0"), 64, 1).select("si", F.col("pos").alias("centre"))
     best = search.nearest(search.around(q.join(centre, "si"), f, 192, 3, 3))
-    return best.select("si", "pos", F.round(F.col("agree") / 192 * 100, 6).alias("mean"))
+    return best.select("si", "pos", display.rounded(F.col("agree") / 192 * 100, 6).alias("mean"))
 
 
 def rough_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def rough_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = f.filter("pos % 100 = 0 and pos > 0").select((F.col("pos") / 100).cast("bigint").alias("pos"), (F.col("pos") / 100).alias("timestamp"), "variants")
     movie = f.filter("pos % 100 <> 0").select("pos", (F.col("pos") / 25).alias("timestamp"), "variants")
     r = search.rough_match(clip, movie, 64)
-    return r.select("shortStart", "shortEnd", "movieStart", "movieEnd", F.round("confidence", 6).alias("confidence"), "frameCount")
+    return r.select("shortStart", "shortEnd", "movieStart", "movieEnd", display.rounded("confidence", 6).alias("confidence"), "frameCount")
 
 
 def seed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def forced_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = j.groupBy("si").agg(F.max(64 - F.bit_count(F.col("w0").bitwiseXOR(F.col("v0")))).alias("agree"))
     best = best.filter("si % 60 < 30 or si % 4 = 0").select((F.floor(F.col("si") / 30)).alias("group"), (F.col("agree") / 64 * 100).alias("sim"))
     g = search.forced_gate(best, "group", mean=53.0)
-    return g.select("group", "frames", F.round("mean_best", 6).alias("mean_best"))
+    return g.select("group", "frames", display.rounded("mean_best", 6).alias("mean_best"))
 
 
 def pass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def cut_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequence_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean similarity of a path's frames, fifty positions a segment."""
     p = V.path(spark, sf_dir).groupBy("video_id", F.floor(F.col("si") / 50).alias("segment")).agg(F.sort_array(F.collect_list(F.struct("si", F.col("sim").alias("similarity")))).alias("s"))
-    return p.select("video_id", "segment", F.round(display.sequence_average(F.col("s")), 6).alias("average"))
+    return p.select("video_id", "segment", display.rounded(display.sequence_average(F.col("s")), 6).alias("average"))
 
 
 def packed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
