@@ -19,14 +19,14 @@ BLOCK_ROWS = 100_000
 RUN = 16
 
 
-def _query_blocks(queries: DataFrame, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(si, words) of at most about BLOCK_ROWS queries at a time."""
-    q = queries.select(F.col("si").cast("bigint").alias("si"), *[F.col(f"w{k}") for k in range(words)])
+def _query_blocks(queries: DataFrame, words: int, apart: str | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(si, words) of at most about BLOCK_ROWS queries at a time, and the column `apart`, where one is named."""
+    q = queries.select(F.col("si").cast("bigint").alias("si"), *[F.col(f"w{k}") for k in range(words)], *([F.col(apart).cast("bigint").alias("apart")] if apart else []))
     n = max(1, -(-q.count() // BLOCK_ROWS))
     for k in range(n):
         t = (q if n == 1 else q.filter(F.pmod(F.xxhash64("si"), F.lit(n)) == k)).toArrow()
         if t.num_rows:
-            yield t["si"].to_numpy(), np.stack([t[f"w{j}"].to_numpy().view(np.uint64) for j in range(words)], axis=1)
+            yield t["si"].to_numpy(), np.stack([t[f"w{j}"].to_numpy().view(np.uint64) for j in range(words)], axis=1), *([t["apart"].to_numpy()] if apart else [])
 
 
 def _off(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,15 +85,15 @@ def scores(queries: DataFrame, reference: DataFrame, size: int, words: int, floo
     return spark.createDataFrame([], "si bigint, pos bigint, agree int") if out is None else out
 
 
-def best_of(queries: DataFrame, reference: DataFrame, size: int, words: int, floor: float = 1, opened=None) -> DataFrame:
+def best_of(queries: DataFrame, reference: DataFrame, size: int, words: int, floor: float = 1, opened=None, apart: str | None = None) -> DataFrame:
     """nearest() of scores(), without its pairs: si, pos, agree. A task takes runs by what they can reach and opens those that can still beat its best so far. opened: an
-    accumulator for the number of frames compared."""
+    accumulator for the number of frames compared. apart: the queries' column with a position that each may not take."""
     spark, out = reference.sparkSession, None
-    for si, q in _query_blocks(queries, words):
-        sent = spark.sparkContext.broadcast((si, q))
+    for si, q, *no in _query_blocks(queries, words, apart):
+        sent = spark.sparkContext.broadcast((si, q, *no))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            si, q = sent.value
+            si, q, *no = sent.value
             best, place = np.full(len(q), -1, np.int64), np.zeros(len(q), np.int64)
             least = max(1, floor)
             for b in batches:
@@ -110,6 +110,11 @@ def best_of(queries: DataFrame, reference: DataFrame, size: int, words: int, flo
                             frame, query, agree = runs.opened(run[ok], ok, q[k : k + 512])
                             if opened is not None:
                                 opened.add(len(frame))
+                            if no:
+                                other = runs.pos[frame] != no[0][query + k]
+                                frame, query, agree = frame[other], query[other], agree[other]
+                                if not len(frame):
+                                    continue
                             by = np.lexsort((runs.pos[frame], -agree, query))
                             top = by[np.append(True, query[by][1:] != query[by][:-1])]
                             to = query[top] + k

@@ -111,13 +111,10 @@ def seed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forced_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of up to 30 frames, every other one taken, whose best neighbour is good enough on average: some pass, and some are too few."""
-    f = V.frames(spark, sf_dir)
-    near = f.select(F.col("pos").alias("si"), "w0", F.explode(F.array(F.col("pos") - 2, F.col("pos") - 1, F.col("pos") + 1)).alias("pos"))
-    j = near.join(f.select("pos", F.col("w0").alias("v0")), "pos")
-    best = j.groupBy("si").agg(F.max(64 - F.bit_count(F.col("w0").bitwiseXOR(F.col("v0")))).alias("agree"))
-    best = best.filter("si % 60 < 30 or si % 4 = 0").select((F.floor(F.col("si") / 30)).alias("group"), (F.col("agree") / 64 * 100).alias("sim"))
-    g = search.forced_gate(best, "group", mean=53.0)
+    """Groups of twelve searches whose best frames but themselves, of all frames, are good enough."""
+    found = search.best_of(V.searches(spark, sf_dir), V.frames(spark, sf_dir), 64, 1, apart="src_pos")
+    best = found.select(F.floor(F.col("si") / 12).alias("group"), (F.col("agree") / 64 * 100).alias("sim"))
+    g = search.forced_gate(best, "group")
     return g.select("group", "frames", display.rounded("mean_best", 6).alias("mean_best"))
 
 
@@ -217,8 +214,8 @@ ORACLES = {
         FROM b LEFT JOIN movie m ON m.pos = least((SELECT max(pos) FROM movie), b.pos + (SELECT count(*) FROM clip))""",
     "seed_windows": f"""{S._WITH}{S._KEPT}, t AS (SELECT * FROM (SELECT si, pos, CAST(row_number() OVER (PARTITION BY si ORDER BY agree DESC, pos) AS INTEGER) AS rank FROM kept) WHERE rank <= 8)
         SELECT t.si, t.rank, count(*) AS frames, min(f.pos) AS "first", max(f.pos) AS "last" FROM t JOIN frames f ON f.pos BETWEEN t.pos - 3000 AND t.pos + 3000 GROUP BY 1, 2""",
-    "forced_gate": f"""WITH {V.FRAMES}, best AS (SELECT x.pos AS si, max(64 - hamming(x.a, y.a)) / 64.0 * 100 AS sim FROM frames x JOIN frames y ON y.pos IN (x.pos - 2, x.pos - 1, x.pos + 1) GROUP BY 1)
-        SELECT si // 30 AS "group", count(*) AS frames, round(avg(sim), 6) AS mean_best FROM best WHERE si % 60 < 30 OR si % 4 = 0 GROUP BY 1 HAVING count(*) >= 10 AND avg(sim) >= 53""",
+    "forced_gate": f"""WITH {V.SEARCHES}, best AS (SELECT si, max(agree) / 64.0 * 100 AS sim FROM agree WHERE agree > 0 AND pos <> si * 100 GROUP BY si)
+        SELECT si // 12 AS "group", count(*) AS frames, round(avg(sim), 6) AS mean_best FROM best GROUP BY 1 HAVING count(*) >= 10 AND avg(sim) >= 65""",
     "pass_counts": f"WITH {V.SEGMENTS} SELECT match_id, count(*) FILTER (WHERE NOT approx) AS sure, count(*) FILTER (WHERE approx) AS approximate FROM segments GROUP BY 1",
     "cut_counts": f"WITH {O._CUTS} SELECT video_id, count(*) AS cuts FROM cuts WHERE is_cut GROUP BY 1",
     "sequence_average": f"WITH {V.PATH} SELECT video_id, si // 50 AS segment, round(avg(sim), 6) AS average FROM path GROUP BY 1, 2",

@@ -82,6 +82,15 @@ def test_every_row_is_aligned(spark, sf):
     assert {(r["video_id"], r["pos"]): (r["difference"], r["at"]) for r in got} == want and len(got) == len(want)
 
 
+def test_forced_gate_compares_searches_with_all_frames(spark):
+    """At sf0.1: twelve searches that pass, and eight that are too few."""
+    from helpers import oracle, rows_of
+
+    sf = "/root/testdata/sf0.1"
+    got = catalogue.QUERIES["forced_gate"](spark, sf).toPandas()
+    assert rows_of(got) == rows_of(oracle(sf, catalogue.ORACLES["forced_gate"])) and got[["group", "frames"]].values.tolist() == [[0, 12]]
+
+
 def test_coverage_meets_equal_intervals_once(spark, sf, tmp_path):
     """Copies of all orders, some with repeated keys: as the SQL counts them, without a shuffle of pairs."""
     import duckdb
