@@ -89,7 +89,7 @@ def _by_picture(spark: SparkSession, sf_dir: str, size: tuple[int, int], schema:
                 out += rows(r.frameIndex - 1, np.frombuffer(r.rgba, np.uint8).reshape(r.height, r.width, 4)[:, :, :3])
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return V.pictures(spark, sf_dir, *size).mapInPandas(run, schema)
+    return V.drawn(V.grids(spark, sf_dir), run, schema, *size)
 
 
 def pixels_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def match_in_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every frame's picture, with all variants' hashes."""
-    found = pixels.fingerprints(V.pictures(spark, sf_dir, 64, 48))
+    found = V.drawn(V.grids(spark, sf_dir), pixels.fingerprinted(), pixels.FINGERPRINT, 64, 48)
     hashes = F.transform(F.array_sort(F.map_entries("variants")), lambda e: F.concat_ws("/", e["key"], e["value"]["hash"], e["value"]["dhash"], e["value"]["fhash"], e["value"]["fdhash"]))
     return found.select("video_id", "frameIndex", "timestamp", F.size("variants").alias("variants"), F.array_join(hashes, ",").alias("hashes"), "signature.*")
 

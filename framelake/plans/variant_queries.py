@@ -146,9 +146,9 @@ def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames hashed twice, in other partitions the second time, and the pictures' fingerprints twice by the pixel worker: each frame's hash, and whether both agreed."""
     a = V.frames(spark, sf_dir).select("pos", F.col("a").alias("hash"))
     b = V.frames(spark, sf_dir).repartition(7, "pos").select("pos", F.col("a").alias("hash"))
-    whole = lambda p: pixels.fingerprints(p).select((F.col("frameIndex") - 1).cast("bigint").alias("pos"), F.sha2(F.to_json(F.struct(F.map_entries("variants"), "signature")), 256).alias("hash"))
-    pictures = V.pictures(spark, sf_dir)
-    worker = catalog.same_hashes(whole(pictures), whole(pictures.repartition(5, "frameIndex")), "pos").select("pos", F.col("same").alias("worker_same"))
+    whole = lambda p: p.select((F.col("frameIndex") - 1).cast("bigint").alias("pos"), F.sha2(F.to_json(F.struct(F.map_entries("variants"), "signature")), 256).alias("hash"))
+    grids, work = V.grids(spark, sf_dir), (pixels.fingerprinted(), pixels.FINGERPRINT)
+    worker = catalog.same_hashes(whole(V.drawn(grids, *work)), whole(V.drawn(grids.repartition(5, "pos"), *work)), "pos").select("pos", F.col("same").alias("worker_same"))
     s = catalog.same_hashes(a, b, "pos", 64).join(worker, "pos").join(a, "pos")
     return s.select("pos", "hash", "hash_ok", "same", "worker_same")
 

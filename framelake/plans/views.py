@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import bits, hashing
 from framelake.operators import ordered
+from framelake.operators import pixels as pixels_op
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -206,15 +207,18 @@ PIXELS = GRIDS + ", " + _pixels("pixels", WIDTH, HEIGHT)
 SQUARES = GRIDS + ", " + _pixels("squares", 16, 16)
 
 
-def pictures(spark: SparkSession, sf_dir: str, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
-    """video_id, frameIndex (from 1), width, height, rgba: the same pictures as raw frames."""
+PICTURE = "video_id string, frameIndex int, width int, height int, rgba binary"
+
+
+def drawn(grids: DataFrame, work=None, kind: str = PICTURE, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+    """video_id, frameIndex (from 1), width, height, rgba: the grids' pictures as raw frames, or what work makes of them, where they are drawn and a few at a time."""
 
     def draw(batches):
         import numpy as np
         import pandas as pd
 
         x, y = np.arange(width)[None, :], np.arange(height)[:, None]
-        for b in batches:
+        for b in pixels_op.few(batches):
             out = []
             for q in b["q"]:
                 v = np.asarray(q, np.int64)[y * 8 // height * 8 + x * 8 // width]
@@ -222,4 +226,8 @@ def pictures(spark: SparkSession, sf_dir: str, width: int = WIDTH, height: int =
                 out.append(np.stack([c % 256 for c in channels], axis=-1).astype(np.uint8).tobytes())
             yield pd.DataFrame({"video_id": "pictures", "frameIndex": b["pos"] + 1, "width": width, "height": height, "rgba": out})
 
-    return grids(spark, sf_dir).select("pos", "q").mapInPandas(draw, "video_id string, frameIndex int, width int, height int, rgba binary")
+    return grids.select("pos", "q").mapInPandas((lambda batches: work(draw(batches))) if work else draw, kind)
+
+
+def pictures(spark: SparkSession, sf_dir: str, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+    return drawn(grids(spark, sf_dir), width=width, height=height)

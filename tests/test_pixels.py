@@ -51,3 +51,20 @@ def test_broken_frames_are_left_out(spark):
     rows = [("v", 1, 32, 24, bytearray(pixels.synthetic(0, 32, 24))), ("v", 2, 32, 24, bytearray(b"short")), ("v", 3, 32, 24, None)]
     out = pixels.fingerprints(spark.createDataFrame(rows, "video_id string, frameIndex int, width int, height int, rgba binary")).collect()
     assert [r["frameIndex"] for r in out] == [1] and out[0]["timestamp"] == 0.0
+
+
+def test_pictures_are_made_and_used_a_few_at_a_time(spark):
+    """Of a batch as Spark sends it, 10,000 rows, no more than FEW pictures or fingerprints are held."""
+    import pandas as pd
+
+    from framelake.operators import pixels
+    from framelake.plans import views as V
+
+    grids = spark.range(0, 300, 1, 1).selectExpr("id AS pos", "transform(sequence(0, 63), k -> (k * 37 + id * 11) % 900 - 400) AS q")
+    size = lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches)
+    assert [r["n"] for r in V.drawn(grids, size, "n bigint").collect()] == [64] * 4 + [44]
+    frames = pd.concat(pd.DataFrame({"video_id": ["v"] * 150, "frameIndex": range(1, 151), "width": 16, "height": 16, "rgba": [bytes(1024)] * 150}) for _ in range(1))
+    assert [len(b) for b in pixels.fingerprinted()([frames])] == [64, 64, 22]
+    whole, drawn = pixels.fingerprints(V.drawn(grids)), V.drawn(grids, pixels.fingerprinted(), pixels.FINGERPRINT)
+    rows = lambda df: sorted((r["frameIndex"], str(r)) for r in df.limit(40).collect())
+    assert rows(whole) == rows(drawn)
