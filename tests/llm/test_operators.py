@@ -562,3 +562,16 @@ def test_language_model_equals_kneser_ney_by_hand():
     got, n = m.log_prob(parts)
     assert n.tolist() == [len(p) + 1 for p in parts]
     assert np.allclose(got[:, 0], [naive_kneser_ney(counts, 3, p) for p in parts], rtol=1e-4)
+
+
+def test_language_model_learns_from_every_window():
+    """Each training window has its turn in one of the rounds, and none is left out."""
+    from framelake.llm import lm
+
+    rng = np.random.default_rng(1)
+    first = np.concatenate([[0], np.cumsum(rng.integers(2, 400, 500))])
+    ids = rng.integers(0, 49406, first[-1])
+    text, start = lm.windows(first, 32)
+    turn = lm._turn_of(ids, first, text, start, 3)
+    counts = np.bincount(turn, minlength=3)
+    assert counts.sum() == len(text) and len(counts) == 3 and counts.min() > 0.3 * len(text) and (lm._turn_of(ids, first, text, start, 1) == 0).all()
