@@ -575,3 +575,35 @@ def test_language_model_learns_from_every_window():
     turn = lm._turn_of(ids, first, text, start, 3)
     counts = np.bincount(turn, minlength=3)
     assert counts.sum() == len(text) and len(counts) == 3 and counts.min() > 0.3 * len(text) and (lm._turn_of(ids, first, text, start, 1) == 0).all()
+
+
+def test_row_sums_and_empty_places():
+    """Sums by number equal numpy's for numbers met once and thousands of times; a step over windows with empty places follows only what is there."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 9000):
+        number, values = np.minimum(rng.zipf(1.3, n), 300), rng.standard_normal((n, 5)).astype(np.float32)
+        want = np.zeros((301, 5))
+        np.add.at(want, number, values.astype(float))
+        assert np.allclose(lm._sum_rows(number, values, 301, few=4), want, atol=1e-3)
+    m = small_model(rng, 4, 0.3)
+    code, goal = codes_of(m, rng.integers(0, 32, 9), np.array([0, 9]))
+    s, total, mixed, _ = m.attend(code)
+    assert (s[np.broadcast_to((code == 32)[:, None, :], s.shape)] == 0).all() and np.allclose(s.sum(axis=2, keepdims=True)[total > 1e-20], total[total > 1e-20], rtol=1e-5)
+    before = {n: getattr(m, n).copy() for n in lm.WEIGHTS}
+    moment = lm.train(m, code, goal, 0.01)
+    unseen = np.setdiff1d(np.arange(32), code)
+    assert len(unseen) and all((getattr(m, n)[unseen] == before[n][unseen]).all() for n in ("q", "k", "v")) and moment["step"] == 1
+
+
+def test_plain_words_have_the_tokenizers_ids():
+    """Words encoded without marks between them have the ids that the tokenizer gives them alone; others too."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(_subwords.vocabulary_path())
+    rng = np.random.default_rng(7)
+    letters = [*"abcdeénü09.,!?-$'<|>\x01²ª日", "'s", "<|endoftext|>"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(3000)] + ["thea", "haga.", "éeux,12!!", "a<|endoftext|>b", "it's"]
+    assert 500 < sum(_subwords._PLAIN(w) is not None for w in words) < len(words)
+    start, length, flat = _subwords.lexicon(_subwords.DEFAULT_VOCABULARY).compute([w.encode() for w in words])
+    assert [flat[a : a + n].tolist() for a, n in zip(start, length, strict=True)] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+    assert _subwords._encode_simple(*_subwords._simple(_subwords.vocabulary_path()), ["ab", "é9."])[0].tolist() == [len(tok.encode(w, add_special_tokens=False).ids) for w in ("ab", "é9.")]
