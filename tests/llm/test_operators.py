@@ -606,4 +606,4 @@ def test_plain_words_have_the_tokenizers_ids():
     assert 500 < sum(_subwords._PLAIN(w) is not None for w in words) < len(words)
     start, length, flat = _subwords.lexicon(_subwords.DEFAULT_VOCABULARY).compute([w.encode() for w in words])
     assert [flat[a : a + n].tolist() for a, n in zip(start, length, strict=True)] == [tok.encode(w, add_special_tokens=False).ids for w in words]
-    assert _subwords._encode_simple(*_subwords._simple(_subwords.vocabulary_path()), ["ab", "é9."])[0].tolist() == [len(tok.encode(w, add_special_tokens=False).ids) for w in ("ab", "é9.")]
+    assert _subwords._encode_simple(*_subwords._simple(tok), ["ab", "é9."])[0].tolist() == [len(tok.encode(w, add_special_tokens=False).ids) for w in ("ab", "é9.")]
