@@ -37,6 +37,8 @@ from framelake.llm._words import ALNUM, Words, chunks, distinct, lean
 
 BLOCK_DOCUMENTS, BLOCK_BYTES = 64, 1 << 17
 ROUNDS = (8, 64)
+#: Rows of the index are wide: so many of them lie in a group of a file, and in a page, whatever a task's share of the texts.
+_FILES = {"parquet.block.row.count.limit": 64, "parquet.page.row.count.limit": 16}
 _EXACT = 1 << 53
 _INDEX = "block bigint, terms array<string>, most array<bigint>, df array<int>, doc_id array<bigint>, m array<bigint>, first array<int>, term array<int>, tf array<int>"
 
@@ -113,19 +115,21 @@ def build(docs: DataFrame, documents: int = BLOCK_DOCUMENTS, size: int = BLOCK_B
             joined = {k: pa.concat_arrays(v) if k in ("terms", "doc_id") else np.concatenate(v) for k, v in out.items() if k != "block"}
             yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), *[_lists(joined[k], sizes[k]) for k in joined]], names=list(out))
 
-    return Index(staged(rows.mapInArrow(lean(scan), _INDEX)), all_docs, all_terms)
+    return Index(staged(rows.mapInArrow(lean(scan), _INDEX), **_FILES), all_docs, all_terms)
 
 
 @contextlib.contextmanager
 def few_rows(spark: SparkSession, rows: int = 16):
-    """Blocks are wide: so many of them at a time go to Python, for what runs inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Blocks are wide: so many of them at a time are read from files and go to Python, for what runs inside."""
+    keys = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(key) for key in keys]
+    for key in keys:
+        spark.conf.set(key, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in zip(keys, before, strict=True):
+            spark.conf.set(key, value)
 
 
 @dataclass

@@ -3,8 +3,10 @@
 import math
 import re
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from framelake.llm import ranking
@@ -98,3 +100,17 @@ def test_empty_tables(spark):
     assert ranking.search(ranking.build(empty), items).count() == 0
     assert ranking.search(ranking.build(one), items.limit(0)).count() == 0
     assert [tuple(r) for r in ranking.search(ranking.build(one), items).collect()] == by_hand([(1, "a")], [(1, "a")], 20)
+
+
+def test_blocks_are_written_and_read_a_few_at_a_time(spark):
+    """Memory follows neither a task's share of the texts nor a file's size: groups of a file, and what is read from them at once, hold few blocks."""
+    docs = spark.createDataFrame([(i, f"common w{i}") for i in range(300)], "doc_id bigint, text string").repartition(1)
+    files = ranking.build(docs, documents=1).blocks.inputFiles()
+    meta = [pq.read_metadata(urlparse(f).path) for f in files]
+    groups = [m.row_group(g).num_rows for m in meta for g in range(m.num_row_groups)]
+    assert sum(groups) == 300 and max(groups) <= 64
+    keys = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    with ranking.few_rows(spark):
+        assert [spark.conf.get(k) for k in keys] == ["16", "16"]
+    assert [spark.conf.get(k) for k in keys] == before
