@@ -577,6 +577,19 @@ def test_language_model_learns_from_every_window():
     assert counts.sum() == len(text) and len(counts) == 3 and counts.min() > 0.3 * len(text) and (lm._turn_of(ids, first, text, start, 1) == 0).all()
 
 
+def test_every_round_of_the_language_model_takes_every_window(spark, monkeypatch):
+    """A corpus of many windows is trained on as a small one is: all its windows in each round."""
+    from framelake.llm import lm
+
+    text = "the cat sat on the mat and the dog lay on the rug " * 40
+    docs = spark.createDataFrame([(i, text) for i in range(300)], "doc_id bigint, text string")
+    seen, one = [], lm._round
+    monkeypatch.setattr(lm, "_round", lambda *a, **k: seen.append(one(*a, **k)))
+    got = lm.score(docs, rounds=2, heads=64, own=24, shared=7, width=4, block=2).filter("not held_out").count()
+    # 520 words of one id each, and an end: 261 windows of two.
+    assert got * 261 > 60_000 and seen == [got * 261] * 2
+
+
 def test_row_sums_and_empty_places():
     """Sums by number equal numpy's for numbers met once and thousands of times; a step over windows with empty places follows only what is there."""
     rng = np.random.default_rng(3)
